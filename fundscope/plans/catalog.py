@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from . import q_dashboard, q_pages, q_records  # noqa: F401  (registration side effects)
+from . import q_dashboard, q_merge, q_pages, q_records  # noqa: F401  (registration side effects)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
