@@ -88,16 +88,30 @@ def deadline_status(deadline_text: Column) -> Column:
 
 def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful_deadline: bool = False
                     ) -> DataFrame:
-    """EX-19a..d: one row per matched block with its parsed fields."""
+    """EX-19a..d: one row per matched block with its parsed fields.
+
+    Staged: the block pattern scans each block once (group 0); a single replace over that match
+    then yields all named parts (no per-group re-scan), and the parsers reference staged columns.
+    """
+    p = BLOCK_FAITHFUL if faithful_deadline else BLOCK_INTENT
     b = df.select(id_col, F.posexplode(split_blocks(F.col(text_col))).alias("block_no", "block"))
-    p = b.select(id_col, (F.col("block_no") + 1).alias("block_no"),
-                 parse_block(F.col("block"), faithful_deadline).alias("p")).filter("p.matched")
-    amt = block_amount(F.col("p.value_text"))
-    return p.select(
-        id_col, "block_no", F.col("p.title").alias("title"), F.col("p.description").alias("description"),
-        F.coalesce(F.col("p.frequency"), F.lit("N/A")).alias("frequency"),
-        block_duration(F.col("p.duration_text")).alias("duration_years"),
+    m = b.select(id_col, (F.col("block_no") + 1).alias("block_no"), F.regexp_extract("block", p, 0).alias("_m"))
+    m = m.filter(F.col("_m") != "")
+    # one more pass over the (short) match yields all six groups at once, separated by \x01
+    groups = F.split(F.regexp_replace(F.col("_m"), p, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6"), "\u0001")
+    m = m.select(id_col, "block_no", groups.alias("_g"))
+
+    def g(i):
+        return F.element_at(F.col("_g"), i)
+
+    parts = m.select(id_col, "block_no", F.trim(g(1)).alias("title"), F.trim(g(2)).alias("description"),
+                     _nz(g(3)).alias("duration_text"), _nz(g(4)).alias("frequency_text"),
+                     _nz(g(5)).alias("value_text"), _nz(g(6)).alias("deadline_text"))
+    amt = block_amount(F.col("value_text"))
+    return parts.select(
+        id_col, "block_no", "title", "description",
+        F.coalesce(F.col("frequency_text"), F.lit("N/A")).alias("frequency"),
+        block_duration(F.col("duration_text")).alias("duration_years"),
         amt["min"].alias("amount_min"), amt["max"].alias("amount_max"),
-        deadline_status(F.col("p.deadline_text")).alias("deadline"),
-        F.col("p.duration_text").alias("duration_text"), F.col("p.value_text").alias("value_text"),
-        F.col("p.deadline_text").alias("deadline_text"))
+        deadline_status(F.col("deadline_text")).alias("deadline"),
+        "duration_text", "value_text", "deadline_text")

@@ -84,6 +84,37 @@ def extract_amount(text) -> Column:
     )
 
 
+def with_amount(df, text_col: str, out: str = "amount"):
+    """EX-7/EX-8 as a staged DataFrame transform (same result as ``extract_amount``).
+
+    Each pattern scans the text once (group 0); the groups are then re-read from the short match
+    only, and every later step references the staged columns, so no regex is evaluated twice.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    lt = F.lower(t)
+    df = df.withColumns({f"_am{i}": F.regexp_extract(t, p, 0) for i, p in enumerate(AMOUNT_PATTERNS)})
+    df = df.withColumn("_amk", F.when(F.col("_am0") != "", 0).when(F.col("_am1") != "", 1)
+                       .when(F.col("_am2") != "", 2))
+    g1 = g2 = None
+    for i, p in enumerate(AMOUNT_PATTERNS):
+        e1, e2 = F.regexp_extract(F.col(f"_am{i}"), p, 1), F.regexp_extract(F.col(f"_am{i}"), p, 2)
+        g1 = F.when(F.col("_amk") == i, e1) if g1 is None else g1.when(F.col("_amk") == i, e1)
+        g2 = F.when(F.col("_amk") == i, e2) if g2 is None else g2.when(F.col("_amk") == i, e2)
+    scale = (F.when(lt.contains("thousand") | lt.contains("k"), F.lit(1000))
+             .when(lt.contains("million") | lt.contains("m"), F.lit(1000000)).otherwise(F.lit(1))).cast("bigint")
+    df = df.withColumns({"_amlo": _parse_int(g1), "_amg2": _nz(g2), "_amsc": scale})
+    df = df.withColumn("_amhi", F.when(F.col("_amg2").isNull(), F.col("_amlo")).otherwise(_parse_int(F.col("_amg2"))))
+    hit = F.col("_amk").isNotNull()
+    parsed = ~hit | (F.col("_amlo").isNotNull() & F.col("_amhi").isNotNull())
+    zero = F.lit(0).cast("bigint")
+    res = F.struct(
+        F.when(parsed, F.when(~hit, zero).otherwise(F.try_multiply(F.col("_amlo"), F.col("_amsc")))).alias("min"),
+        F.when(parsed, F.when(~hit, zero).otherwise(F.try_multiply(F.col("_amhi"), F.col("_amsc")))).alias("max"),
+        F.lit("GBP").alias("currency"),
+        parsed.alias("parsed"))
+    return df.withColumn(out, res).drop("_am0", "_am1", "_am2", "_amk", "_amlo", "_amg2", "_amsc", "_amhi")
+
+
 def amount_with_defaults(text) -> Column:
     """EX-8: the detail-page path: a failed parse keeps the defaults 0 / 0."""
     a = extract_amount(text)
@@ -124,6 +155,28 @@ def extract_deadline(text) -> Column:
     return F.coalesce(named, slash, iso)
 
 
+def with_deadline(df, text_col: str, out: str = "deadline"):
+    """EX-10 as a staged DataFrame transform (same result as ``extract_deadline``): one scan per
+    pattern, groups re-read from the short match."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    pats = {"_dn": DEADLINE_NAMED, "_ds": DEADLINE_SLASH, "_di": DEADLINE_ISO}
+    df = df.withColumns({k: F.regexp_extract(t, p, 0) for k, p in pats.items()})
+    months = F.array(*[F.lit(m.lower()) for m in rules.MONTHS])
+
+    def grp(k, i):
+        return _nz(F.regexp_extract(F.col(k), pats[k], i)).try_cast("int")
+
+    df = df.withColumns({
+        "_dny": grp("_dn", 3), "_dnd": grp("_dn", 1),
+        "_dnm": F.array_position(months, F.lower(F.regexp_extract(F.col("_dn"), DEADLINE_NAMED, 2))).cast("int"),
+        "_dsy": grp("_ds", 3), "_dsm": grp("_ds", 2), "_dsd": grp("_ds", 1),
+        "_diy": grp("_di", 1), "_dim": grp("_di", 2), "_did": grp("_di", 3)})
+    res = F.coalesce(ymd_date(F.col("_dny"), F.col("_dnm"), F.col("_dnd")),
+                     ymd_date(F.col("_dsy"), F.col("_dsm"), F.col("_dsd")),
+                     ymd_date(F.col("_diy"), F.col("_dim"), F.col("_did")))
+    return df.withColumn(out, res).drop(*pats, "_dny", "_dnd", "_dnm", "_dsy", "_dsm", "_dsd", "_diy", "_dim", "_did")
+
+
 def deadline_defaults(extracted_date, as_of) -> Column:
     """EX-11: struct(deadline, next_deadline, frequency, deadline_is_default) relative to the crawl date."""
     as_of = F.to_date(_c(as_of)) if not isinstance(as_of, str) else F.to_date(F.lit(as_of))

@@ -45,17 +45,16 @@ def pagination_cut(listing: DataFrame, links: DataFrame, max_pages: int = rules.
                    max_listing_rows: int = 1_000_000) -> DataFrame:
     """RL-3: listing (page_id, source) with links (page_id, link) -> links first seen on a processed page
     (source, link, page_no). Pages are numbered per source by page_id; processing stops at the first page
-    without a new link (a linkless page included) and never goes past ``max_pages``."""
+    without a new link (a linkless page included) and never goes past ``max_pages``.
+
+    Page p is processed iff every page 1..p brought a new link, i.e. iff the dense rank of p among the
+    pages that brought new links equals p. That window is partitioned by source but holds at most
+    ``max_pages`` pages of links per source, so it is bounded whatever the table size.
+    """
     w = Window.partitionBy("source").orderBy("page_id")
     pg = listing.withColumn("page_no", F.row_number().over(w)).filter(F.col("page_no") <= max_pages)
     pg_b = bounded_broadcast(pg.select("page_id", "source", "page_no"), max_listing_rows)
     lk = links.select("page_id", "link").join(pg_b, "page_id")
-    fs = lk.groupBy("source", "link").agg(F.min("page_no").alias("first_page"))
-    nn = (pg.alias("p").join(fs.alias("f"), (F.col("p.source") == F.col("f.source"))
-                             & (F.col("p.page_no") == F.col("f.first_page")), "left")
-          .groupBy(F.col("p.source").alias("source"), F.col("p.page_no").alias("page_no"))
-          .agg(F.count("f.link").alias("n_new")))
-    stop = nn.groupBy("source").agg(F.min(F.when(F.col("n_new") == 0, F.col("page_no"))).alias("stop_page"))
-    return (fs.join(stop, "source")
-            .filter(F.col("first_page") < F.coalesce(F.col("stop_page"), F.lit(max_pages + 1)))
-            .select("source", "link", F.col("first_page").alias("page_no")))
+    fs = lk.groupBy("source", "link").agg(F.min("page_no").alias("page_no"))
+    ranked = fs.withColumn("_r", F.dense_rank().over(Window.partitionBy("source").orderBy("page_no")))
+    return ranked.filter(F.col("_r") == F.col("page_no")).select("source", "link", "page_no")

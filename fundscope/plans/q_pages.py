@@ -138,7 +138,7 @@ _RANK = "(CASE " + " ".join(f"WHEN {_LANG} = '{x}' THEN {i}" for i, x in enumera
 def _listing_links(spark, d):
     facts = _facts(spark, d)
     links = pages.extract_links(facts, LINK_PATTERN, F.lit(LISTING_BASE))
-    src = facts.select("page_id", frontier.lang_of(F.col("url")).alias("source"))
+    src = scan_pages(spark, d).select("page_id", frontier.lang_of(F.col("url")).alias("source"))
     return links.join(src, "page_id"), src
 
 
@@ -169,5 +169,5 @@ WHERE fs.first_page < COALESCE(st.stop_page, 16)""")
 def q_pagination_cut(spark, d):
     facts = _facts(spark, d)
     links = pages.extract_links(facts, LINK_PATTERN, F.lit(LISTING_BASE))
-    listing = facts.select("page_id", frontier.lang_of(F.col("url")).alias("source"))
+    listing = scan_pages(spark, d).select("page_id", frontier.lang_of(F.col("url")).alias("source"))
     return frontier.pagination_cut(listing, links)

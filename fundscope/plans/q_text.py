@@ -30,9 +30,9 @@ SELECT notice_id,
        k % 4 <> 3 AS parsed
 FROM notices""", "notices")
 def q_extract_amount(spark, d):
-    a = tx.extract_amount(F.col("text"))
-    return views.notices(spark, d).select("notice_id", a["min"].alias("amount_min"), a["max"].alias("amount_max"),
-                                          a["parsed"].alias("parsed"))
+    n = tx.with_amount(views.notices(spark, d), "text", "a")
+    return n.select("notice_id", F.col("a.min").alias("amount_min"), F.col("a.max").alias("amount_max"),
+                    F.col("a.parsed").alias("parsed"))
 
 
 @register("career_stage", """
@@ -53,7 +53,7 @@ _NOTICE_DATE = "CASE WHEN k % 4 = 3 AND k % 8 <> 7 THEN NULL ELSE d END"
 
 @register("extract_deadline", f"SELECT notice_id, {_NOTICE_DATE} AS deadline FROM notices", "notices")
 def q_extract_deadline(spark, d):
-    return views.notices(spark, d).select("notice_id", tx.extract_deadline(F.col("text")).alias("deadline"))
+    return tx.with_deadline(views.notices(spark, d), "text", "deadline").select("notice_id", "deadline")
 
 
 @register("deadline_defaults", f"""
@@ -62,8 +62,8 @@ SELECT notice_id, COALESCE({_NOTICE_DATE}, {D_AS_OF} + {rules.DEFAULT_DEADLINE_D
        ({_NOTICE_DATE}) IS NULL AS deadline_is_default
 FROM notices""", "notices")
 def q_deadline_defaults(spark, d):
-    dd = tx.deadline_defaults(tx.extract_deadline(F.col("text")), AS_OF)
-    return views.notices(spark, d).select("notice_id", dd["deadline"].alias("deadline"),
+    dd = tx.deadline_defaults(F.col("found"), AS_OF)
+    return tx.with_deadline(views.notices(spark, d), "text", "found").select("notice_id", dd["deadline"].alias("deadline"),
                                           dd["next_deadline"].alias("next_deadline"),
                                           dd["frequency"].alias("frequency"),
                                           dd["deadline_is_default"].alias("deadline_is_default"))
@@ -180,5 +180,7 @@ FROM y"""
 
 @register("amount_defaults", _amount_sql())
 def q_amount_defaults(spark, d):
-    a = tx.amount_with_defaults(F.col("text"))
-    return load(spark, d, "documents").select("doc_id", a["min"].alias("amount_min"), a["max"].alias("amount_max"))
+    docs = tx.with_amount(load(spark, d, "documents").select("doc_id", "text"), "text", "a")
+    zero = F.lit(0).cast("bigint")
+    return docs.select("doc_id", F.when(F.col("a.parsed"), F.col("a.min")).otherwise(zero).alias("amount_min"),
+                       F.when(F.col("a.parsed"), F.col("a.max")).otherwise(zero).alias("amount_max"))
