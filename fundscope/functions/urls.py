@@ -28,7 +28,8 @@ def _remove_dots(segs: Column) -> Column:
     last = F.element_at(segs2, -1)
     res = F.when(last.isin(".", ".."), F.concat(res, F.array(F.lit("")))).otherwise(res)
     p = F.array_join(res, "/")
-    return F.when(p == "", F.lit("/")).otherwise(p)
+    # with an authority the path is rooted ('..' may have popped the leading empty segment)
+    return F.when(p == "", F.lit("/")).when(~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
 
 
 def resolve_url(base, href) -> Column:

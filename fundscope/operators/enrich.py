@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import derive
 
-EMPTY = F.array().cast("array<string>")
 
 
 def _amount(df_cols) -> Column:
@@ -42,7 +41,7 @@ def assemble_record(schemes: DataFrame, family: str, as_of_ts: str) -> DataFrame
         F.lit(family).alias("category"),
         F.lit("").alias("subcategory"),
         F.col("description"),
-        F.struct(stage.alias("career_stage"), EMPTY.alias("disciplines"),
+        F.struct(stage.alias("career_stage"), F.array().cast("array<string>").alias("disciplines"),
                  derive.standard_requirements(stage, "A" if acad else "B").alias("requirements")).alias("eligibility"),
         F.struct(_amount(schemes.columns).alias("amount"),
                  (F.array(*[F.lit(c) for c in rules.COVERS_ACADEMIES]) if acad

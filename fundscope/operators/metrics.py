@@ -17,11 +17,25 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import derive
 
-CATEGORY = F.col("category")
-STAGE = F.col("eligibility.career_stage")
-AMIN = F.col("funding_details.amount.min")
-AMAX = F.col("funding_details.amount.max")
-DEADLINE = F.col("application.deadline")
+
+def _category() -> Column:
+    return F.col("category")
+
+
+def _stage() -> Column:
+    return F.col("eligibility.career_stage")
+
+
+def _amin() -> Column:
+    return F.col("funding_details.amount.min")
+
+
+def _amax() -> Column:
+    return F.col("funding_details.amount.max")
+
+
+def _deadline() -> Column:
+    return F.col("application.deadline")
 
 
 def _nz0(c: Column) -> Column:
@@ -44,13 +58,13 @@ def count_by(df: DataFrame, key: Column, name: str) -> DataFrame:
 
 def funding_totals(df: DataFrame) -> DataFrame:
     """AG-1c: Σ min, Σ max over the batch (duplicates included)."""
-    return df.agg(F.sum(AMIN).cast("bigint").alias("min_total_gbp"),
-                  F.sum(AMAX).cast("bigint").alias("max_total_gbp"))
+    return df.agg(F.sum(_amin()).cast("bigint").alias("min_total_gbp"),
+                  F.sum(_amax()).cast("bigint").alias("max_total_gbp"))
 
 
 def upcoming_batch(df: DataFrame, as_of_ts: str) -> DataFrame:
     """AG-1d: number of deadlines within the next 30 days, batch rule."""
-    return df.agg(F.count_if(upcoming_flag(DEADLINE, as_of_ts)).alias("upcoming_deadlines_30_days"))
+    return df.agg(F.count_if(upcoming_flag(_deadline(), as_of_ts)).alias("upcoming_deadlines_30_days"))
 
 
 def _breakdown(counts: DataFrame, key: str) -> DataFrame:
@@ -65,9 +79,9 @@ def summary_report(df: DataFrame, as_of_ts: str, sources=tuple(rules.SOURCE_ORDE
     One scan: records are pre-aggregated by (category, stage) - a result bounded by the number of
     distinct pairs - and the maps and totals are computed from that small frame.
     """
-    cube = (df.groupBy(CATEGORY.alias("category"), STAGE.alias("career_stage"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(AMIN).alias("smin"), F.sum(AMAX).alias("smax"),
-                 F.count_if(upcoming_flag(DEADLINE, as_of_ts)).alias("up")))
+    cube = (df.groupBy(_category().alias("category"), _stage().alias("career_stage"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(_amin()).alias("smin"), F.sum(_amax()).alias("smax"),
+                 F.count_if(upcoming_flag(_deadline(), as_of_ts)).alias("up")))
     totals = cube.agg(F.sum("n").cast("bigint").alias("total_opportunities"),
                       F.struct(F.sum("smin").cast("bigint").alias("min_total_gbp"),
                                F.sum("smax").cast("bigint").alias("max_total_gbp")).alias("funding_totals"),
@@ -92,7 +106,7 @@ def map_text(m: Column) -> Column:
 
 def headline_stats(df: DataFrame, as_of: str) -> DataFrame:
     """AG-2: total, active (status = 'active'), closing soon (0 < days_left <= 30, browser dates)."""
-    days = derive.days_left(derive.js_date(DEADLINE), as_of)
+    days = derive.days_left(derive.js_date(_deadline()), as_of)
     return df.agg(F.count(F.lit(1)).alias("total"),
                   F.count_if(F.col("status") == "active").alias("active"),
                   F.count_if((days > 0) & (days <= rules.CLOSING_SOON_DAYS)).alias("closing_soon"))
@@ -114,17 +128,17 @@ def share(df: DataFrame, key: Column, name: str, falsy_default: str) -> DataFram
 
 
 def category_share(df: DataFrame) -> DataFrame:
-    return share(df, CATEGORY, "category", "Other")
+    return share(df, _category(), "category", "Other")
 
 
 def stage_share(df: DataFrame) -> DataFrame:
-    return share(df, STAGE, "career_stage", "All Stages")
+    return share(df, _stage(), "career_stage", "All Stages")
 
 
 def funding_range(df: DataFrame) -> DataFrame:
     """AG-5: min' = min||max||0, max' = max||min||0 over rows with min' > 0; an empty set gives nulls."""
-    lo = F.coalesce(_nz0(AMIN), _nz0(AMAX), F.lit(0))
-    hi = F.coalesce(_nz0(AMAX), _nz0(AMIN), F.lit(0))
+    lo = F.coalesce(_nz0(_amin()), _nz0(_amax()), F.lit(0))
+    hi = F.coalesce(_nz0(_amax()), _nz0(_amin()), F.lit(0))
     r = df.select(lo.alias("lo"), hi.alias("hi")).filter(F.col("lo") > 0)
     return r.agg(F.count(F.lit(1)).alias("n"), F.min("lo").cast("bigint").alias("min_amount"),
                  F.max("hi").cast("bigint").alias("max_amount"),
@@ -145,7 +159,7 @@ def top_organizations(df: DataFrame, k: int = 5) -> DataFrame:
 def value_bands(df: DataFrame) -> DataFrame:
     """AG-7: a = max||min||0 over a > 0; bands against the mean: high > 2·avg, medium (avg, 2·avg], low <= avg.
     The mean is an exact Σ/n (1-row aggregate, broadcast back)."""
-    a = F.coalesce(_nz0(AMAX), _nz0(AMIN), F.lit(0))
+    a = F.coalesce(_nz0(_amax()), _nz0(_amin()), F.lit(0))
     amounts = df.select(a.alias("a")).filter(F.col("a") > 0)
     mean = amounts.agg((F.sum("a") / F.count(F.lit(1))).alias("avg_amount"))
     j = amounts.crossJoin(F.broadcast(mean))
@@ -181,7 +195,7 @@ def deadline_bucket(deadline: Column, as_of: str) -> Column:
 
 def deadline_buckets(df: DataFrame, as_of: str) -> DataFrame:
     """AG-9: one row of bucket counts (one pass, conditional aggregates)."""
-    b = deadline_bucket(DEADLINE, as_of)
+    b = deadline_bucket(_deadline(), as_of)
     return df.select(b.alias("b")).agg(
         F.count_if(F.col("b") == "open").alias("open_now"),
         F.count_if(F.col("b") == "closing").alias("closing_soon"),

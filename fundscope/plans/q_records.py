@@ -16,8 +16,15 @@ from .registry import v1 as _v1
 from .views import _pick
 
 RECORD_COLS = [f.name for f in schema.RECORD.fields]
-AMT = F.col("funding_details.amount")
-DL = F.col("application.deadline")
+
+
+def _amt():
+    return F.col("funding_details.amount")
+
+
+def _dl():
+    return F.col("application.deadline")
+
 
 # ------------------------------------------------------------------ SC: scalar derivations
 
@@ -30,7 +37,7 @@ def q_content_id(spark, d):
 @register("next_deadline", f"SELECT ord, {R.next_deadline_sql('iso_d', 'frequency')} AS next_deadline FROM opps",
           "opportunities")
 def q_next_deadline(spark, d):
-    return _v1(spark, d).select("ord", derive.next_deadline(DL, F.col("application.frequency")).alias("next_deadline"))
+    return _v1(spark, d).select("ord", derive.next_deadline(_dl(), F.col("application.frequency")).alias("next_deadline"))
 
 
 @register("priority_level", f"""
@@ -38,7 +45,7 @@ SELECT ord, CASE category WHEN 'ukri' THEN 'High' WHEN 'academies' THEN {R.prior
                           WHEN 'foundations' THEN {R.priority_sql('hi', 'B')} END AS priority_level
 FROM opportunities""", "opportunities")
 def q_priority_level(spark, d):
-    return _v1(spark, d).select("ord", derive.priority_by_category(F.col("category"), AMT["max"]).alias("priority_level"))
+    return _v1(spark, d).select("ord", derive.priority_by_category(F.col("category"), _amt()["max"]).alias("priority_level"))
 
 
 @register("success_rate", f"SELECT ord, {R.success_sql('career_stage')} AS success_rate FROM opportunities",
@@ -75,25 +82,25 @@ def q_source_email(spark, d):
 
 @register("format_deadline", f"SELECT ord, {_date_text_sql('js_d')} AS deadline_text FROM opps", "opportunities")
 def q_format_deadline(spark, d):
-    return _v1(spark, d).select("ord", derive.format_deadline(derive.js_date(DL)).alias("deadline_text"))
+    return _v1(spark, d).select("ord", derive.format_deadline(derive.js_date(_dl())).alias("deadline_text"))
 
 
 @register("format_amount", f"SELECT ord, {_fmt_sql('lo')} AS min_text, {_fmt_sql('hi')} AS max_text FROM opportunities",
           "opportunities")
 def q_format_amount(spark, d):
-    return _v1(spark, d).select("ord", derive.format_amount(AMT["min"]).alias("min_text"),
-                                derive.format_amount(AMT["max"]).alias("max_text"))
+    return _v1(spark, d).select("ord", derive.format_amount(_amt()["min"]).alias("min_text"),
+                                derive.format_amount(_amt()["max"]).alias("max_text"))
 
 
 @register("amount_text", f"SELECT ord, {_amount_text_sql('lo', 'hi')} AS amount_text FROM opportunities",
           "opportunities")
 def q_amount_text(spark, d):
-    return _v1(spark, d).select("ord", derive.amount_text(AMT["min"], AMT["max"]).alias("amount_text"))
+    return _v1(spark, d).select("ord", derive.amount_text(_amt()["min"], _amt()["max"]).alias("amount_text"))
 
 
 @register("days_left", f"SELECT ord, CAST({DAYS} AS INTEGER) AS days_left FROM opps", "opportunities")
 def q_days_left(spark, d):
-    return _v1(spark, d).select("ord", derive.days_left(derive.js_date(DL), AS_OF).alias("days_left"))
+    return _v1(spark, d).select("ord", derive.days_left(derive.js_date(_dl()), AS_OF).alias("days_left"))
 
 
 # ------------------------------------------------------------------ EN: enrichment and assembly
@@ -142,9 +149,9 @@ def q_assemble_record(spark, d):
     sid = F.when(F.col("category") == "academies", _pick(ACADEMY_IDS, F.col("ord") % 4)).otherwise(
         _pick(FOUNDATION_IDS, F.col("ord") % 4))
     schemes = v.select("ord", sid.alias("source_id"), "title", "description", "category",
-                       F.col("eligibility.career_stage").alias("career_stage"), AMT["min"].alias("amount_min"),
-                       AMT["max"].alias("amount_max"), AMT["duration_years"].alias("duration_years"),
-                       DL.alias("deadline"), F.col("application.frequency").alias("frequency"), "tags",
+                       F.col("eligibility.career_stage").alias("career_stage"), _amt()["min"].alias("amount_min"),
+                       _amt()["max"].alias("amount_max"), _amt()["duration_years"].alias("duration_years"),
+                       _dl().alias("deadline"), F.col("application.frequency").alias("frequency"), "tags",
                        F.col("key_info.success_rate").alias("success_rate"))
     dims = records.dimensions(spark)
     schemes = schemes.join(F.broadcast(dims.select("source_id", "base_url")), "source_id")
@@ -177,8 +184,8 @@ SELECT ord, id, title, category, deadline, lo AS min_amount, hi AS max_amount, c
        tag1 || ',' || tag2 AS tags_text, last_updated FROM opportunities""", "opportunities")
 def q_scan_records(spark, d):
     r = _v1_json(spark, d).select("ord", records.parse_records(F.col("value")).alias("r")).select("ord", "r.*")
-    return r.select("ord", "id", "title", "category", DL.alias("deadline"), AMT["min"].alias("min_amount"),
-                    AMT["max"].alias("max_amount"), F.col("eligibility.career_stage").alias("career_stage"),
+    return r.select("ord", "id", "title", "category", _dl().alias("deadline"), _amt()["min"].alias("min_amount"),
+                    _amt()["max"].alias("max_amount"), F.col("eligibility.career_stage").alias("career_stage"),
                     F.array_join("tags", ",").alias("tags_text"), "last_updated")
 
 
