@@ -149,22 +149,49 @@ def _find(node: Node, tag: str, cls: str | None = None):
     return None
 
 
-def page_facts(html: str, selectors) -> dict:
-    """All facts of one page; see ``operators.pages.FACTS_SCHEMA`` for the field list."""
+ALL_FACTS = ("text_raw", "text", "text_lines", "selectors", "first_ps", "anchors", "elig_items", "base_href",
+             "teaser_cards", "dated_cards")
+
+
+def page_facts(html: str, selectors, fields=ALL_FACTS) -> dict:
+    """The requested facts of one page; see ``operators.pages.FACTS_SCHEMA`` for the field list."""
     root = parse(html)
     elements = list(iter_nodes(root))
-    sel = {}
-    for s in selectors:
-        el = select_one(root, s)
-        if el is not None:
-            sel[s] = get_text(el)
-    ps = [get_text(n) for n in elements if n.tag == "p"][:3]
-    anchors = []
-    pos = 0
-    for n in elements:
-        if n.tag == "a" and "href" in n.attrs:
-            pos += 1
-            anchors.append({"pos": pos, "href": n.attrs["href"], "text": get_text(n), "sole": sole_string(n)})
+    out = {}
+    if "text_raw" in fields:
+        out["text_raw"] = get_text(root)
+    if "text" in fields:
+        out["text"] = get_text(root, strip=True)
+    if "text_lines" in fields:
+        out["text_lines"] = get_text(root, sep="\n", strip=True)
+    if "selectors" in fields:
+        sel = {}
+        for s in selectors:
+            el = select_one(root, s)
+            if el is not None:
+                sel[s] = get_text(el)
+        out["selectors"] = sel
+    if "first_ps" in fields:
+        out["first_ps"] = [get_text(n) for n in elements if n.tag == "p"][:3]
+    if "anchors" in fields:
+        anchors, pos = [], 0
+        for n in elements:
+            if n.tag == "a" and "href" in n.attrs:
+                pos += 1
+                anchors.append({"pos": pos, "href": n.attrs["href"], "text": get_text(n), "sole": sole_string(n)})
+        out["anchors"] = anchors
+    if "elig_items" in fields:
+        out["elig_items"] = _eligibility_items(elements)
+    if "base_href" in fields:
+        out["base_href"] = next((n.attrs["href"] for n in elements if n.tag == "base" and "href" in n.attrs), None)
+    if "teaser_cards" in fields:
+        out["teaser_cards"] = _teasers(elements)
+    if "dated_cards" in fields:
+        out["dated_cards"] = _dated(elements)
+    return out
+
+
+def _eligibility_items(elements):
     elig = None
     for n in elements:
         if n.tag in ("div", "section"):
@@ -172,40 +199,38 @@ def page_facts(html: str, selectors) -> dict:
             if s is not None and ELIGIBILITY.search(s):
                 elig = n
                 break
-    elig_items = []
+    items = []
     if elig is not None and elig.parent is not None:
         sibs = elig.parent.children
         for sib in sibs[sibs.index(elig) + 1:]:
             if isinstance(sib, Node) and sib.tag in ("ul", "ol"):
-                elig_items.extend(get_text(li) for li in iter_nodes(sib) if li.tag == "li")
-    base = next((n.attrs["href"] for n in elements if n.tag == "base" and "href" in n.attrs), None)
-    teasers = []
+                items.extend(get_text(li) for li in iter_nodes(sib) if li.tag == "li")
+    return items
+
+
+def _teasers(elements):
+    out = []
     for n in elements:
         if n.tag == "div" and "teaser-grant" in n.classes:
             t, s, m = _find(n, "h3", "teaser-grant__title"), _find(n, "p", "teaser-grant__summary"), \
                 _find(n, "p", "teaser-grant__meta")
-            teasers.append({"title": get_text(t).strip() if t else "", "summary": get_text(s).strip() if s else "",
-                            "meta": get_text(m).strip() if m else ""})
-    dated = []
+            out.append({"title": get_text(t).strip() if t else "", "summary": get_text(s).strip() if s else "",
+                        "meta": get_text(m).strip() if m else ""})
+    return out
+
+
+DATED_CARD_CLASSES = ("tool-card date-card fund-card bg-area", "tool-card date-card fund-card bg-area bg-dark-blue")
+
+
+def _dated(elements):
+    out = []
     for n in elements:
-        if n.tag == "div" and " ".join(n.classes) in ("tool-card date-card fund-card bg-area",
-                                                      "tool-card date-card fund-card bg-area bg-dark-blue"):
+        if n.tag == "div" and " ".join(n.classes) in DATED_CARD_CLASSES:
             t, i = _find(n, "h3", "tool-card__title"), _find(n, "div", "tool-card__intro")
             a = _find(n, "a", "btn-secondary")
             c, h = _find(n, "div", "select-county-box__calendar-top"), _find(n, "div", "tool-card__subheading")
-            dated.append({"title": get_text(t, strip=True) if t else "", "intro": get_text(i, strip=True) if i else "",
-                          "href": (a.attrs.get("href") if a is not None else None),
-                          "calendar": get_text(c, strip=True) if c else "",
-                          "subheading": get_text(h, strip=True) if h else ""})
-    return {
-        "text_raw": get_text(root),
-        "text": get_text(root, strip=True),
-        "text_lines": get_text(root, sep="\n", strip=True),
-        "selectors": sel,
-        "first_ps": ps,
-        "anchors": anchors,
-        "elig_items": elig_items,
-        "base_href": base,
-        "teaser_cards": teasers,
-        "dated_cards": dated,
-    }
+            out.append({"title": get_text(t, strip=True) if t else "", "intro": get_text(i, strip=True) if i else "",
+                        "href": (a.attrs.get("href") if a is not None else None),
+                        "calendar": get_text(c, strip=True) if c else "",
+                        "subheading": get_text(h, strip=True) if h else ""})
+    return out

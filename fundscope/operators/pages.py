@@ -45,25 +45,37 @@ FACTS_SCHEMA = T.StructType([
 ])
 
 
-def _facts_batches(batches):
-    import pandas as pd
-
-    from ..functions.html_facts import page_facts as facts_of
-
-    for pdf in batches:
-        rows = []
-        for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-            f = facts_of(html, SELECTORS)
-            f["page_id"] = int(pid)
-            f["url"] = url
-            rows.append(f)
-        yield pd.DataFrame(rows, columns=[f.name for f in FACTS_SCHEMA.fields])
-
-
-def page_facts(pages: DataFrame) -> DataFrame:
-    """E-0: (page_id, url, html) -> page_facts; one parse per page, html dropped."""
+def _facts_fn(fields):
+    def run(batches):
+        import pandas as pd
+
+        from ..functions.html_facts import page_facts as facts_of
+
+        cols = ["page_id", "url", *fields]
+        for pdf in batches:
+            rows = []
+            for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+                f = facts_of(html, SELECTORS, fields)
+                f["page_id"] = int(pid)
+                f["url"] = url
+                rows.append(f)
+            yield pd.DataFrame(rows, columns=cols)
+
+    return run
+
+
+def page_facts(pages: DataFrame, fields=None) -> DataFrame:
+    """E-0: (page_id, url, html) -> page_facts; one parse per page, html dropped.
+
+    ``fields`` names the facts the caller needs (default: all). Catalyst cannot prune columns
+    inside a Python stage, so asking only for what a query uses keeps both the parse work and the
+    Arrow transfer proportional to it.
+    """
+    names = [f.name for f in FACTS_SCHEMA.fields if f.name not in ("page_id", "url")]
+    fields = [f for f in names if fields is None or f in fields]
+    schema = T.StructType([FACTS_SCHEMA["page_id"], FACTS_SCHEMA["url"], *[FACTS_SCHEMA[f] for f in fields]])
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(
-        _facts_batches, FACTS_SCHEMA)
+        _facts_fn(fields), schema)
 
 
 # ------------------------------------------------------------------ projections over facts

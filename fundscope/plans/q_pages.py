@@ -18,8 +18,8 @@ LISTING_BASE = "https://www.ukri.org"
 LINK_PATTERN = r"^/[^/?]+/?$"
 
 
-def _facts(spark, d):
-    return pages.page_facts(scan_pages(spark, d))
+def _facts(spark, d, *fields):
+    return pages.page_facts(scan_pages(spark, d), fields or None)
 
 
 # DuckDB: html with script/style/comments/doctype removed, then text pieces between tags
@@ -59,29 +59,29 @@ def q_scan_pages(spark, d):
 SELECT page_id, {_decode(f"array_to_string(list_filter(list_transform({_PIECES}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda x: x <> ''), '')")} AS text
 FROM pages""")
 def q_page_text(spark, d):
-    return pages.page_text(_facts(spark, d), "strip")
+    return pages.page_text(_facts(spark, d, "text"), "strip")
 
 
 @register("extract_title", f"SELECT page_id, {_TITLE} AS title FROM pages")
 def q_extract_title(spark, d):
-    return pages.extract_title(_facts(spark, d))
+    return pages.extract_title(_facts(spark, d, "selectors"))
 
 
 @register("drop_non_records", f"""
 SELECT page_id, url, title FROM (SELECT page_id, url, {_TITLE} AS title FROM pages)
 WHERE title <> '' AND lower(title) <> 'funding finder'""")
 def q_drop_non_records(spark, d):
-    return pages.drop_non_records(_facts(spark, d))
+    return pages.drop_non_records(_facts(spark, d, "selectors"))
 
 
 @register("extract_description")
 def q_extract_description(spark, d):
-    return pages.extract_description(_facts(spark, d))
+    return pages.extract_description(_facts(spark, d, "selectors", "first_ps"))
 
 
 @register("extract_requirements")
 def q_extract_requirements(spark, d):
-    return pages.extract_requirements(_facts(spark, d)).select(
+    return pages.extract_requirements(_facts(spark, d, "elig_items")).select(
         "page_id", F.array_join("requirements", "; ").alias("requirements_text"))
 
 
@@ -94,12 +94,12 @@ SELECT page_id, COALESCE((
     LIMIT 1), '') AS application_url
 FROM pages""")
 def q_application_url(spark, d):
-    return pages.application_url(_facts(spark, d))
+    return pages.application_url(_facts(spark, d, "anchors", "base_href"))
 
 
 @register("extract_links", f"SELECT page_id, link, pos FROM {_LINKS}")
 def q_extract_links(spark, d):
-    return pages.extract_links(_facts(spark, d), LINK_PATTERN, F.lit(LISTING_BASE))
+    return pages.extract_links(_facts(spark, d, "anchors"), LINK_PATTERN, F.lit(LISTING_BASE))
 
 
 @register("resolve_url", f"SELECT page_id, pos, href, {_HOST} || href AS resolved FROM {_ANCHORS} "
@@ -107,7 +107,7 @@ def q_extract_links(spark, d):
 def q_resolve_url(spark, d):
     from ..functions.urls import resolve_url
 
-    a = pages.anchors(_facts(spark, d))
+    a = pages.anchors(_facts(spark, d, "anchors"))
     a = a.filter(F.col("href").startswith("/") & ~F.col("href").startswith("//") & ~F.col("href").contains("."))
     return a.select("page_id", "pos", "href", resolve_url(F.col("url"), F.col("href")).alias("resolved"))
 
@@ -125,7 +125,7 @@ def q_teaser_cards(spark, d):
 
 @register("dated_cards")
 def q_dated_cards(spark, d):
-    return pages.dated_cards(_facts(spark, d)).select("page_id", "card_pos", "title", "deadline", "amount_min")
+    return pages.dated_cards(_facts(spark, d, "dated_cards")).select("page_id", "card_pos", "title", "deadline", "amount_min")
 
 
 # ------------------------------------------------------------------ RL-2 / RL-3 over listing pages
@@ -136,7 +136,7 @@ _RANK = "(CASE " + " ".join(f"WHEN {_LANG} = '{x}' THEN {i}" for i, x in enumera
 
 
 def _listing_links(spark, d):
-    facts = _facts(spark, d)
+    facts = _facts(spark, d, "anchors")
     links = pages.extract_links(facts, LINK_PATTERN, F.lit(LISTING_BASE))
     src = scan_pages(spark, d).select("page_id", frontier.lang_of(F.col("url")).alias("source"))
     return links.join(src, "page_id"), src
@@ -167,7 +167,7 @@ SELECT fs.source, fs.link, fs.first_page AS page_no
 FROM fs JOIN st USING (source)
 WHERE fs.first_page < COALESCE(st.stop_page, 16)""")
 def q_pagination_cut(spark, d):
-    facts = _facts(spark, d)
+    facts = _facts(spark, d, "anchors")
     links = pages.extract_links(facts, LINK_PATTERN, F.lit(LISTING_BASE))
     listing = scan_pages(spark, d).select("page_id", frontier.lang_of(F.col("url")).alias("source"))
     return frontier.pagination_cut(listing, links)
