@@ -67,32 +67,33 @@ def upcoming_batch(df: DataFrame, as_of_ts: str) -> DataFrame:
     return df.agg(F.count_if(upcoming_flag(_deadline(), as_of_ts)).alias("upcoming_deadlines_30_days"))
 
 
-def _breakdown(counts: DataFrame, key: str) -> DataFrame:
-    """Small grouped counts -> one map<string,bigint> row (null key written as 'null', as JSON does)."""
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.col(key), F.lit("null")),
-                                                                 F.col("n")))).alias(key + "_breakdown"))
-
-
 def summary_report(df: DataFrame, as_of_ts: str, sources=tuple(rules.SOURCE_ORDER)) -> DataFrame:
     """AG-1 (+ SNK-3 payload): one row with totals, category/stage maps, Σ amounts, upcoming, sources.
 
-    One scan: records are pre-aggregated by (category, stage) - a result bounded by the number of
-    distinct pairs - and the maps and totals are computed from that small frame.
+    One scan and one shuffle: a grouping-sets aggregate yields per-category counts, per-stage counts
+    and the grand totals together (partial aggregation per task); a final global aggregate over those
+    few rows assembles the report row.
     """
-    cube = (df.groupBy(_category().alias("category"), _stage().alias("career_stage"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(_amin()).alias("smin"), F.sum(_amax()).alias("smax"),
-                 F.count_if(upcoming_flag(_deadline(), as_of_ts)).alias("up")))
-    totals = cube.agg(F.sum("n").cast("bigint").alias("total_opportunities"),
-                      F.struct(F.sum("smin").cast("bigint").alias("min_total_gbp"),
-                               F.sum("smax").cast("bigint").alias("max_total_gbp")).alias("funding_totals"),
-                      F.sum("up").cast("bigint").alias("upcoming_deadlines_30_days"))
-    cats = _breakdown(cube.groupBy("category").agg(F.sum("n").alias("n")), "category")
-    stages = _breakdown(cube.groupBy("career_stage").agg(F.sum("n").alias("n")), "career_stage")
-    return (totals.crossJoin(F.broadcast(cats)).crossJoin(F.broadcast(stages))
-            .select(F.lit(as_of_ts.replace(" ", "T")).alias("update_timestamp"), "total_opportunities",
-                    "category_breakdown", F.col("career_stage_breakdown"), "funding_totals",
-                    "upcoming_deadlines_30_days",
-                    F.array(*[F.lit(s) for s in sources]).alias("data_sources")))
+    flat = df.select(_category().alias("category"), _stage().alias("career_stage"), _amin().alias("amin"),
+                     _amax().alias("amax"), upcoming_flag(_deadline(), as_of_ts).alias("upcoming"))
+    g = (flat.groupingSets([["category"], ["career_stage"], []], "category", "career_stage")
+         .agg(F.count(F.lit(1)).alias("n"), F.sum("amin").alias("smin"), F.sum("amax").alias("smax"),
+              F.count_if("upcoming").alias("up"), F.grouping_id().alias("gid")))
+    total, by_cat, by_stage = F.col("gid") == 3, F.col("gid") == 1, F.col("gid") == 2
+
+    def entries(key: str, sel: Column) -> Column:
+        return F.map_from_entries(F.collect_list(F.when(sel, F.struct(F.coalesce(F.col(key), F.lit("null")),
+                                                                      F.col("n")))))
+
+    return g.agg(
+        F.lit(as_of_ts.replace(" ", "T")).alias("update_timestamp"),
+        F.sum(F.when(total, F.col("n"))).cast("bigint").alias("total_opportunities"),
+        entries("category", by_cat).alias("category_breakdown"),
+        entries("career_stage", by_stage).alias("career_stage_breakdown"),
+        F.struct(F.sum(F.when(total, F.col("smin"))).cast("bigint").alias("min_total_gbp"),
+                 F.sum(F.when(total, F.col("smax"))).cast("bigint").alias("max_total_gbp")).alias("funding_totals"),
+        F.sum(F.when(total, F.col("up"))).cast("bigint").alias("upcoming_deadlines_30_days"),
+        F.array(*[F.lit(x) for x in sources]).alias("data_sources"))
 
 
 def map_text(m: Column) -> Column:
@@ -115,13 +116,17 @@ def headline_stats(df: DataFrame, as_of: str) -> DataFrame:
 def share(df: DataFrame, key: Column, name: str, falsy_default: str) -> DataFrame:
     """AG-3 / AG-4: count per key (falsy -> default), percent of the total (1 decimal), first appearance.
 
-    Sorted by count desc, ties by first appearance (``ord``). The total is a 1-row aggregate of the
-    grouped counts, broadcast back; the grouped frame is reused (one scan of the input).
+    Sorted by count desc, ties by first appearance (``ord``). One scan: a grouping-sets aggregate
+    yields the per-key counts and the grand total together (partial aggregation per task); that
+    small result (one row per key plus one) is checkpointed to the shared checkpoint folder, so the
+    total can be broadcast back to the key rows without reading the input a second time.
     """
-    k = derive.falsy_to(key, falsy_default)
-    counts = df.groupBy(k.alias(name)).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return (counts.crossJoin(F.broadcast(total))
+    flat = df.select(derive.falsy_to(key, falsy_default).alias(name), F.col("ord"))
+    g = (flat.groupingSets([[name], []], name)
+         .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"), F.grouping_id().alias("gid")))
+    g = g.checkpoint(eager=True)
+    total = g.filter(F.col("gid") == 1).select(F.col("n").alias("total"))
+    return (g.filter(F.col("gid") == 0).crossJoin(F.broadcast(total))
             .select(name, "n", F.col("total").cast("bigint").alias("total"),
                     F.round(F.lit(100.0) * F.col("n") / F.col("total"), 1).alias("pct"), "first_ord")
             .orderBy(F.desc("n"), F.asc("first_ord")))
@@ -158,18 +163,20 @@ def top_organizations(df: DataFrame, k: int = 5) -> DataFrame:
 
 def value_bands(df: DataFrame) -> DataFrame:
     """AG-7: a = max||min||0 over a > 0; bands against the mean: high > 2·avg, medium (avg, 2·avg], low <= avg.
-    The mean is an exact Σ/n (1-row aggregate, broadcast back)."""
+
+    Two passes, as the rule needs the mean before any band: the mean is an exact Σ/n (a 1-row
+    aggregate, broadcast), and one more aggregate counts the bands and carries the mean along.
+    """
     a = F.coalesce(_nz0(_amax()), _nz0(_amin()), F.lit(0))
     amounts = df.select(a.alias("a")).filter(F.col("a") > 0)
     mean = amounts.agg((F.sum("a") / F.count(F.lit(1))).alias("avg_amount"))
     j = amounts.crossJoin(F.broadcast(mean))
+    avg = F.col("avg_amount")
     return j.agg(F.count(F.lit(1)).alias("n"),
-                 F.count_if(F.col("a") > 2 * F.col("avg_amount")).alias("high"),
-                 F.count_if((F.col("a") > F.col("avg_amount")) & (F.col("a") <= 2 * F.col("avg_amount")))
-                 .alias("medium"),
-                 F.count_if(F.col("a") <= F.col("avg_amount")).alias("low")
-                 ).crossJoin(F.broadcast(mean)).select(
-        "n", F.round(F.coalesce(F.col("avg_amount"), F.lit(0.0)), 6).alias("avg_amount"), "high", "medium", "low")
+                 F.round(F.coalesce(F.max(avg), F.lit(0.0)), 6).alias("avg_amount"),
+                 F.count_if(F.col("a") > 2 * avg).alias("high"),
+                 F.count_if((F.col("a") > avg) & (F.col("a") <= 2 * avg)).alias("medium"),
+                 F.count_if(F.col("a") <= avg).alias("low"))
 
 
 def competition_verdict(bands: DataFrame) -> DataFrame:
