@@ -19,12 +19,23 @@ _HEAD = (r"(?s)([A-Za-z0-9\s&,/-]+?)\nFor\s(.+?)\n(?:Duration:\s(.+?)\n)?(?:Freq
 BLOCK_INTENT = _HEAD + r"(?:Deadline/Opening:\s([^\n]+))?"
 BLOCK_FAITHFUL = _HEAD + r"(?:Deadline/Opening:\s(.+?))?"
 _MONTHS = "|".join(rules.MONTHS)
+DURATION_RANGE = r"(\d+)(?: to (\d+))?\s*years"
+VALUE = r"(?i)£([\d,.]+)(?:m| million)?(?: to £([\d,.]+)(?:m| million)?)?"
+DEADLINE_NAMED_PLAIN = rf"(\d{{1,2}}\s(?:{_MONTHS})\s\d{{4}})"
 
 
 def _nz(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _groups(match: Column, pattern: str, n: int) -> Column:
+    """Groups 1..n of ``pattern`` re-read from its own full match, in one regex pass."""
+    template = "\u0001".join(f"${i}" for i in range(1, n + 1))
+    one_pass = F.split(F.regexp_replace(match, pattern, template), "\u0001")
+    per_group = F.array(*[F.regexp_extract(match, pattern, i) for i in range(1, n + 1)])
+    return F.when(match.contains("\u0001"), per_group).otherwise(one_pass)
+
+
 def split_blocks(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), BLOCK_SPLIT)
 
@@ -50,7 +61,7 @@ def parse_block(block: Column, faithful_deadline: bool = False) -> Column:
 def block_duration(duration_text: Column) -> Column:
     """EX-19b: 'a to b years' -> b, 'n years' -> n, else 'n year' -> n, else 0."""
     t = F.coalesce(duration_text, F.lit(""))
-    r = r"(\d+)(?: to (\d+))?\s*years"
+    r = DURATION_RANGE
     hit = _nz(F.regexp_extract(t, r, 0)).isNotNull()
     a, b = _nz(F.regexp_extract(t, r, 1)).try_cast("int"), _nz(F.regexp_extract(t, r, 2)).try_cast("int")
     single = _nz(F.regexp_extract(t, r"(\d+)\s*year", 1)).try_cast("int")
@@ -61,7 +72,7 @@ def block_amount(value_text: Column) -> Column:
     """EX-19c: '£a[m| million][ to £b[m| million]]' (commas dropped), x 1e6 when the value text holds
     'million' or the letter 'm' (case-sensitive); b missing -> max = min; no match -> 0 / 0."""
     t = F.coalesce(value_text, F.lit(""))
-    r = r"(?i)£([\d,.]+)(?:m| million)?(?: to £([\d,.]+)(?:m| million)?)?"
+    r = VALUE
     hit = _nz(F.regexp_extract(t, r, 0)).isNotNull()
     scale = F.when(t.contains("million") | t.contains("m"), F.lit(1000000.0)).otherwise(F.lit(1.0))
     lo = F.replace(F.regexp_extract(t, r, 1), F.lit(","), F.lit("")).try_cast("double") * scale
@@ -75,7 +86,7 @@ def deadline_status(deadline_text: Column) -> Column:
     """EX-19d: 'Currently closed' -> Closed; 'Open all year' -> Rolling; 'D Month YYYY' -> ISO date;
     else a 4-digit year; else 'N/A'."""
     t = F.coalesce(deadline_text, F.lit(""))
-    named = F.regexp_extract(t, rf"(\d{{1,2}}\s(?:{_MONTHS})\s\d{{4}})", 1)
+    named = F.regexp_extract(t, DEADLINE_NAMED_PLAIN, 1)
     parsed = F.date_format(F.try_to_date(F.regexp_replace(named, r"\s", " "), "d MMMM yyyy"), "yyyy-MM-dd")
     year = _nz(F.regexp_extract(t, r"(\d{4})", 1))
     return (F.when(deadline_text.isNull(), F.lit("N/A"))
@@ -91,15 +102,16 @@ def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful
     """EX-19a..d: one row per matched block with its parsed fields.
 
     Staged: the block pattern scans each block once (group 0); a single replace over that match
-    then yields all named parts (no per-group re-scan), and the parsers reference staged columns.
+    then yields all named parts (no per-group re-scan); the duration, value and deadline parsers
+    are staged the same way, so every regex runs once per part.
     """
     p = BLOCK_FAITHFUL if faithful_deadline else BLOCK_INTENT
     b = df.select(id_col, F.posexplode(split_blocks(F.col(text_col))).alias("block_no", "block"))
     m = b.select(id_col, (F.col("block_no") + 1).alias("block_no"), F.regexp_extract("block", p, 0).alias("_m"))
     m = m.filter(F.col("_m") != "")
     # one more pass over the (short) match yields all six groups at once, separated by \x01
-    groups = F.split(F.regexp_replace(F.col("_m"), p, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6"), "\u0001")
-    m = m.select(id_col, "block_no", groups.alias("_g"))
+    # (a block that itself holds \x01 falls back to one extraction per group)
+    m = m.select(id_col, "block_no", "_m", _groups(F.col("_m"), p, 6).alias("_g"))
 
     def g(i):
         return F.element_at(F.col("_g"), i)
@@ -107,11 +119,41 @@ def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful
     parts = m.select(id_col, "block_no", F.trim(g(1)).alias("title"), F.trim(g(2)).alias("description"),
                      _nz(g(3)).alias("duration_text"), _nz(g(4)).alias("frequency_text"),
                      _nz(g(5)).alias("value_text"), _nz(g(6)).alias("deadline_text"))
-    amt = block_amount(F.col("value_text"))
+    # staged parsers: each regex runs once per block part, later steps reference the staged columns
+    dur, val, dl = (F.coalesce(F.col(c), F.lit("")) for c in ("duration_text", "value_text", "deadline_text"))
+    parts = parts.withColumns({
+        "_dm": F.regexp_extract(dur, DURATION_RANGE, 0),
+        "_vm": F.regexp_extract(val, VALUE, 0),
+        "_vs": F.when(val.contains("million") | val.contains("m"), F.lit(1000000.0)).otherwise(F.lit(1.0)),
+        "_dn": F.regexp_extract(dl, DEADLINE_NAMED_PLAIN, 1),
+        "_dy": _nz(F.regexp_extract(dl, r"(\d{4})", 1)),
+    })
+    parts = parts.withColumns({
+        "_dab": _groups(F.col("_dm"), DURATION_RANGE, 2),
+        "_d1": F.when(F.col("_dm") == "", _nz(F.regexp_extract(dur, r"(\d+)\s*year", 1)).try_cast("int")),
+        "_vab": _groups(F.col("_vm"), VALUE, 2),
+    })
+    parts = parts.withColumn("_vlo", F.replace(F.element_at("_vab", 1), F.lit(","), F.lit("")).try_cast("double")
+                             * F.col("_vs"))
+    vhit = F.col("_vm") != ""
+    v2 = _nz(F.element_at("_vab", 2))
+    vhi = F.when(v2.isNull(), F.col("_vlo")).otherwise(F.replace(v2, F.lit(","), F.lit("")).try_cast("double")
+                                                        * F.col("_vs"))
+    years = F.when(F.col("_dm") != "", F.coalesce(_nz(F.element_at("_dab", 2)).try_cast("int"),
+                                                   F.element_at("_dab", 1).try_cast("int"))) \
+        .otherwise(F.coalesce(F.col("_d1"), F.lit(0)))
+    parsed = F.date_format(F.try_to_date(F.regexp_replace(F.col("_dn"), r"\s", " "), "d MMMM yyyy"), "yyyy-MM-dd")
+    status = (F.when(F.col("deadline_text").isNull(), F.lit("N/A"))
+              .when(dl.contains("Currently closed"), F.lit("Closed"))
+              .when(dl.contains("Open all year"), F.lit("Rolling"))
+              .when(F.col("_dn") != "", F.coalesce(parsed, F.lit("N/A")))
+              .when(F.col("_dy").isNotNull(), F.col("_dy"))
+              .otherwise(F.lit("N/A")))
     return parts.select(
         id_col, "block_no", "title", "description",
         F.coalesce(F.col("frequency_text"), F.lit("N/A")).alias("frequency"),
-        block_duration(F.col("duration_text")).alias("duration_years"),
-        amt["min"].alias("amount_min"), amt["max"].alias("amount_max"),
-        deadline_status(F.col("deadline_text")).alias("deadline"),
+        years.alias("duration_years"),
+        F.when(vhit, F.col("_vlo")).otherwise(F.lit(0.0)).alias("amount_min"),
+        F.when(vhit, vhi).otherwise(F.lit(0.0)).alias("amount_max"),
+        status.alias("deadline"),
         "duration_text", "value_text", "deadline_text")

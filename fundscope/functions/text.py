@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 
-# Python's str whitespace (29 code points); Java's \s alone misses \x1c-\x1f, NEL, NBSP and the
-# Unicode spaces, so they are listed explicitly.
-WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Python's str whitespace (29 code points) = Unicode White_Space (Java's (?U)\s, 25) + \x1c-\x1f.
+# Scoped flag group, so Unicode mode does not reach \d elsewhere in a pattern.
+WS = r"(?U:[\s\x1c-\x1f])"
 
 AMOUNT_PATTERNS = [
     rf"(?i)£([\d,]+)(?:{WS}*-{WS}*£([\d,]+))?",
@@ -87,12 +87,22 @@ def extract_amount(text) -> Column:
 def with_amount(df, text_col: str, out: str = "amount"):
     """EX-7/EX-8 as a staged DataFrame transform (same result as ``extract_amount``).
 
-    Each pattern scans the text once (group 0); the groups are then re-read from the short match
-    only, and every later step references the staged columns, so no regex is evaluated twice.
+    A pattern can only match when the text holds its marker ('£', 'k'/'thousand', 'm'), the same
+    flags that decide the scale; so each scan is gated on its marker and runs only when the
+    earlier patterns missed. The groups are re-read from the short match, and every later step
+    references the staged columns, so no regex is evaluated twice.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     lt = F.lower(t)
-    df = df.withColumns({f"_am{i}": F.regexp_extract(t, p, 0) for i, p in enumerate(AMOUNT_PATTERNS)})
+    df = df.withColumn("_amlt", lt)
+    df = df.withColumns({"_amp": F.col(text_col).contains("£"),
+                         "_amkf": F.col("_amlt").contains("thousand") | F.col("_amlt").contains("k"),
+                         "_ammf": F.col("_amlt").contains("million") | F.col("_amlt").contains("m")})
+    df = df.withColumn("_am0", F.when(F.col("_amp"), F.regexp_extract(t, AMOUNT_PATTERNS[0], 0)).otherwise(""))
+    df = df.withColumn("_am1", F.when((F.col("_am0") == "") & F.col("_amkf"),
+                                      F.regexp_extract(t, AMOUNT_PATTERNS[1], 0)).otherwise(""))
+    df = df.withColumn("_am2", F.when((F.col("_am0") == "") & (F.col("_am1") == "") & F.col("_ammf"),
+                                      F.regexp_extract(t, AMOUNT_PATTERNS[2], 0)).otherwise(""))
     df = df.withColumn("_amk", F.when(F.col("_am0") != "", 0).when(F.col("_am1") != "", 1)
                        .when(F.col("_am2") != "", 2))
     g1 = g2 = None
@@ -100,8 +110,8 @@ def with_amount(df, text_col: str, out: str = "amount"):
         e1, e2 = F.regexp_extract(F.col(f"_am{i}"), p, 1), F.regexp_extract(F.col(f"_am{i}"), p, 2)
         g1 = F.when(F.col("_amk") == i, e1) if g1 is None else g1.when(F.col("_amk") == i, e1)
         g2 = F.when(F.col("_amk") == i, e2) if g2 is None else g2.when(F.col("_amk") == i, e2)
-    scale = (F.when(lt.contains("thousand") | lt.contains("k"), F.lit(1000))
-             .when(lt.contains("million") | lt.contains("m"), F.lit(1000000)).otherwise(F.lit(1))).cast("bigint")
+    scale = (F.when(F.col("_amkf"), F.lit(1000)).when(F.col("_ammf"), F.lit(1000000))
+             .otherwise(F.lit(1))).cast("bigint")
     df = df.withColumns({"_amlo": _parse_int(g1), "_amg2": _nz(g2), "_amsc": scale})
     df = df.withColumn("_amhi", F.when(F.col("_amg2").isNull(), F.col("_amlo")).otherwise(_parse_int(F.col("_amg2"))))
     hit = F.col("_amk").isNotNull()
@@ -112,7 +122,8 @@ def with_amount(df, text_col: str, out: str = "amount"):
         F.when(parsed, F.when(~hit, zero).otherwise(F.try_multiply(F.col("_amhi"), F.col("_amsc")))).alias("max"),
         F.lit("GBP").alias("currency"),
         parsed.alias("parsed"))
-    return df.withColumn(out, res).drop("_am0", "_am1", "_am2", "_amk", "_amlo", "_amg2", "_amsc", "_amhi")
+    return df.withColumn(out, res).drop("_amlt", "_amp", "_amkf", "_ammf", "_am0", "_am1", "_am2", "_amk", "_amlo",
+                                        "_amg2", "_amsc", "_amhi")
 
 
 def amount_with_defaults(text) -> Column:
@@ -190,8 +201,9 @@ def deadline_defaults(extracted_date, as_of) -> Column:
 
 
 def first_email(text) -> Column:
-    """EX-13: first e-mail address in the text, else ''."""
-    return F.regexp_extract(F.coalesce(_c(text), F.lit("")), rules.EMAIL_PATTERN, 0)
+    """EX-13: first e-mail address in the text, else ''. Texts without '@' skip the regex."""
+    t = F.coalesce(_c(text), F.lit(""))
+    return F.when(t.contains("@"), F.regexp_extract(t, rules.EMAIL_PATTERN, 0)).otherwise(F.lit(""))
 
 
 def career_stage(text) -> Column:
@@ -227,6 +239,17 @@ def classify_source(url, text=None) -> Column:
     return F.coalesce(*parts)
 
 
+def with_source_class(df, url_col: str, text_col: str | None, out: str = "council"):
+    """EX-16 as a staged DataFrame transform: the lowered url and text are computed once each, and the
+    text chain runs only for url misses."""
+    df = df.withColumn("_scu", _keyword_chain(F.lower(F.coalesce(F.col(url_col), F.lit("")))))
+    if text_col is None:
+        return df.withColumn(out, F.coalesce(F.col("_scu"), F.lit(rules.DEFAULT_COUNCIL))).drop("_scu")
+    df = df.withColumn("_sct", F.when(F.col("_scu").isNull(), F.lower(F.coalesce(F.col(text_col), F.lit("")))))
+    res = F.coalesce(F.col("_scu"), _keyword_chain(F.col("_sct")), F.lit(rules.DEFAULT_COUNCIL))
+    return df.withColumn(out, res).drop("_scu", "_sct")
+
+
 def generate_tags(source, title, description) -> Column:
     """EX-17: [source] followed by the tag of every keyword found in lower(title + ' ' + description)."""
     t = F.lower(F.concat_ws(" ", F.coalesce(_c(title), F.lit("")), F.coalesce(_c(description), F.lit(""))))

@@ -121,7 +121,7 @@ def q_deadline_status(spark, d):
 
 # ------------------------------------------------------------------ documents
 
-_WS_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WS_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # RE2 twin of tx.WS
 
 
 def _clean_sql(x: str) -> str:
@@ -150,8 +150,8 @@ def _council_sql(x: str) -> str:
 SELECT doc_id, COALESCE({_council_sql('source')}, {_council_sql('text')}, {R.q(rules.DEFAULT_COUNCIL)}) AS council
 FROM documents""")
 def q_classify_source(spark, d):
-    return load(spark, d, "documents").select("doc_id", tx.classify_source(F.col("source"), F.col("text"))
-                                              .alias("council"))
+    docs = load(spark, d, "documents").select("doc_id", "source", "text")
+    return tx.with_source_class(docs, "source", "text", "council").select("doc_id", "council")
 
 
 def _amount_sql() -> str:

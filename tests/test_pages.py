@@ -86,3 +86,10 @@ def test_labelled_block(spark):
     r = blocks.labelled_blocks(df, "id").collect()[0]
     assert (r["title"], r["duration_years"], r["amount_min"], r["amount_max"], r["deadline"], r["frequency"]) == (
         "Research Fellowships", 3, 50000.0, 100000.0, "2025-05-01", "Annual")
+
+
+def test_labelled_block_with_separator_char(spark):
+    text = "Grants\nFor a\u0001b\nValue: £5 to £7\nDeadline/Opening: Open all year"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    r = blocks.labelled_blocks(df, "id").collect()[0]
+    assert (r["description"], r["amount_min"], r["amount_max"], r["deadline"]) == ("a\u0001b", 5.0, 7.0, "Rolling")
