@@ -106,9 +106,11 @@ def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful
     are staged the same way, so every regex runs once per part.
     """
     p = BLOCK_FAITHFUL if faithful_deadline else BLOCK_INTENT
-    b = df.select(id_col, F.posexplode(split_blocks(F.col(text_col))).alias("block_no", "block"))
-    m = b.select(id_col, (F.col("block_no") + 1).alias("block_no"), F.regexp_extract("block", p, 0).alias("_m"))
-    m = m.filter(F.col("_m") != "")
+    # the match is taken inside the explode, so the filter on it stays above the generator (the
+    # optimizer cannot push it down and evaluate the block regex a second time)
+    matches = F.transform(split_blocks(F.col(text_col)), lambda blk: F.regexp_extract(blk, p, 0))
+    m = df.select(id_col, F.posexplode(matches).alias("block_no", "_m"))
+    m = m.filter(F.col("_m") != "").withColumn("block_no", F.col("block_no") + 1)
     # one more pass over the (short) match yields all six groups at once, separated by \x01
     # (a block that itself holds \x01 falls back to one extraction per group)
     m = m.select(id_col, "block_no", "_m", _groups(F.col("_m"), p, 6).alias("_g"))
