@@ -131,3 +131,9 @@ def test_latest_and_changes(spark):
     assert latest == [(1, 4), (2, 5)]
     ch = sorted((r["e"], r["change"]) for r in merge.snapshot_changes(ev, "u", "ts", "e", ["t"]).collect())
     assert ch == [(1, "new"), (3, "changed"), (5, "new")]
+
+
+def test_sort_unknown_key_keeps_input_order(spark):
+    df = _records(spark, [{"title": "b"}, {"title": "a"}, {"title": "c"}])
+    assert [r["title"] for r in search.sort_records(df, "whatever").collect()] == ["b", "a", "c"]
+    assert [r["title"] for r in search.sort_records(df, "title").collect()] == ["a", "b", "c"]
