@@ -42,7 +42,7 @@ def _clean_sql(x: str) -> str:
 _PIECES = f"string_split(regexp_replace({_CLEAN_HTML}, '<[^>]*>', chr(1), 'g'), chr(1))"
 _TITLE = _clean_sql(_decode("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))
 _HOST = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
-_ANCHORS = """(SELECT page_id, url, unnest(hrefs) AS href, unnest(range(1, len(hrefs) + 1)) AS pos
+_ANCHORS = """(SELECT page_id, url, unnest(hrefs) AS href, CAST(unnest(range(1, len(hrefs) + 1)) AS INTEGER) AS pos
                 FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))"""
 _LINKS = f"""(SELECT page_id, '{LISTING_BASE}' || href AS link, min(pos) AS pos FROM {_ANCHORS}
               WHERE href <> '' AND regexp_matches(href, '{LINK_PATTERN}') AND NOT contains(href, 'filter_')
@@ -52,7 +52,7 @@ _LINKS = f"""(SELECT page_id, '{LISTING_BASE}' || href AS link, min(pos) AS pos
 
 @register("scan_pages", "SELECT page_id, url, length(html) AS html_chars FROM pages")
 def q_scan_pages(spark, d):
-    return scan_pages(spark, d).select("page_id", "url", F.length("html").alias("html_chars"))
+    return scan_pages(spark, d).select("page_id", "url", F.length("html").cast("bigint").alias("html_chars"))
 
 
 @register("page_text", f"""
@@ -114,7 +114,8 @@ def q_resolve_url(spark, d):
 
 @register("teaser_cards", """
 SELECT card_id, title,
-       CASE k % 3 WHEN 0 THEN (a + 0.5) * 1000000.0 WHEN 1 THEN a * 1000000.0 ELSE 0.0 END AS amount,
+       CASE k % 3 WHEN 0 THEN (CAST(a AS DOUBLE) + 0.5) * 1000000.0 WHEN 1 THEN CAST(a AS DOUBLE) * 1000000.0
+            ELSE 0.0 END AS amount,
        CAST(CASE k % 3 WHEN 0 THEN dur + 1 WHEN 1 THEN dur ELSE 0 END AS INTEGER) AS duration_years
 FROM teasers""", "teasers")
 def q_teaser_cards(spark, d):
@@ -155,7 +156,8 @@ def q_frontier_dedup(spark, d):
 
 @register("pagination_cut", f"""
 WITH pg AS (SELECT page_id, source, page_no FROM (
-              SELECT page_id, {_LANG} AS source, row_number() OVER (PARTITION BY {_LANG} ORDER BY page_id) AS page_no
+              SELECT page_id, {_LANG} AS source,
+                     CAST(row_number() OVER (PARTITION BY {_LANG} ORDER BY page_id) AS INTEGER) AS page_no
               FROM pages) WHERE page_no <= 15),
      lk AS (SELECT pg.source, pg.page_no, l.link FROM pg JOIN {_LINKS} l USING (page_id)),
      fs AS (SELECT source, link, min(page_no) AS first_page FROM lk GROUP BY source, link),

@@ -71,10 +71,17 @@ def duck():
     return con
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF_SMALL)
     s_rows = [tuple(r) for r in sdf.collect()]
+    rel = duck.sql(E.oracle_sql()[name])
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: SPARK_TO_DUCK.get(t) for c, t in sdf.dtypes} == d_types
     cur = duck.execute(E.oracle_sql()[name])
     d_cols = [c[0] for c in cur.description]
     assert sorted(sdf.columns) == sorted(d_cols)
