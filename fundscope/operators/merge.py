@@ -46,7 +46,7 @@ def upsert_append(base: DataFrame, batch: DataFrame, dedupe_batch: bool = False,
     if dedupe_batch:
         cols = [c for c in cand.columns if c != "id"]
         cand = cand.groupBy("id").agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("r")).select("id", "r.*")
-    new = cand.join(base.select("id").distinct(), "id", "left_anti")
+    new = cand.join(base.select("id"), "id", "left_anti")  # anti join: duplicate base ids need no distinct
     return new, base.unionByName(new.select(*base.columns))
 
 

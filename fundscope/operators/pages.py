@@ -154,13 +154,25 @@ def anchors(facts: DataFrame) -> DataFrame:
 def extract_links(facts: DataFrame, pattern: str = rules.OPPORTUNITY_HREF, base_url: Column | None = None,
                   excludes=tuple(rules.LINK_EXCLUDES)) -> DataFrame:
     """EX-14: anchors whose href matches ``pattern`` (search, not anchored), without any excluded
-    substring, resolved; distinct per page, keeping the first position."""
-    a = anchors(facts).filter((F.col("href") != "") & F.col("href").rlike(pattern))
-    for x in excludes:
-        a = a.filter(~F.col("href").contains(x))
+    substring, resolved; distinct per page, keeping the first position.
+
+    All anchors of a page live in one row, so the per-page distinct needs no shuffle: the resolved
+    (link, pos) pairs are sorted inside the row and an element is kept when its link differs from
+    its predecessor's (O(n log n) per page).
+    """
     base = base_url if base_url is not None else F.col("url")
-    a = a.select("page_id", resolve_url(base, F.col("href")).alias("link"), "pos")
-    return a.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
+
+    def keep(a):
+        ok = (a["href"] != "") & a["href"].rlike(pattern)
+        for x in excludes:
+            ok = ok & ~a["href"].contains(x)
+        return ok
+
+    pairs = F.transform(F.filter(F.col("anchors"), keep),
+                        lambda a: F.struct(resolve_url(base, a["href"]).alias("link"), a["pos"].alias("pos")))
+    staged = facts.select("page_id", F.array_sort(pairs).alias("_ls"))
+    firsts = F.filter(F.col("_ls"), lambda x, i: (i == 0) | (F.element_at(F.col("_ls"), i)["link"] != x["link"]))
+    return staged.select("page_id", F.inline(firsts))
 
 
 # ------------------------------------------------------------------ cards

@@ -52,7 +52,7 @@ def lookup_by_id(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     one task.
     """
     if ids is not None:
-        df = df.join(ids.select("id").distinct(), "id", "left_semi")
+        df = df.join(ids.select("id"), "id", "left_semi")
     cols = [c for c in df.columns if c != "id"]
     first = df.groupBy("id").agg(F.min_by(F.struct(*cols), F.col("ord")).alias("r"))
     return first.select("id", "r.*")

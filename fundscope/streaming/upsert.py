@@ -50,7 +50,7 @@ def upsert_batch(batch: DataFrame, target: str, key_cols, order_cols) -> None:
              .agg(F.min_by(F.struct(*cols), F.struct(*[F.col(c) for c in order_cols])).alias("r"))
              .select(*key_cols, "r.*"))
     if _exists(spark, target):
-        existing = spark.read.parquet(target).select(*key_cols).distinct()
+        existing = spark.read.parquet(target).select(*key_cols)
         first = first.join(existing, list(key_cols), "left_anti")
     first.write.mode("append").parquet(target)
 
