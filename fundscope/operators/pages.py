@@ -154,7 +154,7 @@ def anchors(facts: DataFrame) -> DataFrame:
 def extract_links(facts: DataFrame, pattern: str = rules.OPPORTUNITY_HREF, base_url: Column | None = None,
                   excludes=tuple(rules.LINK_EXCLUDES)) -> DataFrame:
     """EX-14: anchors whose href matches ``pattern`` (search, not anchored), without any excluded
-    substring, resolved; distinct per page, keeping the first position.
+    substring, resolved; distinct per page, keeping the first position. Rows: (page_id, url, link, pos).
 
     All anchors of a page live in one row, so the per-page distinct needs no shuffle: the resolved
     (link, pos) pairs are sorted inside the row and an element is kept when its link differs from
@@ -170,9 +170,9 @@ def extract_links(facts: DataFrame, pattern: str = rules.OPPORTUNITY_HREF, base_
 
     pairs = F.transform(F.filter(F.col("anchors"), keep),
                         lambda a: F.struct(resolve_url(base, a["href"]).alias("link"), a["pos"].alias("pos")))
-    staged = facts.select("page_id", F.array_sort(pairs).alias("_ls"))
+    staged = facts.select("page_id", "url", F.array_sort(pairs).alias("_ls"))
     firsts = F.filter(F.col("_ls"), lambda x, i: (i == 0) | (F.element_at(F.col("_ls"), i)["link"] != x["link"]))
-    return staged.select("page_id", F.inline(firsts))
+    return staged.select("page_id", "url", F.inline(firsts))
 
 
 # ------------------------------------------------------------------ cards

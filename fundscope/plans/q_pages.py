@@ -99,7 +99,8 @@ def q_application_url(spark, d):
 
 @register("extract_links", f"SELECT page_id, link, pos FROM {_LINKS}")
 def q_extract_links(spark, d):
-    return pages.extract_links(_facts(spark, d, "anchors"), LINK_PATTERN, F.lit(LISTING_BASE))
+    return pages.extract_links(_facts(spark, d, "anchors"), LINK_PATTERN, F.lit(LISTING_BASE)).select(
+        "page_id", "link", "pos")
 
 
 @register("resolve_url", f"SELECT page_id, pos, href, {_HOST} || href AS resolved FROM {_ANCHORS} "
@@ -137,10 +138,9 @@ _RANK = "(CASE " + " ".join(f"WHEN {_LANG} = '{x}' THEN {i}" for i, x in enumera
 
 
 def _listing_links(spark, d):
-    facts = _facts(spark, d, "anchors")
-    links = pages.extract_links(facts, LINK_PATTERN, F.lit(LISTING_BASE))
-    src = scan_pages(spark, d).select("page_id", frontier.lang_of(F.col("url")).alias("source"))
-    return links.join(src, "page_id"), src
+    """Links of the listing pages with their source (the language segment of the page URL)."""
+    links = pages.extract_links(_facts(spark, d, "anchors"), LINK_PATTERN, F.lit(LISTING_BASE))
+    return links.withColumn("source", frontier.lang_of(F.col("url")))
 
 
 @register("frontier_dedup", f"""
@@ -150,8 +150,7 @@ SELECT link, source, page_id, pos FROM (
   FROM {_LINKS} l JOIN (SELECT page_id, {_LANG} AS source, {_RANK} AS rnk FROM pages) p USING (page_id))
 WHERE rn = 1""")
 def q_frontier_dedup(spark, d):
-    links, _src = _listing_links(spark, d)
-    return frontier.frontier_dedup(links)
+    return frontier.frontier_dedup(_listing_links(spark, d))
 
 
 @register("pagination_cut", f"""
