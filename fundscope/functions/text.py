@@ -22,6 +22,8 @@ AMOUNT_PATTERNS = [
     rf"(?i)([\d,]+)(?:{WS}*-{WS}*([\d,]+))?{WS}*(?:thousand|k)",
     rf"(?i)([\d,]+)(?:{WS}*-{WS}*([\d,]+))?{WS}*(?:million|m)",
 ]
+# D2 option: amounts may carry a decimal part
+AMOUNT_PATTERNS_DECIMAL = [p.replace(r"([\d,]+)", r"([\d,]+(?:\.\d+)?)") for p in AMOUNT_PATTERNS]
 DURATION_PATTERN = rf"(?i)(\d+){WS}*year"
 _MONTH_ALT = "|".join(rules.MONTHS)
 DEADLINE_NAMED = rf"(?i)(\d{{1,2}}){WS}+({_MONTH_ALT}){WS}+(\d{{4}})"
@@ -51,6 +53,12 @@ def _parse_int(s: Column) -> Column:
     return _nz(F.regexp_replace(s, r"[^0-9]", "")).try_cast("bigint")
 
 
+def _parse_decimal(s: Column) -> Column:
+    """D2 option: '[\\d,]+(.\\d+)?' token as double (commas dropped); no digit -> null."""
+    digits = _nz(F.regexp_replace(s, r"[^0-9.]", ""))
+    return F.when(digits.rlike(r"[0-9]"), digits.try_cast("double"))
+
+
 def extract_amount(text) -> Column:
     """EX-7/EX-8: struct(min, max, currency, parsed).
 
@@ -84,42 +92,63 @@ def extract_amount(text) -> Column:
     )
 
 
-def with_amount(df, text_col: str, out: str = "amount"):
-    """EX-7/EX-8 as a staged DataFrame transform (same result as ``extract_amount``).
+def with_amount(df, text_col: str, out: str = "amount", scale_scope: str = "document", allow_decimal: bool = False):
+    """EX-7/EX-8 as a staged DataFrame transform (same result as ``extract_amount`` by default).
 
     A pattern can only match when the text holds its marker ('£', 'k'/'thousand', 'm'), the same
     flags that decide the scale; so each scan is gated on its marker and runs only when the
     earlier patterns missed. The groups are re-read from the short match, and every later step
     references the staged columns, so no regex is evaluated twice.
+
+    Options (SURVEY D1, D2): ``scale_scope='match'`` takes the scale from the matched amount only
+    (its own 'k'/'thousand'/'m'/'million' suffix, or the word right after a '£' amount) instead of
+    from the whole text; ``allow_decimal=True`` keeps a decimal part ('£1.5 million' -> 1,500,000).
     """
+    if scale_scope not in ("document", "match"):
+        raise ValueError("scale_scope must be 'document' or 'match'")
+    pats = AMOUNT_PATTERNS_DECIMAL if allow_decimal else AMOUNT_PATTERNS
     t = F.coalesce(F.col(text_col), F.lit(""))
     lt = F.lower(t)
     df = df.withColumn("_amlt", lt)
     df = df.withColumns({"_amp": F.col(text_col).contains("£"),
                          "_amkf": F.col("_amlt").contains("thousand") | F.col("_amlt").contains("k"),
                          "_ammf": F.col("_amlt").contains("million") | F.col("_amlt").contains("m")})
-    df = df.withColumn("_am0", F.when(F.col("_amp"), F.regexp_extract(t, AMOUNT_PATTERNS[0], 0)).otherwise(""))
+    df = df.withColumn("_am0", F.when(F.col("_amp"), F.regexp_extract(t, pats[0], 0)).otherwise(""))
     df = df.withColumn("_am1", F.when((F.col("_am0") == "") & F.col("_amkf"),
-                                      F.regexp_extract(t, AMOUNT_PATTERNS[1], 0)).otherwise(""))
+                                      F.regexp_extract(t, pats[1], 0)).otherwise(""))
     df = df.withColumn("_am2", F.when((F.col("_am0") == "") & (F.col("_am1") == "") & F.col("_ammf"),
-                                      F.regexp_extract(t, AMOUNT_PATTERNS[2], 0)).otherwise(""))
+                                      F.regexp_extract(t, pats[2], 0)).otherwise(""))
     df = df.withColumn("_amk", F.when(F.col("_am0") != "", 0).when(F.col("_am1") != "", 1)
                        .when(F.col("_am2") != "", 2))
     g1 = g2 = None
-    for i, p in enumerate(AMOUNT_PATTERNS):
+    for i, p in enumerate(pats):
         e1, e2 = F.regexp_extract(F.col(f"_am{i}"), p, 1), F.regexp_extract(F.col(f"_am{i}"), p, 2)
         g1 = F.when(F.col("_amk") == i, e1) if g1 is None else g1.when(F.col("_amk") == i, e1)
         g2 = F.when(F.col("_amk") == i, e2) if g2 is None else g2.when(F.col("_amk") == i, e2)
-    scale = (F.when(F.col("_amkf"), F.lit(1000)).when(F.col("_ammf"), F.lit(1000000))
-             .otherwise(F.lit(1))).cast("bigint")
-    df = df.withColumns({"_amlo": _parse_int(g1), "_amg2": _nz(g2), "_amsc": scale})
-    df = df.withColumn("_amhi", F.when(F.col("_amg2").isNull(), F.col("_amlo")).otherwise(_parse_int(F.col("_amg2"))))
+    if scale_scope == "document":
+        scale = (F.when(F.col("_amkf"), F.lit(1000)).when(F.col("_ammf"), F.lit(1000000))
+                 .otherwise(F.lit(1))).cast("bigint")
+    else:
+        m = F.coalesce(_nz(F.col("_am0")), _nz(F.col("_am1")), _nz(F.col("_am2")), F.lit(""))
+        after = t.substr(F.position(m, t) + F.length(m), F.lit(32))
+        unit = F.lower(F.when(F.col("_amk") == 0, F.regexp_extract(after, rf"(?i)^{WS}*(thousand|million|k|m)\b", 1))
+                       .otherwise(F.regexp_extract(m, r"(?i)(thousand|million|k|m)$", 1)))
+        scale = (F.when(unit.isin("thousand", "k"), F.lit(1000)).when(unit.isin("million", "m"), F.lit(1000000))
+                 .otherwise(F.lit(1))).cast("bigint")
+    parse = _parse_decimal if allow_decimal else _parse_int
+    df = df.withColumns({"_amlo": parse(g1), "_amg2": _nz(g2), "_amsc": scale})
+    df = df.withColumn("_amhi", F.when(F.col("_amg2").isNull(), F.col("_amlo")).otherwise(parse(F.col("_amg2"))))
     hit = F.col("_amk").isNotNull()
     parsed = ~hit | (F.col("_amlo").isNotNull() & F.col("_amhi").isNotNull())
     zero = F.lit(0).cast("bigint")
+    def scaled(c):
+        if allow_decimal:
+            return F.floor(c * F.col("_amsc")).try_cast("bigint")
+        return F.try_multiply(c, F.col("_amsc"))
+
     res = F.struct(
-        F.when(parsed, F.when(~hit, zero).otherwise(F.try_multiply(F.col("_amlo"), F.col("_amsc")))).alias("min"),
-        F.when(parsed, F.when(~hit, zero).otherwise(F.try_multiply(F.col("_amhi"), F.col("_amsc")))).alias("max"),
+        F.when(parsed, F.when(~hit, zero).otherwise(scaled(F.col("_amlo")))).alias("min"),
+        F.when(parsed, F.when(~hit, zero).otherwise(scaled(F.col("_amhi")))).alias("max"),
         F.lit("GBP").alias("currency"),
         parsed.alias("parsed"))
     return df.withColumn(out, res).drop("_amlt", "_amp", "_amkf", "_ammf", "_am0", "_am1", "_am2", "_amk", "_amlo",
@@ -166,10 +195,39 @@ def extract_deadline(text) -> Column:
     return F.coalesce(named, slash, iso)
 
 
-def with_deadline(df, text_col: str, out: str = "deadline"):
+def _dates_not_before(t: Column, pattern: str, order, not_before: str, months: Column) -> Column:
+    """All matches of one date pattern as dates, keeping the first on or after ``not_before``."""
+    g = [F.regexp_extract_all(t, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
+    parts = F.arrays_zip(*g)
+
+    idx = {k: i for i, k in enumerate(order)}
+
+    def to_date(x):
+        v = [x[f"{i}"] for i in range(3)]
+        if "name" in idx:
+            mnum = F.array_position(months, F.lower(v[idx["name"]])).cast("int")
+        else:
+            mnum = v[idx["m"]].try_cast("int")
+        return ymd_date(v[idx["y"]].try_cast("int"), mnum, v[idx["d"]].try_cast("int"))
+
+    dates = F.transform(parts, to_date)
+    return F.try_element_at(F.filter(dates, lambda x: x >= F.to_date(F.lit(not_before))), F.lit(1))
+
+
+def with_deadline(df, text_col: str, out: str = "deadline", not_before: str | None = None):
     """EX-10 as a staged DataFrame transform (same result as ``extract_deadline``): one scan per
-    pattern, groups re-read from the short match."""
+    pattern, groups re-read from the short match.
+
+    Option ``not_before`` (SURVEY D3): dates before it are skipped; every match of a pattern is then
+    considered (pattern priority kept), and the first valid date on or after the bound wins.
+    """
     t = F.coalesce(F.col(text_col), F.lit(""))
+    if not_before is not None:
+        months = F.array(*[F.lit(m.lower()) for m in rules.MONTHS])
+        res = F.coalesce(_dates_not_before(t, DEADLINE_NAMED, ("d", "name", "y"), not_before, months),
+                         _dates_not_before(t, DEADLINE_SLASH, ("d", "m", "y"), not_before, months),
+                         _dates_not_before(t, DEADLINE_ISO, ("y", "m", "d"), not_before, months))
+        return df.withColumn(out, res)
     pats = {"_dn": DEADLINE_NAMED, "_ds": DEADLINE_SLASH, "_di": DEADLINE_ISO}
     df = df.withColumns({k: F.regexp_extract(t, p, 0) for k, p in pats.items()})
     months = F.array(*[F.lit(m.lower()) for m in rules.MONTHS])

@@ -189,20 +189,21 @@ def competition_verdict(bands: DataFrame) -> DataFrame:
                         "high", "medium", "low")
 
 
-def deadline_bucket(deadline: Column, as_of: str) -> Column:
-    """AG-9 bucket: falsy -> none; browser-invalid date -> open (NaN comparisons fail);
-    days < 0 closed; days <= 30 closing; else open."""
+def deadline_bucket(deadline: Column, as_of: str, unparsed: str = "open") -> Column:
+    """AG-9 bucket: falsy -> none; browser-invalid date -> open (NaN comparisons fail; option
+    ``unparsed='none'`` counts it as no deadline, SURVEY D8); days < 0 closed; days <= 30 closing;
+    else open."""
     days = derive.days_left(derive.js_date(deadline), as_of)
     return (F.when(deadline.isNull() | (deadline == ""), F.lit("none"))
-            .when(days.isNull(), F.lit("open"))
+            .when(days.isNull(), F.lit(unparsed))
             .when(days < 0, F.lit("closed"))
             .when(days <= rules.CLOSING_SOON_DAYS, F.lit("closing"))
             .otherwise(F.lit("open")))
 
 
-def deadline_buckets(df: DataFrame, as_of: str) -> DataFrame:
+def deadline_buckets(df: DataFrame, as_of: str, unparsed: str = "open") -> DataFrame:
     """AG-9: one row of bucket counts (one pass, conditional aggregates)."""
-    b = deadline_bucket(_deadline(), as_of)
+    b = deadline_bucket(_deadline(), as_of, unparsed)
     return df.select(b.alias("b")).agg(
         F.count_if(F.col("b") == "open").alias("open_now"),
         F.count_if(F.col("b") == "closing").alias("closing_soon"),

@@ -173,6 +173,16 @@ def q_deadline_buckets(spark, d):
     return metrics.deadline_buckets(_v1(spark, d), AS_OF)
 
 
+@register("deadline_buckets_fixed", f"""
+SELECT count(*) FILTER (WHERE b = 'open') AS open_now, count(*) FILTER (WHERE b = 'closing') AS closing_soon,
+       count(*) FILTER (WHERE b = 'closed') AS closed, count(*) FILTER (WHERE b = 'none') AS no_deadline
+FROM (SELECT {_BUCKET_SQL.replace("WHEN js_d IS NULL THEN 'open'", "WHEN js_d IS NULL THEN 'none'")} AS b FROM opps)""",
+          "opportunities")
+def q_deadline_buckets_fixed(spark, d):
+    """AG-9 with the D8 option: a deadline the browser cannot parse counts as no deadline."""
+    return metrics.deadline_buckets(_v1(spark, d), AS_OF, unparsed="none")
+
+
 # ============================================================== FL / SO / PR: search, sort, views
 
 SEARCH_TERM, SEARCH_CATEGORY, SEARCH_STAGE = "FELLOW", "academies", "Early Career"

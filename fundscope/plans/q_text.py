@@ -35,6 +35,24 @@ def q_extract_amount(spark, d):
                     F.col("a.parsed").alias("parsed"))
 
 
+_AMOUNT_SQL = """
+SELECT notice_id,
+       CASE k % 4 WHEN 0 THEN lo WHEN 1 THEN CAST(floor(lo / 1000) AS BIGINT) * 1000 WHEN 2 THEN a * 1000000 END
+           AS amount_min,
+       CASE k % 4 WHEN 0 THEN hi WHEN 1 THEN CAST(floor(hi / 1000) AS BIGINT) * 1000 WHEN 2 THEN a * 1000000 END
+           AS amount_max,
+       k % 4 <> 3 AS parsed
+FROM notices"""
+
+
+@register("extract_amount_fixed", _AMOUNT_SQL, "notices")
+def q_extract_amount_fixed(spark, d):
+    """EX-7 with the D1/D2 options: scale from the matched amount only, decimals kept."""
+    n = tx.with_amount(views.notices(spark, d), "text", "a", scale_scope="match", allow_decimal=True)
+    return n.select("notice_id", F.col("a.min").alias("amount_min"), F.col("a.max").alias("amount_max"),
+                    F.col("a.parsed").alias("parsed"))
+
+
 @register("career_stage", """
 SELECT notice_id, CASE WHEN career_stage IN ('Early Career', 'Mid Career', 'Senior') THEN career_stage
                        ELSE 'All Stages' END AS career_stage
@@ -56,6 +74,18 @@ def q_extract_deadline(spark, d):
     return tx.with_deadline(views.notices(spark, d), "text", "deadline").select("notice_id", "deadline")
 
 
+NOT_BEFORE = "1998-01-01"
+
+
+@register("extract_deadline_fixed", f"""
+SELECT notice_id, CASE WHEN ({_NOTICE_DATE}) >= DATE '{NOT_BEFORE}' THEN ({_NOTICE_DATE}) END AS deadline
+FROM notices""", "notices")
+def q_extract_deadline_fixed(spark, d):
+    """EX-10 with the D3 option: dates before NOT_BEFORE are skipped."""
+    return tx.with_deadline(views.notices(spark, d), "text", "deadline", not_before=NOT_BEFORE).select(
+        "notice_id", "deadline")
+
+
 @register("deadline_defaults", f"""
 SELECT notice_id, COALESCE({_NOTICE_DATE}, {D_AS_OF} + {rules.DEFAULT_DEADLINE_DAYS}) AS deadline,
        {D_AS_OF} + {rules.DEFAULT_NEXT_DEADLINE_DAYS} AS next_deadline, 'Annual' AS frequency,

@@ -137,3 +137,9 @@ def test_sort_unknown_key_keeps_input_order(spark):
     df = _records(spark, [{"title": "b"}, {"title": "a"}, {"title": "c"}])
     assert [r["title"] for r in search.sort_records(df, "whatever").collect()] == ["b", "a", "c"]
     assert [r["title"] for r in search.sort_records(df, "title").collect()] == ["a", "b", "c"]
+
+
+def test_unparsed_deadline_option(spark):
+    df = _records(spark, [{"deadline": "N/A"}, {"deadline": "Rolling"}, {"deadline": None}])
+    r = metrics.deadline_buckets(df, AS_OF, unparsed="none").collect()[0]
+    assert (r["open_now"], r["no_deadline"]) == (0, 3)

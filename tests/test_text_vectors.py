@@ -132,3 +132,27 @@ def test_levels(spark):
 def test_format_amount(spark):
     got = _single(spark, derive.format_amount, [1234, 1000000, 123456789, 0], "t long")
     assert got == ["1,234", "1,000,000", "1,234,567.89", "0"]
+
+
+def test_amount_options(spark):
+    texts = ["£25,000 for work", "£2 million, ask us", "Up to £1.5 million", "500k funding available",
+             "Between 50-200 thousand pounds", "£100,000 - £500,000", "now, known", "£3 Million here"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r["a"]["min"], r["a"]["max"]) for r in
+           tx.with_amount(df, "t", "a", scale_scope="match", allow_decimal=True).select("a").collect()]
+    assert got == [(25000, 25000), (2000000, 2000000), (1500000, 1500000), (500000, 500000), (50000, 200000),
+                   (100000, 500000), (None, None), (3000000, 3000000)]
+    faithful = [(r["a"]["min"], r["a"]["max"]) for r in tx.with_amount(df, "t", "a").select("a").collect()]
+    assert faithful[:3] == [(25000000, 25000000), (2000, 2000), (1000000, 1000000)]
+
+
+def test_deadline_not_before_option(spark):
+    rows = [("Closes 3 june 2025", "2025-01-01", dt.date(2025, 6, 3)),
+            ("2025-01-01, then 5 May 2024", "2024-06-01", dt.date(2025, 1, 1)),
+            ("old 2003-05-01, new 2025-02-03", "2020-01-01", dt.date(2025, 2, 3)),
+            ("1/2/2001 or 3/4/2026", "2020-01-01", dt.date(2026, 4, 3)),
+            ("only 2003-05-01", "2020-01-01", None)]
+    for text, bound, want in rows:
+        df = spark.createDataFrame([(text,)], "t string")
+        got = tx.with_deadline(df, "t", "d", not_before=bound).collect()[0]["d"]
+        assert got == want, text
