@@ -97,3 +97,26 @@ def test_record_schema_roundtrip(spark):
     r = df.select(records.parse_records(F.col("value")).alias("r")).select("r.*").collect()[0]
     assert r["eligibility"]["career_stage"] == "Senior" and r["application"]["deadline"] is None
     assert set(schema.RECORD.fieldNames()) <= set(r.asDict())
+
+
+def test_run_update_appends_new_ids_only(spark):
+    from fundscope.operators import merge
+    from fundscope.plans import update, views
+
+    table = _dir(spark, "update") + "/records"
+    v = views.opportunities(spark, "/root/testdata/sf0.001")
+    first = v.filter(F.col("last_updated") < F.to_timestamp_ntz(F.lit("1997-01-01 00:00:00")))
+    r1 = update.run_update(spark, first, table, "1998-06-15 12:00:00")
+    n1 = update.read_table(spark, table).count()
+    assert n1 == first.filter(merge.record_valid(first)).count()  # empty base: every valid row (dups kept)
+    assert r1["summary"].collect()[0]["total_opportunities"] == first.count()
+    seen = {r["id"] for r in update.read_table(spark, table).select("id").collect()}
+    valid_all = v.filter(merge.record_valid(v)).select("id").collect()
+    expected_new = sum(1 for r in valid_all if r["id"] not in seen)
+    update.run_update(spark, v, table, "1998-06-16 12:00:00")
+    n2 = update.read_table(spark, table).count()
+    assert n2 == n1 + expected_new
+    update.run_update(spark, v, table, "1998-06-17 12:00:00", dedupe_batch=True)  # nothing new: idempotent
+    assert update.read_table(spark, table).count() == n2
+    latest = update.read_latest(spark, table)
+    assert latest.count() == latest.select("id").distinct().count()
