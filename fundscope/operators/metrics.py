@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import derive
+from ..session import ensure_checkpoint_dir
 
 
 def _category() -> Column:
@@ -124,6 +125,7 @@ def share(df: DataFrame, key: Column, name: str, falsy_default: str) -> DataFram
     flat = df.select(derive.falsy_to(key, falsy_default).alias(name), F.col("ord"))
     g = (flat.groupingSets([[name], []], name)
          .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"), F.grouping_id().alias("gid")))
+    ensure_checkpoint_dir(df.sparkSession)
     g = g.checkpoint(eager=True)
     total = g.filter(F.col("gid") == 1).select(F.col("n").alias("total"))
     return (g.filter(F.col("gid") == 0).crossJoin(F.broadcast(total))

@@ -31,17 +31,31 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+_LOCAL_SCRATCH: dict[int, str] = {}
+
+
+def checkpoint_base(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``, read from the session).
 
-    Only when the session names none (local tests) is a fresh scratch folder set.
+    Only when the session names none (local tests) is a scratch folder made, once per context.
+    ``spark.checkpoint.dir`` is a static setting, so it is never written here.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="fundscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None)
+    if conf:
+        return conf
+    key = id(spark.sparkContext)
+    if key not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[key] = tempfile.mkdtemp(prefix="fundscope-ckpt-")
+    return _LOCAL_SCRATCH[key]
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make ``DataFrame.checkpoint()`` write to the shared checkpoint folder; returns that folder."""
+    base = checkpoint_base(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return base
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
