@@ -5,7 +5,7 @@
 - RL-6 latest snapshot per entity is a ``max_by`` aggregate: partial aggregation per task, so a hot
   entity never sits whole in one task.
 - RL-7 change detection compares each snapshot with its predecessor. The comparison is split by
-  time bucket: ``lag`` runs inside (entity, bucket) groups, and the first row of a bucket is
+  time bucket (hour in the registered query): ``lag`` runs inside (entity, bucket) groups, and the first row of a bucket is
   compared with the last row of the entity's previous bucket, taken from a per-bucket ``max_by``
   aggregate (one row per entity and bucket). A hot entity is therefore spread over many groups.
 - FL-5 retention is a filter on the record timestamp (pushed into the parquet scan).

@@ -72,7 +72,7 @@ SELECT user_id, event_id, ts, CASE WHEN prev IS NULL THEN 'new' ELSE 'changed' E
 WHERE prev IS NULL OR prev <> event_type""")
 def q_snapshot_changes(spark, d):
     ev = load(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
-    return merge.snapshot_changes(ev, "user_id", "ts", "event_id", ["event_type"], bucket="day")
+    return merge.snapshot_changes(ev, "user_id", "ts", "event_id", ["event_type"], bucket="hour")
 
 
 @register("retention", f"""

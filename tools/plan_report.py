@@ -70,7 +70,7 @@ def main():
               "* `value_bands` / `competition_verdict` read the input twice: the rule needs the mean before any band.",
               "* `union_sources`, `upsert_append*` split the one binding view into several inputs (in use they are "
               "separate tables), so each input is a scan of its own.",
-              "* `snapshot_changes` reads events twice: once for the per-(entity, day) `lag`, once for the per-bucket "
+              "* `snapshot_changes` reads events twice: once for the per-(entity, hour) `lag`, once for the per-bucket "
               "`max_by` aggregate that links each bucket to the previous one (partial aggregation, so that branch "
               "shuffles one row per entity, bucket and task rather than every row).",
               "* Python appears only in the page queries (E-0, one MapInPandas per query).",
