@@ -74,3 +74,55 @@ def test_email_matches_python_rule(spark):
     df = spark.createDataFrame([(v,) for v in vals], "t string")
     got = [r[0] for r in df.select(tx.first_email(F.col("t"))).collect()]
     assert got == [py_email(v) for v in vals]
+
+
+DATE_PIECES = ["3", "31", "29", "12", "1", "/", "-", " ", "2025", "2024", "0000", "June", "june", "FEBRUARY",
+               "February", "May", "Sept", "then", ",", "\n", "10"]
+
+
+def py_deadline(s):
+    import datetime as dt
+    months = {m.lower(): i + 1 for i, m in enumerate(rules.MONTHS)}
+    pats = [(rf"(\d{{1,2}})\s+({'|'.join(rules.MONTHS)})\s+(\d{{4}})", "named"),
+            (r"(\d{1,2})/(\d{1,2})/(\d{4})", "slash"), (r"(\d{4})-(\d{1,2})-(\d{1,2})", "iso")]
+    for p, kind in pats:
+        m = re.search(p, s, re.IGNORECASE)
+        if not m:
+            continue
+        a, b, c = m.groups()
+        try:
+            if kind == "named":
+                return dt.date(int(c), months[b.lower()], int(a))
+            if kind == "slash":
+                return dt.date(int(c), int(b), int(a))
+            return dt.date(int(a), int(b), int(c))
+        except ValueError:
+            continue
+    return None
+
+
+def test_deadline_matches_python_rule(spark):
+    rnd = random.Random(5)
+    vals = ["".join(rnd.choice(DATE_PIECES) for _ in range(rnd.randint(1, 9))) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in vals], "t string")
+    want = [py_deadline(v) for v in vals]
+    assert [r[0] for r in tx.with_deadline(df, "t", "d").select("d").collect()] == want
+    assert [r[0] for r in df.select(tx.extract_deadline(F.col("t"))).collect()] == want
+
+
+def test_resolve_url_matches_urljoin(spark):
+    from urllib.parse import urljoin
+
+    from fundscope.functions.urls import resolve_url
+
+    rnd = random.Random(9)
+    segs = ["a", "b", "..", ".", "", "x.html", "?q=1", "#f", "c d"]
+    bases = ["https://h.org", "https://h.org/", "https://h.org/p/q", "https://h.org/p/q/", "http://h.org/p?x=1#y"]
+    rows = []
+    for _ in range(400):
+        href = "/".join(rnd.choice(segs) for _ in range(rnd.randint(1, 5)))
+        href = rnd.choice(["", "/", "//cdn.org/"]) + href
+        rows.append((rnd.choice(bases), href))
+    df = spark.createDataFrame(rows, "b string, h string")
+    got = [r[0] for r in df.select(resolve_url(F.col("b"), F.col("h"))).collect()]
+    assert got == [urljoin(b, h) for b, h in rows]
