@@ -126,3 +126,76 @@ def test_resolve_url_matches_urljoin(spark):
     df = spark.createDataFrame(rows, "b string, h string")
     got = [r[0] for r in df.select(resolve_url(F.col("b"), F.col("h"))).collect()]
     assert got == [urljoin(b, h) for b, h in rows]
+
+
+def py_blocks(text):
+    """Labelled-block rule (deadline = rest of its line) in plain Python."""
+    import datetime as dt
+    pat = (r"([A-Za-z0-9\s&,/-]+?)\nFor\s(.+?)\n(?:Duration:\s(.+?)\n)?(?:Frequency:\s(.+?)\n)?"
+           r"(?:Value:\s(.+?)\n)?(?:Deadline/Opening:\s([^\n]+))?")
+    out = []
+    for i, block in enumerate(re.split(r"\n\n(?=[A-Z][a-z])", text)):
+        m = re.search(pat, block, re.DOTALL)
+        if not m:
+            continue
+        title, desc, dur, freq, val, dl = m.groups()
+        years = 0
+        if dur:
+            d = re.search(r"(\d+)(?: to (\d+))?\s*years", dur)
+            if d:
+                years = int(d.group(2) or d.group(1))
+            else:
+                d = re.search(r"(\d+)\s*year", dur)
+                years = int(d.group(1)) if d else 0
+        lo = hi = 0.0
+        if val:
+            a = re.search(r"£([\d,.]+)(?:m| million)?(?: to £([\d,.]+)(?:m| million)?)?", val, re.IGNORECASE)
+            if a:
+                f = 1000000.0 if ("million" in val or "m" in val) else 1.0
+                lo = float(a.group(1).replace(",", "")) * f
+                hi = float(a.group(2).replace(",", "")) * f if a.group(2) else lo
+        status = "N/A"
+        if dl:
+            if "Currently closed" in dl:
+                status = "Closed"
+            elif "Open all year" in dl:
+                status = "Rolling"
+            else:
+                nm = re.search(rf"(\d{{1,2}}\s(?:{'|'.join(rules.MONTHS)})\s\d{{4}})", dl)
+                if nm:
+                    try:
+                        status = dt.datetime.strptime(nm.group(1), "%d %B %Y").strftime("%Y-%m-%d")
+                    except ValueError:
+                        pass
+                else:
+                    y = re.search(r"(\d{4})", dl)
+                    status = y.group(1) if y else "N/A"
+        out.append((i + 1, title.strip(), desc.strip(), freq or "N/A", years, lo, hi, status))
+    return out
+
+
+def test_labelled_blocks_match_python_rule(spark):
+    from fundscope.functions import blocks
+
+    rnd = random.Random(13)
+    durations = ["2 to 3 years", "4 years", "up to 1 year", "several", "10-12 months"]
+    values = ["£50,000 to £100,000", "up to £2.5 million", "£3m", "£1,000", "no money", "£7 to £9 million"]
+    deadlines = ["Currently closed", "Open all year", "1 May 2025", "31 February 2025", "Spring 2026", "soon"]
+    texts = []
+    for _ in range(150):
+        blocks_txt = []
+        for _ in range(rnd.randint(1, 3)):
+            lines = [rnd.choice(["Research Grants", "Small Awards 2", "Fellowships & Prizes"]),
+                     "For " + rnd.choice(["early career staff", "all", "PhD students"])]
+            for label, opts in (("Duration", durations), ("Frequency", ["Annual", "Rolling"]),
+                                ("Value", values), ("Deadline/Opening", deadlines)):
+                if rnd.random() < 0.75:
+                    lines.append(f"{label}: {rnd.choice(opts)}")
+            blocks_txt.append("\n".join(lines))
+        texts.append("\n\n".join(blocks_txt))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = sorted(tuple(r) for r in blocks.labelled_blocks(df, "id").select(
+        "id", "block_no", "title", "description", "frequency", "duration_years", "amount_min", "amount_max",
+        "deadline").collect())
+    want = sorted((i, *b) for i, t in enumerate(texts) for b in py_blocks(t))
+    assert got == want
