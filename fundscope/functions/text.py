@@ -66,6 +66,9 @@ def extract_amount(text) -> Column:
     'thousand' -> x1000, else any 'm'/'million' -> x1e6). ``parsed`` is false when a matched token
     holds no digit (", known"), where the source system raised and kept its defaults.
     No match -> 0/0 with parsed true.
+
+    This single-expression form suits short texts; on large inputs use the staged ``with_amount``,
+    which gives the same result with each regex evaluated once and gated on its marker.
     """
     t = F.coalesce(_c(text), F.lit(""))
     lt = F.lower(t)
