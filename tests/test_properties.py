@@ -199,3 +199,48 @@ def test_labelled_blocks_match_python_rule(spark):
         "deadline").collect())
     want = sorted((i, *b) for i, t in enumerate(texts) for b in py_blocks(t))
     assert got == want
+
+
+def test_next_deadline_and_buckets_match_python_rule(spark):
+    import datetime as dt
+
+    from fundscope.functions import derive
+    from fundscope.operators import metrics
+
+    rnd = random.Random(17)
+    days = [dt.date(2023, 12, 31) + dt.timedelta(days=rnd.randint(0, 900)) for _ in range(300)]
+    dls = [d.isoformat() for d in days] + ["2024-02-29", "N/A", "Rolling", "", None, "2025", "2024-2-3"]
+    freqs = ["Annual", "Bi-annual", "Multiple rounds", "Twice yearly"]
+    rows = [(d, rnd.choice(freqs)) for d in dls]
+    df = spark.createDataFrame(rows, "d string, f string")
+
+    def py_next(d, f):
+        try:
+            x = dt.datetime.strptime(d, "%Y-%m-%d").date()
+        except (TypeError, ValueError):
+            return None
+        if "Annual" in f:
+            y = x.year + 1
+            return dt.date(y, x.month, min(x.day, 28 if x.month == 2 and not (y % 4 == 0 and (y % 100 or y % 400 == 0))
+                                           else x.day)).isoformat()
+        return (x + dt.timedelta(days=180 if "Bi-annual" in f else 365)).isoformat()
+
+    got = [r[0] for r in df.select(derive.next_deadline(F.col("d"), F.col("f"))).collect()]
+    assert got == [py_next(d, f) for d, f in rows]
+
+    as_of = dt.date(2025, 1, 10)
+
+    def py_bucket(d):
+        if d is None or d == "":
+            return "none"
+        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", d):
+            x = dt.date.fromisoformat(d)
+        elif re.fullmatch(r"\d{4}", d):
+            x = dt.date(int(d), 1, 1)
+        else:
+            return "open"
+        n = (x - as_of).days
+        return "closed" if n < 0 else ("closing" if n <= 30 else "open")
+
+    got = [r[0] for r in df.select(metrics.deadline_bucket(F.col("d"), as_of.isoformat())).collect()]
+    assert got == [py_bucket(d) for d, _ in rows]
