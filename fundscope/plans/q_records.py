@@ -189,6 +189,25 @@ def q_scan_records(spark, d):
                     F.array_join("tags", ",").alias("tags_text"), "last_updated")
 
 
+@register("scan_record_files", """
+SELECT id, title, category, deadline, lo AS min_amount, hi AS max_amount, career_stage,
+       tag1 || ',' || tag2 AS tags_text, last_updated FROM opportunities""", "opportunities")
+def q_scan_record_files(spark, d):
+    """SRC-1 through files: V1 written as JSON lines (one record per line, null fields omitted) under the
+    shared checkpoint folder, then read back with the explicit record schema; JSON lines split across
+    tasks, unlike one multi-line document per file."""
+    import uuid
+
+    from ..session import scratch_path
+
+    path = scratch_path(spark, f"record-files-{uuid.uuid4().hex}")
+    _v1(spark, d).select(*RECORD_COLS).write.json(path)
+    r = records.scan_records(spark, path, multiline=False)
+    return r.select("id", "title", "category", _dl().alias("deadline"), _amt()["min"].alias("min_amount"),
+                    _amt()["max"].alias("max_amount"), F.col("eligibility.career_stage").alias("career_stage"),
+                    F.array_join("tags", ",").alias("tags_text"), "last_updated")
+
+
 ENVELOPE_CHUNK = 1000
 
 
