@@ -6,9 +6,10 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import packing, token_files
+from . import packing, quality, token_files, url_reputation
 from .common import table, written
 
 QUERIES: dict = {}
@@ -32,3 +33,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, f"tokens-{uuid.uuid4().hex}")
     files = written(token_files.write_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1), "token-files")
     return token_files.read_files(token_files.with_starts(files).repartition(spark.sparkContext.defaultParallelism * 2))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document of its id."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    labelled = pages.join(labels, "page_id").select("url", "good")
+    return url_reputation.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "level", "bound")
+
+
+ORACLE["op2_url_reputation"] = url_reputation.ORACLE_SQL
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
+    return quality.with_quality(docs, quality.fit(docs, labels), columns=["doc_id"])

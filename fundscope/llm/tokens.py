@@ -11,13 +11,16 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import numpy as np
 
+#: Latin letters, then perhaps punctuation: one word of the vocabulary's splitting rule, or two.
+PLAIN_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-/:-@\[-`{-~]*)")
 CHUNKS = {"byte": re.compile(r" ?[^ \n]+|\n"), "word": re.compile(r"[^ \n]+")}
 ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 #: Most chunks a worker remembers; beyond it the older half goes.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 1_000_000
 
 
 class Encoder:
@@ -26,29 +29,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.chunks = CHUNKS[kind]
+        self.kind, self.chunks = kind, CHUNKS[kind]
         self.known: dict[str, bytes] = {}
+        names = self.library.get_vocab(with_added_tokens=True)
+        #: Marks the ids that begin a chunk with a space (byte), or that end a word (word).
+        self.edge = np.zeros(max(names.values()) + 1, bool)
+        self.edge[[i for x, i in names.items() if (x.startswith("\u0120") if kind == "byte" else x.endswith("</w>"))]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode chunks. Most go to the library in one text, whose ids are cut where a chunk begins or ends."""
+        if self.kind == "byte":
+            joint, rest, sizes = [c for c in new if c[0] == " " and "<|" not in c], [c for c in new if c[0] != " " or "<|" in c], None
+        else:
+            joint, sizes, rest = [], [], []
+            for c in new:
+                m = PLAIN_WORD.fullmatch(c)
+                if m:
+                    joint.append(c)
+                    sizes.append(2 if m[1] else 1)
+                else:
+                    rest.append(c)
+        if joint:
+            data = self._library([("" if self.kind == "byte" else " ").join(joint)])[0]
+            at = np.flatnonzero(self.edge[np.frombuffer(data, "<u4")])
+            if sizes is None:
+                begin = at
+                end = np.append(at[1:], len(data) // 4)
+            else:
+                last = np.cumsum(sizes) - 1
+                end = at[last] + 1 if len(at) == last[-1] + 1 else at[:0]
+                begin = np.append(0, end[:-1])
+            if len(begin) == len(joint) == len(end):
+                self.known.update(zip(joint, [data[a:b] for a, b in zip((4 * begin).tolist(), (4 * end).tolist())]))
+            else:
+                rest += joint
+        if rest:
+            self.known.update(zip(rest, self._library(rest)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
         parts: list[list[str] | None] = []
         for text in texts:
             parts.append(None if text and ODD_SPACE.search(text) else self.chunks.findall(text or ""))
-        wanted = set()
-        for p in parts:
-            if p is not None:
-                wanted.update(p)
         if len(self.known) > KEPT_CHUNKS:
             old = list(self.known)
             for chunk in old[: len(old) // 2]:
                 del self.known[chunk]
-        new = [c for c in wanted if c not in self.known]
+        new = list(set().union(*(p for p in parts if p is not None)).difference(self.known))
         for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
-            self.known.update(zip(some, self._library(some), strict=True))
+            self._learn(new[i : i + 5000])
         get = self.known.__getitem__
         return [self._library([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
 
