@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import packing, quality, token_files, url_reputation
+from . import html_main, packing, quality, token_files, url_reputation
 from .common import table, written
 
 QUERIES: dict = {}
@@ -55,3 +55,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
     return quality.with_quality(docs, quality.fit(docs, labels), columns=["doc_id"])
+
+
+@query
+def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))

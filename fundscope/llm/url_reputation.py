@@ -99,19 +99,21 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], u
         return hosts.groupBy(*names).agg(F.max(f"{keep}_a").alias("a"), F.max(f"{keep}_b").alias("b"))
 
     overall = hosts.agg(F.coalesce(F.max("all_a"), F.lit(PRIOR_GOOD)).alias("all_a"), F.coalesce(F.max("all_b"), F.lit(PRIOR_BAD)).alias("all_b"))
-    names = with_domains(with_host_path(pages, url))
+    named = with_host_path(pages, url)
+    sites = with_domains(named.groupBy("host").agg(F.count("*").alias("n_pages")))
     by_host = hosts.select("host", F.struct(F.lit("host").alias("level"), F.col("host_a").alias("a"), F.col("host_b").alias("b")).alias("of_host"))
     by_domain = level(["domain"], "domain").select("domain", F.struct(F.lit("domain").alias("level"), "a", "b").alias("of_domain"))
     by_suffix = level(["suffix"], "suffix").select("suffix", F.struct(F.lit("suffix").alias("level"), "a", "b").alias("of_suffix"))
-    found = (names.join(by_host, "host", "left").join(by_domain, "domain", "left").join(by_suffix, "suffix", "left")
+    # a row per host meets the levels; the pages then meet the hosts
+    found = (sites.join(by_host, "host", "left").join(by_domain, "domain", "left").join(by_suffix, "suffix", "left")
              .crossJoin(F.broadcast(overall)))
     post = F.coalesce("of_host", "of_domain", "of_suffix", F.struct(F.lit("all").alias("level"), F.col("all_a").alias("a"), F.col("all_b").alias("b")))
     a, b = F.col("post.a"), F.col("post.b")
     bound = a / (a + b) - bound_z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    found = found.withColumns({"post": post, "hit": rule_of(rules)}).withColumn("bound", F.round(bound, 9))
+    scores = found.withColumn("post", post).select("host", F.col("post.level").alias("level"), F.round(bound, 9).alias("bound"))
+    found = named.join(scores, "host").withColumn("hit", rule_of(rules))
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("bound") >= allow_from, "allow").otherwise("block"))
-    return found.withColumns({"rule": F.col("hit.rule"), "verdict": verdict, "level": F.col("post.level")}).drop(
-        "post", "hit", "of_host", "of_domain", "of_suffix", "all_a", "all_b", "domain", "suffix")
+    return found.withColumns({"rule": F.col("hit.rule"), "verdict": verdict}).drop("hit")
 
 
 #: The same over pages(page_id, url) and labels(doc_id, quality), for DuckDB; labels belong to the page of that id.
