@@ -114,9 +114,9 @@ def _close_until(stack: list[Node], tags: set, limit: frozenset | set) -> None:
             return
 
 
-def hashes(root: Node) -> dict[int, Node]:
+def hashes(root: Node) -> list[tuple[int, Node]]:
     """The digest of every container subtree, computed from the leaves up (no recursion)."""
-    order, found = [root], {}
+    order, found = [root], []
     for node in order:
         order.extend(k for k in node.kids if isinstance(k, Node))
     for node in reversed(order):
@@ -128,7 +128,7 @@ def hashes(root: Node) -> dict[int, Node]:
             h.update(data + b"\0")
         node.digest = h.digest()
         if size and node.tag in CONTAINERS:
-            found[int.from_bytes(node.digest, "little", signed=True)] = node
+            found.append((int.from_bytes(node.digest, "little", signed=True), node))
     return found
 
 
@@ -147,7 +147,7 @@ def main_text(root: Node, template: set[int]) -> str:
     """Blocks of the main article, in order, joined by an empty line."""
     drop: set[int] = set()
     if template:
-        drop = {id(node) for h, node in hashes(root).items() if h in template}
+        drop = {id(node) for h, node in hashes(root) if h in template}
 
     def keep(node: Node, in_main: bool) -> bool:
         return not (_furniture(node, in_main) or id(node) in drop)
@@ -214,7 +214,7 @@ def subtree_rows(pages: DataFrame, id_col: str = "page_id", url: str = "url", ht
                 ids, hosts, found = [], [], []
                 part = batch.slice(a, 200)
                 for page, host, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for h in hashes(parse(text)):
+                    for h in {h for h, _ in hashes(parse(text))}:
                         ids.append(page), hosts.append(host), found.append(h)
                 yield pa.RecordBatch.from_pydict({"page": pa.array(ids, pa.int64()), "host": pa.array(hosts, pa.string()), "subtree": pa.array(found, pa.int64())})
 

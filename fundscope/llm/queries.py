@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import html_main, packing, quality, token_files, url_reputation
+from . import decontaminate, html_main, packing, quality, secrets, token_files, url_reputation
 from .common import table, written
 
 QUERIES: dict = {}
@@ -60,3 +60,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return secrets.digests(secrets.scan(docs, secrets.train(docs), columns=("doc_id",)), "doc_id")
+
+
+@query
+def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's five-word shingles; every item is searched."""
+    return decontaminate.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
