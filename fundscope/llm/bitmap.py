@@ -12,8 +12,8 @@ BITS = 23
 
 def build(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     """Words of the bitmap, made by Spark; at most 2**(bits - 6) rows reach the driver."""
-    top = F.shiftrightunsigned(F.col(column), 64 - bits)
-    rows = keys.select(F.shiftright(top, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), (top.bitwiseAND(63)).cast("int")).alias("bit"))
+    top = f"shiftrightunsigned(`{column}`, {64 - bits})"
+    rows = keys.select(F.expr(f"shiftright({top}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({top} & 63 as int))").alias("bit"))
     out = np.zeros(1 << (bits - 6), np.uint64)
     for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
         out[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, html_main, packing, quality, secrets, token_files, url_reputation
+from . import decontaminate, html_main, order_minhash, packing, quality, secrets, token_files, url_reputation
 from .common import table, written
 
 QUERIES: dict = {}
@@ -72,3 +72,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 0.8 or more of a benchmark item's five-word shingles; every item is searched."""
     return decontaminate.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least id of its class of near-duplicates."""
+    found = order_minhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
