@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, html_main, order_minhash, packing, quality, secrets, token_files, url_reputation
+from . import decontaminate, html_main, line_join, order_minhash, packing, quality, secrets, token_files, url_reputation
 from .common import table, written
 
 QUERIES: dict = {}
@@ -79,3 +79,8 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the least id of its class of near-duplicates."""
     found = order_minhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@query
+def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
