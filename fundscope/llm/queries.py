@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, html_main, line_join, order_minhash, packing, quality, secrets, token_files, url_reputation
+from . import decontaminate, html_main, line_join, order_minhash, packing, quality, secrets, suffix_levels, token_files, url_reputation
 from .common import table, written
 
 QUERIES: dict = {}
@@ -84,3 +84,9 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_join.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_levels.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
