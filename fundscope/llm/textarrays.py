@@ -81,6 +81,13 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
+    yield from slices_of_bytes(texts, limit)
+
+
+def slices_of_bytes(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+    """The same of a column of strings or byte strings without nulls."""
+    if pa.types.is_binary(texts.type):
+        texts = texts.cast(pa.large_binary())
     n = len(texts)
     if not n:
         return
