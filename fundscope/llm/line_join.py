@@ -26,7 +26,7 @@ from .common import text_of, written
 from .components import components
 
 TAU, LEAST_EXACT, LEAST_NEAR = 2, 20, 40
-HOT, LEVELS = 64, 3
+HOT, LEVELS = 8, 3
 PARTS = TAU + 1
 
 
@@ -46,40 +46,36 @@ def _places() -> list[tuple[int, int, int]]:
 CODES = [(0, part, 0) for part in range(PARTS)] + _places()
 
 
-def _segment(length: Column, part: int) -> tuple[Column, Column]:
+def _segment(length: str, part: int) -> tuple[str, str]:
     """Start (from 0) and size of a segment; the last ones take what does not divide."""
-    size, over = F.floor(length / PARTS).cast("int"), length % PARTS
-    extra = F.greatest(over - (PARTS - part), F.lit(0))
-    return size * part + extra, size + (over >= PARTS - part).cast("int")
+    size, over = f"({length} div {PARTS})", f"({length} % {PARTS})"
+    return f"cast({size} * {part} + greatest({over} - {PARTS - part}, 0) as int)", f"cast({size} + if({over} >= {PARTS - part}, 1, 0) as int)"
 
 
-def _cut(s: Column, code: int) -> tuple[Column, Column, Column]:
-    """Segment length's line length, start and size of the substring of a code."""
+def _cut(code: int) -> tuple[str, str, str]:
+    """Line length of the segment's line, start and size of the substring of a code, from the column n."""
     more, part, shift = CODES[code]
-    length = F.length(s) - more
+    length = f"(n - {more})"
     start, size = _segment(length, part)
-    return length, start + shift, size
+    return length, f"({start} + {shift})", size
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """group, side (0 index, 1 probe), u, s, m -> key, code, side, u, m; probes of index rows are left out and
-    the other way round. ``side`` null: both."""
+def keyed(rows: DataFrame, side: int) -> DataFrame:
+    """group, side, u, s, n (length of s), m -> key, code, u, m of the index (side 0) or the probes (1)."""
     out = []
-    for code in range(len(CODES)):
-        length, start, size = _cut(F.col("s"), code)
-        probe = int(code >= PARTS)
-        key = F.xxhash64(F.col("group"), F.lit(CODES[code][1]), length, F.substr(F.col("s"), start + 1, size))
-        out.append(F.when(F.col("side").isNull() | (F.col("side") == probe), F.struct(key.alias("key"), F.lit(code).alias("code"))))
-    exploded = rows.select("u", "m", F.explode(F.array_compact(F.array(*out))).alias("k"))
-    return exploded.select("k.key", "k.code", (F.col("k.code") >= PARTS).cast("int").alias("side"), "u", "m")
+    for code in range(PARTS) if side == 0 else range(PARTS, len(CODES)):
+        length, start, size = _cut(code)
+        out.append(f"struct(xxhash64(group, {CODES[code][1]}, {length}, substring(s, {start} + 1, {size})) as key, {code} as code)")
+    own = rows.where(F.col("side").isNull() | (F.col("side") == side))
+    return own.select("u", "m", F.explode(F.expr(f"array({', '.join(out)})")).alias("k")).select("k.key", "k.code", "u", "m")
 
 
-def _rest(s: Column, code: Column) -> Column:
-    """The line without the substring of its code."""
+def _rest() -> Column:
+    """The line s without the substring of its code."""
     out = F.lit(None).cast("string")
     for k in range(len(CODES)):
-        _, start, size = _cut(s, k)
-        out = F.when(code == k, F.concat(F.substr(s, F.lit(1), start), F.substr(s, start + size + 1))).otherwise(out)
+        _, start, size = _cut(k)
+        out = F.when(F.col("code") == k, F.expr(f"concat(substring(s, 1, {start}), substring(s, {start} + {size} + 1, n))")).otherwise(out)
     return out
 
 
@@ -133,47 +129,54 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) within TAU."""
-    one, two = units.select(F.col("u").alias("a"), F.col("line").alias("x")), units.select(F.col("u").alias("b"), F.col("line").alias("y"))
+    """Those of the pairs (a, b) within TAU. The lines are looked up once, then meet their pairs."""
+    pairs = written(pairs, "line-pairs")
+    ids = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
+    some = written(units.select("u", "line").join(ids, "u", "left_semi"), "line-texts")
+    one, two = some.select(F.col("u").alias("a"), F.col("line").alias("x")), some.select(F.col("u").alias("b"), F.col("line").alias("y"))
     return pairs.join(one, "a").join(two, "b").where(distance(F.col("x"), F.col("y")) <= TAU).select("a", "b")
 
 
+def _pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """a < b of an index line and a probe line of one key, unless both are linked to its pivot."""
+    index = index.select("key", F.col("u").alias("i"), F.col("m").alias("mi"))
+    probe = probe.select("key", F.col("u").alias("p"), F.col("m").alias("mp"))
+    met = index.join(probe, "key").where("i <> p and not (mi and mp)")
+    return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+
+
 def links(units: DataFrame) -> DataFrame:
-    """a, b: verified pairs enough to connect every class. ``units``: u, line."""
-    near = units.where(F.length("line") >= LEAST_NEAR)
-    rows = near.select(F.lit(0).cast("long").alias("group"), F.lit(None).cast("int").alias("side"), "u", F.col("line").alias("s"), F.lit(False).alias("m"))
+    """a, b: verified pairs enough to connect every class. ``units``: u, line, n (its length)."""
+    near = units.where(F.col("n") >= LEAST_NEAR)
+    rows = near.select(F.lit(0).cast("long").alias("group"), F.lit(None).cast("int").alias("side"), "u", F.col("line").alias("s"), "n", F.lit(False).alias("m"))
     out = None
     for level in range(LEVELS):
-        keys = keyed(rows)
+        index, probe = written(keyed(rows, 0), "line-index"), keyed(rows, 1)
         hot = None
         if level < LEVELS - 1:
-            hot = written(keys.where("side = 0").groupBy("key").agg(F.count("*").alias("n"), F.min("u").alias("pivot")).where(F.col("n") > HOT), "hot-keys")
+            hot = written(index.groupBy("key").agg(F.count("*").alias("c"), F.min("u").alias("pivot")).where(F.col("c") > HOT).select("key", "pivot"), "hot-keys")
             hot = hot if hot.limit(1).count() else None
-        plain = keys.join(hot.select("key"), "key", "left_anti") if hot is not None else keys
-        index = plain.where("side = 0").select("key", F.col("u").alias("i"), F.col("m").alias("mi"))
-        probe = plain.where("side = 1").select("key", F.col("u").alias("p"), F.col("m").alias("mp"))
-        met = index.join(probe, "key").where("i <> p and not (mi and mp)")
-        pairs = met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
-        found = _verified(pairs, near)
-        if hot is not None:
-            # the lines of hot keys meet the least one; then they are cut anew without the common segment
-            owned = written(keys.join(hot.select("key", "pivot"), "key"), "hot-lines")
+        if hot is None:
+            found = _verified(_pairs(index, probe), near)
+        else:
+            cold = hot.select("key")
+            found = _verified(_pairs(index.join(cold, "key", "left_anti"), probe.join(cold, "key", "left_anti")), near)
+            # the lines of hot keys meet the pivot; then they are cut anew without the common segment
+            sides = index.withColumn("side", F.lit(0)).unionByName(probe.withColumn("side", F.lit(1)))
+            owned = written(sides.join(hot, "key"), "hot-lines")
             star = owned.where("u <> pivot").select(F.least("u", "pivot").alias("a"), F.greatest("u", "pivot").alias("b")).distinct()
             close = written(_verified(star, near), "hot-links")
             found = found.union(close)
-            linked = close.union(close.select(F.col("b"), F.col("a"))).select(F.col("a").alias("pivot"), F.col("b").alias("u"), F.lit(True).alias("near"))
-            marked = owned.join(linked, ["pivot", "u"], "left").withColumn("m", F.col("m") | F.coalesce("near", F.lit(False)) | (F.col("u") == F.col("pivot")))
-            text = rows.select("group", "u", "s") if level else near.select("u", F.col("line").alias("s"))
-            if level:
-                text = text.distinct()
-            again = marked.join(text, "u").select(F.col("key").alias("group"), "side", "u", _rest(F.col("s"), F.col("code")).alias("s"), "m")
-            rows = written(again.where(F.length("s") > 4 * TAU).distinct(), "hot-rests")
-            short = marked.join(text, "u").where(F.length(_rest(F.col("s"), F.col("code"))) <= 4 * TAU)
-            lost = short.select("key", "side", "u", "m")
-            few = (lost.where("side = 0").select("key", F.col("u").alias("i"), F.col("m").alias("mi"))
-                   .join(lost.where("side = 1").select("key", F.col("u").alias("p"), F.col("m").alias("mp")), "key").where("i <> p and not (mi and mp)")
-                   .select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct())
-            found = found.union(_verified(few, near))
+            linked = close.union(close.select("b", "a")).select(F.col("a").alias("pivot"), F.col("b").alias("u"), F.lit(True).alias("linked"))
+            marked = owned.join(linked, ["pivot", "u"], "left").withColumn("m", F.col("m") | F.coalesce("linked", F.lit(False)) | (F.col("u") == F.col("pivot")))
+            # a key of which all lines are linked has nothing left to find
+            open_ = marked.groupBy("key").agg(F.bool_and("m").alias("done")).where("not done").select("key")
+            texts = rows.select("u", "s", "n").distinct()
+            cut = marked.join(open_, "key", "left_semi").join(texts, "u").select("key", "side", "u", _rest().alias("s"), "m").distinct()
+            cut = written(cut.withColumn("n", F.length("s")), "hot-rests")
+            few = cut.where(F.col("n") <= 4 * TAU)
+            found = found.union(_verified(_pairs(few.where("side = 0"), few.where("side = 1")), near))
+            rows = cut.where(F.col("n") > 4 * TAU).withColumnRenamed("key", "group")
         found = written(found, "line-links")
         out = found if out is None else out.union(found)
         if hot is None:
@@ -186,8 +189,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links of the line's text to other texts (all of them, unless the text met a hot key)."""
     lines = lines_of(docs, id_col, text_col)
     place = F.struct("doc_id", "line_no")
-    units = written(lines.groupBy(F.xxhash64("line").alias("u")).agg(F.min(place).alias("first"), F.first("line").alias("line")), "lines")
-    found = links(units.select("u", "line")).distinct()
+    units = written(lines.groupBy(F.xxhash64("line").alias("u")).agg(F.min(place).alias("first"), F.first("line").alias("line"))
+                    .withColumn("n", F.length("line")), "lines")
+    found = links(units.select("u", "line", "n")).distinct()
     roots = components(found)
     degree = found.select(F.col("a").alias("u")).union(found.select("b")).groupBy("u").agg(F.count("*").alias("n_links"))
     linked = units.select("u", "first").join(roots.withColumnRenamed("node", "u"), "u").join(degree, "u")

@@ -33,7 +33,7 @@ def test_distance(spark):
         assert r["d"] == min(edit(r["a"], r["b"]), 3), r
 
 
-@pytest.mark.parametrize("hot", [64, 2])
+@pytest.mark.parametrize("hot", [8, 2])
 def test_classes(spark, monkeypatch, hot):
     monkeypatch.setattr(lj, "HOT", hot)
     rng = random.Random(2)
