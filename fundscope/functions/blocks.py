@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from .text import WS
 
 BLOCK_SPLIT = r"\n\n(?=[A-Z][a-z])"
 _HEAD = (r"(?s)([A-Za-z0-9\s&,/-]+?)\nFor\s(.+?)\n(?:Duration:\s(.+?)\n)?(?:Frequency:\s(.+?)\n)?"
@@ -28,6 +29,10 @@ def _nz(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+
+
 def _groups(match: Column, pattern: str, n: int) -> Column:
     """Groups 1..n of ``pattern`` re-read from its own full match, in one regex pass."""
     template = "\u0001".join(f"${i}" for i in range(1, n + 1))
@@ -40,63 +45,6 @@ def split_blocks(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), BLOCK_SPLIT)
 
 
-def parse_block(block: Column, faithful_deadline: bool = False) -> Column:
-    """struct(matched, title, description, duration_text, frequency, value_text, deadline_text)."""
-    p = BLOCK_FAITHFUL if faithful_deadline else BLOCK_INTENT
-
-    def g(i):
-        return F.regexp_extract(block, p, i)
-
-    return F.struct(
-        (_nz(F.regexp_extract(block, p, 0)).isNotNull()).alias("matched"),
-        F.trim(g(1)).alias("title"),
-        F.trim(g(2)).alias("description"),
-        _nz(g(3)).alias("duration_text"),
-        _nz(g(4)).alias("frequency"),
-        _nz(g(5)).alias("value_text"),
-        _nz(g(6)).alias("deadline_text"),
-    )
-
-
-def block_duration(duration_text: Column) -> Column:
-    """EX-19b: 'a to b years' -> b, 'n years' -> n, else 'n year' -> n, else 0."""
-    t = F.coalesce(duration_text, F.lit(""))
-    r = DURATION_RANGE
-    hit = _nz(F.regexp_extract(t, r, 0)).isNotNull()
-    a, b = _nz(F.regexp_extract(t, r, 1)).try_cast("int"), _nz(F.regexp_extract(t, r, 2)).try_cast("int")
-    single = _nz(F.regexp_extract(t, r"(\d+)\s*year", 1)).try_cast("int")
-    return F.when(hit, F.coalesce(b, a)).otherwise(F.coalesce(single, F.lit(0)))
-
-
-def block_amount(value_text: Column) -> Column:
-    """EX-19c: '£a[m| million][ to £b[m| million]]' (commas dropped), x 1e6 when the value text holds
-    'million' or the letter 'm' (case-sensitive); b missing -> max = min; no match -> 0 / 0."""
-    t = F.coalesce(value_text, F.lit(""))
-    r = VALUE
-    hit = _nz(F.regexp_extract(t, r, 0)).isNotNull()
-    scale = F.when(t.contains("million") | t.contains("m"), F.lit(1000000.0)).otherwise(F.lit(1.0))
-    lo = F.replace(F.regexp_extract(t, r, 1), F.lit(","), F.lit("")).try_cast("double") * scale
-    g2 = _nz(F.regexp_extract(t, r, 2))
-    hi = F.when(g2.isNull(), lo).otherwise(F.replace(g2, F.lit(","), F.lit("")).try_cast("double") * scale)
-    return F.struct(F.when(hit, lo).otherwise(F.lit(0.0)).alias("min"),
-                    F.when(hit, hi).otherwise(F.lit(0.0)).alias("max"))
-
-
-def deadline_status(deadline_text: Column) -> Column:
-    """EX-19d: 'Currently closed' -> Closed; 'Open all year' -> Rolling; 'D Month YYYY' -> ISO date;
-    else a 4-digit year; else 'N/A'."""
-    t = F.coalesce(deadline_text, F.lit(""))
-    named = F.regexp_extract(t, DEADLINE_NAMED_PLAIN, 1)
-    parsed = F.date_format(F.try_to_date(F.regexp_replace(named, r"\s", " "), "d MMMM yyyy"), "yyyy-MM-dd")
-    year = _nz(F.regexp_extract(t, r"(\d{4})", 1))
-    return (F.when(deadline_text.isNull(), F.lit("N/A"))
-            .when(t.contains("Currently closed"), F.lit("Closed"))
-            .when(t.contains("Open all year"), F.lit("Rolling"))
-            .when(named != "", F.coalesce(parsed, F.lit("N/A")))
-            .when(year.isNotNull(), year)
-            .otherwise(F.lit("N/A")))
-
-
 def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful_deadline: bool = False
                     ) -> DataFrame:
     """EX-19a..d: one row per matched block with its parsed fields.
@@ -118,7 +66,7 @@ def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful
     def g(i):
         return F.element_at(F.col("_g"), i)
 
-    parts = m.select(id_col, "block_no", F.trim(g(1)).alias("title"), F.trim(g(2)).alias("description"),
+    parts = m.select(id_col, "block_no", _strip(g(1)).alias("title"), _strip(g(2)).alias("description"),
                      _nz(g(3)).alias("duration_text"), _nz(g(4)).alias("frequency_text"),
                      _nz(g(5)).alias("value_text"), _nz(g(6)).alias("deadline_text"))
     # staged parsers: each regex runs once per block part, later steps reference the staged columns

@@ -176,9 +176,10 @@ def page_facts(html: str, selectors, fields=ALL_FACTS) -> dict:
     if "anchors" in fields:
         anchors, pos = [], 0
         for n in elements:
-            if n.tag == "a" and "href" in n.attrs:
-                pos += 1
-                anchors.append({"pos": pos, "href": n.attrs["href"], "text": get_text(n), "sole": sole_string(n)})
+            if n.tag == "a":
+                href = n.attrs.get("href")
+                pos += href is not None
+                anchors.append({"pos": pos if href is not None else None, "href": href, "text": get_text(n), "sole": sole_string(n)})
         out["anchors"] = anchors
     if "elig_items" in fields:
         out["elig_items"] = _eligibility_items(elements)

@@ -133,7 +133,7 @@ def with_amount(df, text_col: str, out: str = "amount", scale_scope: str = "docu
                  .otherwise(F.lit(1))).cast("bigint")
     else:
         m = F.coalesce(_nz(F.col("_am0")), _nz(F.col("_am1")), _nz(F.col("_am2")), F.lit(""))
-        after = t.substr(F.position(m, t) + F.length(m), F.lit(32))
+        after = t.substr(F.position(m, t) + F.length(m), F.length(t))
         unit = F.lower(F.when(F.col("_amk") == 0, F.regexp_extract(after, rf"(?i)^{WS}*(thousand|million|k|m)\b", 1))
                        .otherwise(F.regexp_extract(m, r"(?i)(thousand|million|k|m)$", 1)))
         scale = (F.when(unit.isin("thousand", "k"), F.lit(1000)).when(unit.isin("million", "m"), F.lit(1000000))

@@ -66,8 +66,8 @@ def assemble_record(schemes: DataFrame, family: str, as_of_ts: str) -> DataFrame
 def enrich_source(records: DataFrame, dims: DataFrame, source_col: str = "source_id") -> DataFrame:
     """EN-1: organization, category, subcategory (and, outside the councils, disciplines) from the
     source dimension. Left join: a record with an unknown source keeps its own fields."""
-    d = F.broadcast(dims.select(F.col("source_id").alias("_sid"), F.col("name").alias("_name"),
-                                F.col("kind").alias("_kind"), F.col("disciplines").alias("_disc")))
+    d = dims.select(F.col("source_id").alias("_sid"), F.col("name").alias("_name"),
+                                F.col("kind").alias("_kind"), F.col("disciplines").alias("_disc"))
     j = records.join(d, records[source_col] == d["_sid"], "left")
     hit = F.col("_sid").isNotNull()
     out = (j.withColumn("organization", F.when(hit, F.col("_name")).otherwise(F.col("organization")))

@@ -4,20 +4,16 @@ RL-2 keeps the first sighting of every URL across sources: a per-URL ``min(struc
 aggregate, so hot navigation links are pre-aggregated per task (partial aggregation) instead of
 being sorted whole in one window partition.
 
-RL-3 reproduces "pages 1..15, stop at the first page with no new links": only the first
-``max_pages`` pages of each source matter, so page numbers come from a ``row_number() <= 15``
-filter that Spark executes as a partial per-task limit before the shuffle (WindowGroupLimit). All
-later steps work on that bounded page list.
+RL-3 reproduces "walk the pages of a source in order, stop at the first page with no new links": a
+page has new links iff it is the first page of some link of its source. First pages and the stop page
+are minima, so everything is pre-aggregated per task, whatever one source's share of the pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import rules
-from ..session import bounded_broadcast
-
 LANG_ORDER = ["en", "fr", "de", "es"]
 
 
@@ -41,20 +37,14 @@ def frontier_dedup(links: DataFrame, order=LANG_ORDER) -> DataFrame:
                         F.col("f.pos").alias("pos"))
 
 
-def pagination_cut(listing: DataFrame, links: DataFrame, max_pages: int = rules.MAX_LISTING_PAGES,
-                   max_listing_rows: int = 1_000_000) -> DataFrame:
+def pagination_cut(listing: DataFrame, links: DataFrame) -> DataFrame:
     """RL-3: listing (page_id, source) with links (page_id, link) -> links first seen on a processed page
-    (source, link, page_no). Pages are numbered per source by page_id; processing stops at the first page
-    without a new link (a linkless page included) and never goes past ``max_pages``.
-
-    Page p is processed iff every page 1..p brought a new link, i.e. iff the dense rank of p among the
-    pages that brought new links equals p. That window is partitioned by source but holds at most
-    ``max_pages`` pages of links per source, so it is bounded whatever the table size.
-    """
-    w = Window.partitionBy("source").orderBy("page_id")
-    pg = listing.withColumn("page_no", F.row_number().over(w)).filter(F.col("page_no") <= max_pages)
-    pg_b = bounded_broadcast(pg.select("page_id", "source", "page_no"), max_listing_rows)
-    lk = links.select("page_id", "link").join(pg_b, "page_id")
-    fs = lk.groupBy("source", "link").agg(F.min("page_no").alias("page_no"))
-    ranked = fs.withColumn("_r", F.dense_rank().over(Window.partitionBy("source").orderBy("page_no")))
-    return ranked.filter(F.col("_r") == F.col("page_no")).select("source", "link", "page_no")
+    (source, link, page_id). Pages go by page_id within their source; processing stops at the first page
+    without a new link (a linkless page included)."""
+    pages = listing.select("page_id", "source")
+    first = (links.select("page_id", "link").join(pages, "page_id").groupBy("source", "link")
+             .agg(F.min("page_id").alias("page_id")))
+    stop = (pages.join(first.select("source", "page_id"), ["source", "page_id"], "left_anti")
+            .groupBy("source").agg(F.min("page_id").alias("_stop")))
+    kept = first.join(stop, "source", "left").filter(F.col("_stop").isNull() | (F.col("page_id") < F.col("_stop")))
+    return kept.select("source", "link", "page_id")

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import derive
-from ..session import ensure_checkpoint_dir
 
 
 def _category() -> Column:
@@ -117,18 +116,14 @@ def headline_stats(df: DataFrame, as_of: str) -> DataFrame:
 def share(df: DataFrame, key: Column, name: str, falsy_default: str) -> DataFrame:
     """AG-3 / AG-4: count per key (falsy -> default), percent of the total (1 decimal), first appearance.
 
-    Sorted by count desc, ties by first appearance (``ord``). One scan: a grouping-sets aggregate
-    yields the per-key counts and the grand total together (partial aggregation per task); that
-    small result (one row per key plus one) is checkpointed to the shared checkpoint folder, so the
-    total can be broadcast back to the key rows without reading the input a second time.
+    Sorted by count desc, ties by first appearance (``ord``). The input is aggregated once per key (partial
+    aggregation per task); the one-row total is the sum over those counts and joins back. It carries the least
+    ``ord`` too, so both branches need the same aggregate and its exchange is used again.
     """
     flat = df.select(derive.falsy_to(key, falsy_default).alias(name), F.col("ord"))
-    g = (flat.groupingSets([[name], []], name)
-         .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"), F.grouping_id().alias("gid")))
-    ensure_checkpoint_dir(df.sparkSession)
-    g = g.checkpoint(eager=True)
-    total = g.filter(F.col("gid") == 1).select(F.col("n").alias("total"))
-    return (g.filter(F.col("gid") == 0).crossJoin(F.broadcast(total))
+    g = flat.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
+    total = g.agg(F.sum("n").alias("total"), F.min("first_ord").alias("_o"))
+    return (g.crossJoin(F.broadcast(total))
             .select(name, "n", F.col("total").cast("bigint").alias("total"),
                     F.round(F.lit(100.0) * F.col("n") / F.col("total"), 1).alias("pct"), "first_ord")
             .orderBy(F.desc("n"), F.asc("first_ord")))

@@ -147,8 +147,8 @@ def application_url(facts: DataFrame, base_url: Column | None = None) -> DataFra
 
 
 def anchors(facts: DataFrame) -> DataFrame:
-    """Anchors as rows (page_id, url, pos, href, text)."""
-    return facts.select("page_id", "url", F.inline("anchors"))
+    """Anchors with a href as rows (page_id, url, pos, href, text)."""
+    return facts.select("page_id", "url", F.inline("anchors")).filter(F.col("href").isNotNull())
 
 
 def extract_links(facts: DataFrame, pattern: str = rules.OPPORTUNITY_HREF, base_url: Column | None = None,

@@ -15,7 +15,8 @@ from .. import rules
 
 def strict_reasons(value: Column) -> Column:
     """FL-2 reasons (array<string>, empty = valid): the 8 required top-level keys (in rule order), then
-    funding_details.amount and application.deadline. Malformed JSON misses every key.
+    funding_details.amount and application.deadline. Malformed JSON misses every key; a nested value that is
+    null, an array or a scalar misses its key.
 
     Three key scans per record (top level and the two nested objects), each referenced once, so
     the expression stays cheap even where the optimizer inlines it into a filter.
@@ -25,8 +26,8 @@ def strict_reasons(value: Column) -> Column:
                           lambda k: F.concat(F.lit("missing:"), k))
     fd = F.json_object_keys(F.get_json_object(value, "$.funding_details"))
     app = F.json_object_keys(F.get_json_object(value, "$.application"))
-    nested = F.filter(F.array(F.when(~F.array_contains(fd, "amount"), F.lit("missing:funding_details.amount")),
-                              F.when(~F.array_contains(app, "deadline"), F.lit("missing:application.deadline"))),
+    nested = F.filter(F.array(F.when(~F.coalesce(F.array_contains(fd, "amount"), F.lit(False)), F.lit("missing:funding_details.amount")),
+                              F.when(~F.coalesce(F.array_contains(app, "deadline"), F.lit(False)), F.lit("missing:application.deadline"))),
                       lambda r: r.isNotNull())
     return F.concat(missing, nested)
 

@@ -103,13 +103,11 @@ def q_extract_links(spark, d):
         "page_id", "link", "pos")
 
 
-@register("resolve_url", f"SELECT page_id, pos, href, {_HOST} || href AS resolved FROM {_ANCHORS} "
-          "WHERE starts_with(href, '/') AND NOT starts_with(href, '//') AND NOT contains(href, '.')")
+@register("resolve_url", f"SELECT page_id, pos, href, {_HOST} || href AS resolved FROM {_ANCHORS}")
 def q_resolve_url(spark, d):
     from ..functions.urls import resolve_url
 
     a = pages.anchors(_facts(spark, d, "anchors"))
-    a = a.filter(F.col("href").startswith("/") & ~F.col("href").startswith("//") & ~F.col("href").contains("."))
     return a.select("page_id", "pos", "href", resolve_url(F.col("url"), F.col("href")).alias("resolved"))
 
 
@@ -154,19 +152,14 @@ def q_frontier_dedup(spark, d):
 
 
 @register("pagination_cut", f"""
-WITH pg AS (SELECT page_id, source, page_no FROM (
-              SELECT page_id, {_LANG} AS source,
-                     CAST(row_number() OVER (PARTITION BY {_LANG} ORDER BY page_id) AS INTEGER) AS page_no
-              FROM pages) WHERE page_no <= 15),
-     lk AS (SELECT pg.source, pg.page_no, l.link FROM pg JOIN {_LINKS} l USING (page_id)),
-     fs AS (SELECT source, link, min(page_no) AS first_page FROM lk GROUP BY source, link),
-     nn AS (SELECT pg.source, pg.page_no, count(fs.link) AS n_new
-            FROM pg LEFT JOIN fs ON fs.source = pg.source AND fs.first_page = pg.page_no
-            GROUP BY pg.source, pg.page_no),
-     st AS (SELECT source, min(page_no) FILTER (WHERE n_new = 0) AS stop_page FROM nn GROUP BY source)
-SELECT fs.source, fs.link, fs.first_page AS page_no
-FROM fs JOIN st USING (source)
-WHERE fs.first_page < COALESCE(st.stop_page, 16)""")
+WITH pg AS (SELECT page_id, {_LANG} AS source FROM pages),
+     fs AS (SELECT pg.source, l.link, min(pg.page_id) AS page_id FROM pg JOIN {_LINKS} l USING (page_id)
+            GROUP BY pg.source, l.link),
+     st AS (SELECT source, min(page_id) AS stop FROM pg
+            WHERE (source, page_id) NOT IN (SELECT source, page_id FROM fs) GROUP BY source)
+SELECT fs.source, fs.link, fs.page_id
+FROM fs LEFT JOIN st USING (source)
+WHERE st.stop IS NULL OR fs.page_id < st.stop""")
 def q_pagination_cut(spark, d):
     facts = _facts(spark, d, "anchors")
     links = pages.extract_links(facts, LINK_PATTERN, F.lit(LISTING_BASE))

@@ -154,7 +154,7 @@ def q_assemble_record(spark, d):
                        _dl().alias("deadline"), F.col("application.frequency").alias("frequency"), "tags",
                        F.col("key_info.success_rate").alias("success_rate"))
     dims = records.dimensions(spark)
-    schemes = schemes.join(F.broadcast(dims.select("source_id", "base_url")), "source_id")
+    schemes = schemes.join(dims.select("source_id", "base_url"), "source_id")
     acad = enrich.assemble_record(schemes.filter(F.col("category") == "academies"), "academies", AS_OF_TS)
     fnd = enrich.assemble_record(schemes.filter(F.col("category") == "foundations"), "foundations", AS_OF_TS)
     rec = enrich.enrich_source(acad.unionByName(fnd), dims)

@@ -19,8 +19,7 @@ SELECT user_id, event_type, event_id, ts FROM (
 WHERE rn = 1""")
 def q_stream_upsert(spark, d):
     src = _events_stream(spark, d).select("user_id", "event_type", "event_id", "ts")
-    target = upsert.stream_upsert(spark, src, ["user_id", "event_type"], "ts", ["ts", "event_id"],
-                                  bound_state=True)
+    target = upsert.stream_upsert(spark, src, ["user_id", "event_type"], "ts", ["ts", "event_id"])
     return spark.read.parquet(target).select("user_id", "event_type", "event_id", "ts")
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive
-from ..session import bounded_broadcast
 from ..sources.tables import load
 
 AS_OF = "1998-06-15"
@@ -32,7 +31,6 @@ PHRASE_BY_STAGE = {"Early Career": "early career researchers", "Mid Career": "fe
                    "Senior": "senior professors", "All Stages": "all researchers"}
 
 # The nation dimension of the driver schema is a fixed 25-row table; broadcast behind a bound check.
-NATION_MAX_ROWS = 10_000
 
 
 def _pick(values, idx: Column) -> Column:
@@ -49,7 +47,7 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                              "o_orderdate", "o_orderpriority")
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = bounded_broadcast(load(spark, sf_dir, "nation").select("n_nationkey", "n_name"), NATION_MAX_ROWS)
+    n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("o_orderkey")
     lo = F.when(k % 11 == 0, F.lit(0).cast("bigint")).otherwise(F.floor("o_totalprice").cast("bigint"))
     return (

@@ -152,9 +152,8 @@ REQUIRED_STRICT = ["id", "title", "organization", "category", "description", "el
                    "application"]
 REQUIRED_DATABASE = ["id", "title", "organization", "category", "description"]
 
-# Source run order (RL-1) and page cap of the main listing (RL-3).
+# Source run order (RL-1).
 SOURCE_ORDER = ["ukri", "academies", "foundations"]
-MAX_LISTING_PAGES = 15
 
 # Link extraction (EX-14): opportunity-href pattern and the substrings that disqualify a link.
 OPPORTUNITY_HREF = r"/opportunity/[^/?]+/?$"

@@ -1,20 +1,17 @@
-"""Session helpers: building a session for tests/bench, checkpoint folder, guarded broadcast."""
+"""Session helpers: building a session, the shared checkpoint folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "fundscope") -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, Arrow, no UI)."""
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+    builder = SparkSession.builder.master(master) if master else SparkSession.builder  # else spark-submit's
     spark = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -37,13 +34,17 @@ _LOCAL_SCRATCH: dict[int, str] = {}
 def checkpoint_base(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``, read from the session).
 
-    Only when the session names none (local tests) is a scratch folder made, once per context.
+    A session on one machine (``local[...]``, as in tests) that names none gets a scratch folder, once per
+    context; on a cluster that is an error.
     ``spark.checkpoint.dir`` is a static setting, so it is never written here.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if conf:
         return conf
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines share")
     key = id(spark.sparkContext)
     if key not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[key] = tempfile.mkdtemp(prefix="fundscope-ckpt-")
@@ -62,14 +63,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder, for written intermediate tables and stream state."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the frame is returned as it is,
-    and the join falls back to a shuffle join chosen by the planner (and AQE at run time).
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

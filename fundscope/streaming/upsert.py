@@ -56,13 +56,11 @@ def upsert_batch(batch: DataFrame, target: str, key_cols, order_cols) -> None:
 
 
 def stream_upsert(spark: SparkSession, source: DataFrame, key_cols, ts_col: str, order_cols,
-                  watermark: str = "1 day", bound_state: bool = False, run_dir: str | None = None) -> str:
+                  watermark: str = "1 day", run_dir: str | None = None) -> str:
     """ST-1: run the upsert stream to completion (``availableNow``) and return the target path."""
     run_dir = run_dir or scratch_path(spark, f"stream-upsert-{uuid.uuid4().hex}")
     target, ckpt = f"{run_dir}/table", f"{run_dir}/checkpoint"
     s = source.withColumn("_evt", event_time(spark, ts_col)).withWatermark("_evt", watermark)
-    if bound_state:
-        s = s.dropDuplicatesWithinWatermark(list(key_cols))
     q = (s.writeStream.foreachBatch(lambda df, _epoch: upsert_batch(df, target, key_cols, order_cols))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()

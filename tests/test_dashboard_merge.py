@@ -113,6 +113,10 @@ def test_pagination_cut_vector(spark):
     got = sorted(tuple(r) for r in frontier.pagination_cut(listing, links).collect())
     # source t: page 1 (id 10) has no links -> stop at once
     assert got == [("s", "a", 1), ("s", "b", 1), ("s", "c", 2)]
+    # no cap on the number of pages: 40 pages with a new link each are all processed
+    many = spark.range(40).selectExpr("id AS page_id", "'m' AS source")
+    own = spark.range(40).selectExpr("id AS page_id", "concat('l', id) AS link")
+    assert frontier.pagination_cut(many, own).count() == 40
 
 
 def test_frontier_dedup_unique(spark):
@@ -143,3 +147,31 @@ def test_unparsed_deadline_option(spark):
     df = _records(spark, [{"deadline": "N/A"}, {"deadline": "Rolling"}, {"deadline": None}])
     r = metrics.deadline_buckets(df, AS_OF, unparsed="none").collect()[0]
     assert (r["open_now"], r["no_deadline"]) == (0, 3)
+
+
+def test_nested_values_of_other_kinds_are_invalid(spark):
+    import json
+
+    from fundscope import rules
+    from fundscope.operators import quality
+
+    whole = {k: "x" for k in rules.REQUIRED_STRICT} | {"funding_details": {"amount": None}, "application": {"deadline": None}}
+    rows = [(0, json.dumps(whole))] + [(k, json.dumps(whole | {"funding_details": v})) for k, v in enumerate((None, [], "x", {}, 3), 1)]
+    got = {r["k"]: (r["valid"], list(r["reasons"])) for r in
+           quality.validate_strict(spark.createDataFrame(rows, "k int, value string")).collect()}
+    assert got[0] == (True, [])
+    assert all(got[k] == (False, ["missing:funding_details.amount"]) for k in range(1, 6))
+
+
+def test_stream_upsert_does_not_depend_on_file_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fundscope.streaming import upsert
+
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type", "event_id", "ts")
+    ev.orderBy(F.rand(5)).repartition(5).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
+    out = upsert.stream_upsert(spark, src, ["user_id", "event_type"], "ts", ["ts", "event_id"], run_dir=str(tmp_path / "run"))
+    want = ev.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("user_id", "event_type", "f.event_id", "f.ts")
+    got = spark.read.parquet(out).select(*want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -27,25 +27,6 @@ def py_clean(s):
     return s
 
 
-def py_amount(s):
-    """(min, max, parsed) by the rule: first of three patterns; scale by the whole text."""
-    pats = [r"£([\d,]+)(?:\s*-\s*£([\d,]+))?", r"([\d,]+)(?:\s*-\s*([\d,]+))?\s*(?:thousand|k)",
-            r"([\d,]+)(?:\s*-\s*([\d,]+))?\s*(?:million|m)"]
-    for p in pats:
-        m = re.search(p, s, re.IGNORECASE)
-        if not m:
-            continue
-        d1 = re.sub(r"[^0-9]", "", m.group(1))
-        d2 = re.sub(r"[^0-9]", "", m.group(2)) if m.group(2) else d1
-        if not d1 or not d2:
-            return (None, None, False)
-        lo, hi = int(d1), int(d2)
-        low = s.lower()
-        f = 1000 if ("thousand" in low or "k" in low) else (1000000 if ("million" in low or "m" in low) else 1)
-        return (lo * f, hi * f, True)
-    return (0, 0, True)
-
-
 def py_email(s):
     found = re.findall(rules.EMAIL_PATTERN, s)
     return found[0] if found else ""
@@ -58,17 +39,6 @@ def test_clean_text_matches_python_rule(spark):
     assert got == [py_clean(v) for v in vals]
 
 
-def test_amount_matches_python_rule(spark):
-    vals = _strings(seed=11)
-    df = spark.createDataFrame([(v,) for v in vals], "t string")
-    staged = [(r["a"]["min"], r["a"]["max"], r["a"]["parsed"]) for r in
-              tx.with_amount(df, "t", "a").select("a").collect()]
-    col = [(r[0]["min"], r[0]["max"], r[0]["parsed"]) for r in df.select(tx.extract_amount(F.col("t"))).collect()]
-    want = [py_amount(v) for v in vals]
-    assert staged == want
-    assert col == want
-
-
 def test_email_matches_python_rule(spark):
     vals = _strings(seed=3)
     df = spark.createDataFrame([(v,) for v in vals], "t string")
@@ -76,40 +46,6 @@ def test_email_matches_python_rule(spark):
     assert got == [py_email(v) for v in vals]
 
 
-DATE_PIECES = ["3", "31", "29", "12", "1", "/", "-", " ", "2025", "2024", "0000", "June", "june", "FEBRUARY",
-               "February", "May", "Sept", "then", ",", "\n", "10"]
-
-
-def py_deadline(s):
-    import datetime as dt
-    months = {m.lower(): i + 1 for i, m in enumerate(rules.MONTHS)}
-    pats = [(rf"(\d{{1,2}})\s+({'|'.join(rules.MONTHS)})\s+(\d{{4}})", "named"),
-            (r"(\d{1,2})/(\d{1,2})/(\d{4})", "slash"), (r"(\d{4})-(\d{1,2})-(\d{1,2})", "iso")]
-    for p, kind in pats:
-        m = re.search(p, s, re.IGNORECASE)
-        if not m:
-            continue
-        a, b, c = m.groups()
-        try:
-            if kind == "named":
-                return dt.date(int(c), months[b.lower()], int(a))
-            if kind == "slash":
-                return dt.date(int(c), int(b), int(a))
-            return dt.date(int(a), int(b), int(c))
-        except ValueError:
-            continue
-    return None
-
-
-def test_deadline_matches_python_rule(spark):
-    rnd = random.Random(5)
-    vals = ["".join(rnd.choice(DATE_PIECES) for _ in range(rnd.randint(1, 9))) for _ in range(500)]
-    df = spark.createDataFrame([(v,) for v in vals], "t string")
-    want = [py_deadline(v) for v in vals]
-    assert [r[0] for r in tx.with_deadline(df, "t", "d").select("d").collect()] == want
-    assert [r[0] for r in df.select(tx.extract_deadline(F.col("t"))).collect()] == want
-
-
 def test_resolve_url_matches_urljoin(spark):
     from urllib.parse import urljoin
 
@@ -128,79 +64,6 @@ def test_resolve_url_matches_urljoin(spark):
     assert got == [urljoin(b, h) for b, h in rows]
 
 
-def py_blocks(text):
-    """Labelled-block rule (deadline = rest of its line) in plain Python."""
-    import datetime as dt
-    pat = (r"([A-Za-z0-9\s&,/-]+?)\nFor\s(.+?)\n(?:Duration:\s(.+?)\n)?(?:Frequency:\s(.+?)\n)?"
-           r"(?:Value:\s(.+?)\n)?(?:Deadline/Opening:\s([^\n]+))?")
-    out = []
-    for i, block in enumerate(re.split(r"\n\n(?=[A-Z][a-z])", text)):
-        m = re.search(pat, block, re.DOTALL)
-        if not m:
-            continue
-        title, desc, dur, freq, val, dl = m.groups()
-        years = 0
-        if dur:
-            d = re.search(r"(\d+)(?: to (\d+))?\s*years", dur)
-            if d:
-                years = int(d.group(2) or d.group(1))
-            else:
-                d = re.search(r"(\d+)\s*year", dur)
-                years = int(d.group(1)) if d else 0
-        lo = hi = 0.0
-        if val:
-            a = re.search(r"£([\d,.]+)(?:m| million)?(?: to £([\d,.]+)(?:m| million)?)?", val, re.IGNORECASE)
-            if a:
-                f = 1000000.0 if ("million" in val or "m" in val) else 1.0
-                lo = float(a.group(1).replace(",", "")) * f
-                hi = float(a.group(2).replace(",", "")) * f if a.group(2) else lo
-        status = "N/A"
-        if dl:
-            if "Currently closed" in dl:
-                status = "Closed"
-            elif "Open all year" in dl:
-                status = "Rolling"
-            else:
-                nm = re.search(rf"(\d{{1,2}}\s(?:{'|'.join(rules.MONTHS)})\s\d{{4}})", dl)
-                if nm:
-                    try:
-                        status = dt.datetime.strptime(nm.group(1), "%d %B %Y").strftime("%Y-%m-%d")
-                    except ValueError:
-                        pass
-                else:
-                    y = re.search(r"(\d{4})", dl)
-                    status = y.group(1) if y else "N/A"
-        out.append((i + 1, title.strip(), desc.strip(), freq or "N/A", years, lo, hi, status))
-    return out
-
-
-def test_labelled_blocks_match_python_rule(spark):
-    from fundscope.functions import blocks
-
-    rnd = random.Random(13)
-    durations = ["2 to 3 years", "4 years", "up to 1 year", "several", "10-12 months"]
-    values = ["£50,000 to £100,000", "up to £2.5 million", "£3m", "£1,000", "no money", "£7 to £9 million"]
-    deadlines = ["Currently closed", "Open all year", "1 May 2025", "31 February 2025", "Spring 2026", "soon"]
-    texts = []
-    for _ in range(150):
-        blocks_txt = []
-        for _ in range(rnd.randint(1, 3)):
-            lines = [rnd.choice(["Research Grants", "Small Awards 2", "Fellowships & Prizes"]),
-                     "For " + rnd.choice(["early career staff", "all", "PhD students"])]
-            for label, opts in (("Duration", durations), ("Frequency", ["Annual", "Rolling"]),
-                                ("Value", values), ("Deadline/Opening", deadlines)):
-                if rnd.random() < 0.75:
-                    lines.append(f"{label}: {rnd.choice(opts)}")
-            blocks_txt.append("\n".join(lines))
-        texts.append("\n\n".join(blocks_txt))
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = sorted(tuple(r) for r in blocks.labelled_blocks(df, "id").select(
-        "id", "block_no", "title", "description", "frequency", "duration_years", "amount_min", "amount_max",
-        "deadline").collect())
-    want = sorted((i, *b) for i, t in enumerate(texts) for b in py_blocks(t))
-    assert got == want
-
-
 def test_next_deadline_and_buckets_match_python_rule(spark):
     import datetime as dt
 
