@@ -13,6 +13,7 @@ out of ``scan``'s result unless named in ``columns``.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ PATTERNS = (
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LONG_RUN, TRAIN_RUN = 20, 8
-LLR_TOTAL, LLR_MEAN, SMOOTH = 12_000, 300, 0.5
+LLR_TOTAL, LLR_MEAN, BACKOFF = 12_000, 300, 20.0
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
 
 
@@ -72,14 +73,13 @@ def train(docs: DataFrame, text_col: str = "text") -> list[int] | None:
     counts = {(r["secret"], r["pair"]): r["n"] for r in pairs.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect()}
     if not any(s for s, _ in counts):
         return None
-    import math
-
-    size, out = len(ALPHABET), []
-    for a in ALPHABET:
-        rows = [[counts.get((s, a + b), 0) + SMOOTH for b in ALPHABET] for s in (1, 0)]
-        totals = [sum(r) for r in rows]
-        out += [round(1000 * (math.log(rows[0][k] / totals[0]) - math.log(rows[1][k] / totals[1]))) for k in range(size)]
-    return out
+    models = []
+    for kind in (1, 0):
+        seen = {a: [counts.get((kind, a + b), 0) for b in ALPHABET] for a in ALPHABET}
+        last = [sum(row[k] for row in seen.values()) + 1 for k in range(len(ALPHABET))]
+        # a transition backs off to its second character's own rate
+        models.append([(n + BACKOFF * last[k] / sum(last)) / (sum(row) + BACKOFF) for row in seen.values() for k, n in enumerate(row)])
+    return [round(1000 * (math.log(p) - math.log(q))) for p, q in zip(*models, strict=True)]
 
 
 def _score(run: Column, weights: Column) -> Column:
