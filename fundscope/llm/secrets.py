@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 Runs of LONG_RUN or more token characters are scored by the log-likelihood ratio of two first-order models:
-one trained on the strings that the patterns found in the whole table, one on all other runs. What scores at
+one trained on the strings that the patterns found in the whole table, one on all other runs below that
+length (so none is judged by itself). What scores at
 least LLR_TOTAL in all and LLR_MEAN a transition is a span of kind ``markov``, unless a pattern's span overlaps.
 Counts cover every text; the models are tables of ALPHABET x ALPHABET entries. Only SQL functions are used.
 
@@ -63,10 +64,9 @@ def train(docs: DataFrame, text_col: str = "text") -> list[int] | None:
     clean = F.col("__text")
     for _, pattern, _, _ in PATTERNS:
         clean = F.regexp_replace(clean, pattern, " ")
-    # an overlong run is cut at 256 characters, which loses one transition of 256
     runs = F.regexp_extract_all(clean, F.lit(f"[A-Za-z0-9+/_=-]{{{TRAIN_RUN},256}}"), F.lit(0))
     secrets = F.flatten(F.transform("__base", lambda s: F.regexp_extract_all(s["value"], F.lit("[A-Za-z0-9+/_=-]{2,256}"), F.lit(0))))
-    both = F.concat(F.transform(secrets, lambda r: F.struct(F.lit(1).alias("secret"), r.alias("run"))), F.transform(runs, lambda r: F.struct(F.lit(0).alias("secret"), r.alias("run"))))
+    both = F.concat(F.transform(secrets, lambda r: F.struct(F.lit(1).alias("secret"), r.alias("run"))), F.transform(F.filter(runs, lambda r: F.length(r) < LONG_RUN), lambda r: F.struct(F.lit(0).alias("secret"), r.alias("run"))))
     pairs = base.select(F.explode(both).alias("r")).select(
         "r.secret", F.explode(F.transform(F.sequence(F.lit(1), F.length("r.run") - 1), lambda i: F.substring(F.col("r.run"), i, F.lit(2)))).alias("pair"))
     # at most 2 * len(ALPHABET)**2 rows
