@@ -6,11 +6,13 @@ hold unchanged, at a place that the lengths and the edits left over narrow down.
 (keys of length, number, content); substrings at the possible places are the probes. Pairs with a common key
 are verified by banded bit-parallel edit distance (a word of 2 * TAU + 1 bits, a column a character).
 
-A key with more than HOT index lines does not make all its pairs: its lines meet the least of them, those
-within TAU of it are one component with it, and all are cut anew without the common segment, which by the
-same argument leaves a second common key to every pair within TAU. Pairs of two lines that are in one
-component by then are left out, so neither a common phrase nor a large family of near copies makes pairs
-with the square of its size.
+A key with more than HOT index lines (its square at the next level) does not make all its pairs. Its lines meet one of them, the pivot; those
+within TAU of it are one component with it. The others are indexed anew by how they differ from the pivot: an
+edit changes at most 2 * GRAM of a line's character GRAM-grams, so the differences of two lines within TAU
+differ in at most SPREAD grams, and the first grams of both differences must meet (prefix filtering of sets;
+those that are the pivot's own difference from the others come last). This is repeated for keys that are hot again. Pairs of two lines that are in one
+component with the pivot by then are left out, so neither a common phrase nor a large family of near copies makes
+pairs with the square of its size.
 
 A line's class is the first of its class by (doc_id, line_no); the first line stays. Null text: empty. Shorter
 lines are not judged. Null ids sort first; rows that share an id are one document. Units are known by a 64-bit
@@ -28,6 +30,11 @@ from .components import components
 TAU, LEAST_EXACT, LEAST_NEAR = 2, 20, 40
 HOT, LEVELS = 8, 3
 PARTS = TAU + 1
+GRAM = 3
+#: Grams by which the differences of two lines within TAU may differ.
+SPREAD = 2 * GRAM * TAU
+#: Common characters that are left before and behind the part to verify.
+MARGIN = 4 * TAU
 
 
 def _places() -> list[tuple[int, int, int]]:
@@ -42,53 +49,62 @@ def _places() -> list[tuple[int, int, int]]:
     return out
 
 
-#: Index keys have no length difference and no shift; they come first.
-CODES = [(0, part, 0) for part in range(PARTS)] + _places()
+#: Index keys have no length difference and no shift; they come first. Such probes are the index keys themselves.
+CODES = [(0, part, 0) for part in range(PARTS)]
+CODES += [place for place in _places() if place not in CODES]
 
 
-def _segment(length: str, part: int) -> tuple[str, str]:
-    """Start (from 0) and size of a segment; the last ones take what does not divide."""
-    size, over = f"({length} div {PARTS})", f"({length} % {PARTS})"
-    return f"cast({size} * {part} + greatest({over} - {PARTS - part}, 0) as int)", f"cast({size} + if({over} >= {PARTS - part}, 1, 0) as int)"
+def keyed(rows: DataFrame, side: int) -> DataFrame:
+    """u, line, n (its length) -> key, u, size (0) of the index (side 0) or the probes (1).
 
+    The last segments take what does not divide. One row a code first: an expression for each code would make
+    a method too long to be compiled."""
+    codes = CODES[:PARTS] if side == 0 else CODES[PARTS:]
+    table = ", ".join(f"struct({more} as more, {part} as part, {shift} as shift)" for more, part, shift in codes)
+    each = rows.select("u", "line", "n", F.explode(F.expr(f"array({table})")).alias("c"))
+    length, start = "(n - c.more)", f"(n - c.more) % {PARTS} - ({PARTS} - c.part)"
+    place = f"cast({length} div {PARTS} as int) * c.part + greatest({start}, 0) + c.shift + 1"
+    size = f"cast({length} div {PARTS} as int) + if({start} >= 0, 1, 0)"
+    return each.select(F.expr(f"xxhash64(c.part, {length}, substring(line, {place}, {size}))").alias("key"), "u", F.lit(0).alias("size"))
 
-def _cut(code: int) -> tuple[str, str, str]:
-    """Line length of the segment's line, start and size of the substring of a code, from the column n."""
-    more, part, shift = CODES[code]
-    length = f"(n - {more})"
-    start, size = _segment(length, part)
-    return length, f"({start} + {shift})", size
 
+def _let(value: Column, body) -> Column:
+    """The body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
-def keyed(rows: DataFrame, side: int) -> DataFrame:
-    """group, side, u, s, n (length of s), m -> key, code, u, m of the index (side 0) or the probes (1)."""
-    out = []
-    for code in range(PARTS) if side == 0 else range(PARTS, len(CODES)):
-        length, start, size = _cut(code)
-        out.append(f"struct(xxhash64(group, {CODES[code][1]}, {length}, substring(s, {start} + 1, {size})) as key, {code} as code)")
-    own = rows.where(F.col("side").isNull() | (F.col("side") == side))
-    return own.select("u", "m", F.explode(F.expr(f"array({', '.join(out)})")).alias("k")).select("k.key", "k.code", "u", "m")
-
-
-def _rest() -> Column:
-    """The line s without the substring of its code."""
-    out = F.lit(None).cast("string")
-    for k in range(len(CODES)):
-        _, start, size = _cut(k)
-        out = F.when(F.col("code") == k, F.expr(f"concat(substring(s, 1, {start}), substring(s, {start} + {size} + 1, n))")).otherwise(out)
-    return out
+
+def _common(x: Column, y: Column, most: Column) -> Column:
+    """Length of a common prefix of two strings, at most ``most``: the longest, if it is under 2**20."""
+    step = lambda k, s: F.when((k + s <= most) & (x.substr(k + 1, s) == y.substr(k + 1, s)), k + s).otherwise(k)
+    return F.aggregate(F.array(*[F.lit(1 << e) for e in range(19, -1, -1)]), F.lit(0), step)
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """Struct (x, y) of the strings without their common ends, but for MARGIN characters of each."""
+    least = lambda p: F.least(F.length(p["x"]), F.length(p["y"]))
+    far = F.lit(1 << 30)
+
+    def behind(p: Column, k: Column) -> Column:
+        k = F.greatest(k - MARGIN, F.lit(0))
+        return F.struct(F.reverse(p["x"].substr(k + 1, far)).alias("x"), F.reverse(p["y"].substr(k + 1, far)).alias("y"))
+
+    cut = lambda p: _let(_common(p["x"], p["y"], least(p)), lambda k: behind(p, k))
+    # the second pass keeps MARGIN characters of the common prefix that the first one left
+    cut_back = lambda p: _let(_common(p["x"], p["y"], least(p) - 2 * MARGIN), lambda k: behind(p, k))
+    return _let(_let(F.struct(a.alias("x"), b.alias("y")), cut), cut_back)
 
 
 def distance(a: Column, b: Column, tau: int = TAU) -> Column:
     """Edit distance of two strings whose lengths differ by at most tau (both longer than that), or tau + 1.
 
+    Common ends are cut off first, and columns are passed over once the score cannot come back to tau.
     Bit k of a column's words stands for row ``column + k - tau`` of the first string; the band moves down a
     row with each column. The score follows the lowest row of the band, then the last row."""
     width = 2 * tau + 1
     mask, low = (1 << width) - 1, 1 << (width - 1)
     chars = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
     longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    both = F.struct(chars(longer).alias("x"), chars(shorter).alias("y"))
+    both = _let(_differing(longer, shorter), lambda p: F.struct(chars(p["x"]).alias("x"), chars(p["y"]).alias("y")))
 
     def score(t: Column) -> Column:
         x, y = t["x"], t["y"]
@@ -102,7 +118,7 @@ def distance(a: Column, b: Column, tau: int = TAU) -> Column:
                 equal = equal.bitwiseOR(F.when(at == ch, 1 << k).otherwise(0))
             d0 = (equal.bitwiseAND(vp) + vp).bitwiseAND(F.lit(mask)).bitwiseXOR(vp).bitwiseOR(equal).bitwiseOR(vn)
             step = F.struct(acc.alias("acc"), d0.alias("d0"))
-            return F.transform(F.array(step), follow)[0]
+            return F.when(acc["d"] > 3 * tau, acc).otherwise(_let(step, follow))
 
         def follow(w: Column) -> Column:
             acc, d0 = w["acc"], w["d0"]
@@ -119,7 +135,7 @@ def distance(a: Column, b: Column, tau: int = TAU) -> Column:
 
         return F.least(F.aggregate(y, zero, column)["d"], F.lit(tau + 1))
 
-    return F.transform(F.array(both), score)[0]
+    return _let(both, score)
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,50 +154,101 @@ def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """a < b of an index line and a probe line of one key, unless both are linked to its pivot."""
-    index = index.select("key", F.col("u").alias("i"), F.col("m").alias("mi"))
-    probe = probe.select("key", F.col("u").alias("p"), F.col("m").alias("mp"))
-    met = index.join(probe, "key").where("i <> p and not (mi and mp)")
+    """a < b of an index line and a probe line of one key whose differences from the pivot allow it, unless both are
+    linked to the pivot (``d`` and ``m``; there are none at first)."""
+    again = "d" in index.columns
+    mark = F.col("m") if again else F.lit(False)
+    grams_ = F.col("d") if again else F.lit(0)
+    index = index.select("key", F.col("u").alias("i"), mark.alias("mi"), F.col("size").alias("si"), grams_.alias("di"))
+    probe = probe.select("key", F.col("u").alias("p"), mark.alias("mp"), F.col("size").alias("sp"), grams_.alias("dp"))
+    met = index.join(probe, "key").where(f"i <> p and not (mi and mp) and si <= sp and sp - si <= {SPREAD}")
+    if again:
+        met = met.where(f"si + sp - 2 * size(array_intersect(di, dp)) <= {SPREAD}")
     return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
 
 
+def grams(line: Column) -> Column:
+    """Array of the line's distinct grams, as hashes; a gram's second, third and further occurrences are their own."""
+    chars = F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
+    hashes = _let(chars, lambda c: F.array_sort(F.transform(F.slice(c, 1, F.size(c) - (GRAM - 1)), lambda _, i: F.xxhash64(*[F.get(c, i + k) for k in range(GRAM)]))))
+    # sorted, so equal grams stand together
+    before = lambda g, i, k: F.get(g, i - k)
+    number = lambda g, x, i: F.when(before(g, i, 3).eqNullSafe(x), 3).when(before(g, i, 2).eqNullSafe(x), 2).when(before(g, i, 1).eqNullSafe(x), 1).otherwise(0)
+    return _let(hashes, lambda g: F.array_distinct(F.transform(g, lambda x, i: F.xxhash64(x, number(g, x, i)))))
+
+
+def _differences(members: DataFrame, units: DataFrame) -> DataFrame:
+    """pivot, u, m -> pivot, u, m, d, size, grams: those in which the line and the pivot differ (d), and the first of
+    them, the pivot's own last."""
+    some = members.select("u").union(members.select("pivot")).distinct()
+    bags = written(units.join(some, "u", "left_semi").select("u", grams(F.col("line")).alias("g")), "line-grams")
+    pivots = bags.select(F.col("u").alias("pivot"), F.col("g").alias("h"))
+    rows = members.join(bags, "u").join(pivots, "pivot")
+    rows = rows.select("pivot", "u", "m", F.concat(F.array_except("g", "h"), F.array_except("h", "g")).alias("d"))
+    rows = written(rows, "line-differences")
+    # what two of the nearest unlinked lines have in common is the pivot's own difference from its family
+    near = lambda odd: F.min(F.when((F.pmod("u", F.lit(2)) == odd) & ~F.col("m"), F.struct("size", "u")))["u"]
+    two = rows.select("pivot", "u", "m", F.size("d").alias("size")).groupBy("pivot").agg(near(0).alias("u"), near(1).alias("v"))
+    one = rows.select("pivot", "u", F.col("d").alias("x"))
+    other = rows.select("pivot", F.col("u").alias("v"), F.col("d").alias("y"))
+    often = two.join(one, ["pivot", "u"]).join(other, ["pivot", "v"]).select("pivot", F.array_intersect("x", "y").alias("often"))
+    d, often_ = F.col("d"), F.coalesce("often", F.expr("cast(array() as array<bigint>)"))
+    ordered = F.concat(F.array_sort(F.array_except(d, often_)), F.array_sort(F.array_intersect(d, often_)))
+    return rows.join(often, "pivot", "left").select("pivot", "u", "m", "d", F.size("d").alias("size"), F.slice(ordered, 1, SPREAD + 1).alias("grams"))
+
+
+def _rekeyed(rows: DataFrame, side: int) -> DataFrame:
+    """key, u, m, size of the index or the probes by differences. Lines within TAU, the index line's difference
+    the smaller one, share a gram of these, or their differences have SPREAD grams or less together."""
+    key = lambda e: F.xxhash64("pivot", F.lit(0), e)
+    small = lambda t: F.xxhash64("pivot", F.lit(1), t.cast("int"))
+    none = F.expr("cast(array() as array<bigint>)")
+    if side == 0:
+        keys = F.concat(F.transform(F.slice("grams", 1, SPREAD // 2 + 1), key), F.when(F.col("size") <= SPREAD // 2, F.array(small(F.col("size")))).otherwise(none))
+    else:
+        sizes = F.when(F.col("size") <= SPREAD, F.transform(F.sequence(F.lit(0), F.least(F.col("size"), SPREAD - F.col("size"))), small))
+        keys = F.concat(F.transform("grams", key), F.coalesce(sizes, none))
+    return rows.select(F.explode(keys).alias("key"), "u", "m", "size", "d")
+
+
 def links(units: DataFrame) -> DataFrame:
     """a, b: verified pairs enough to connect every class. ``units``: u, line, n (its length)."""
     near = units.where(F.col("n") >= LEAST_NEAR)
-    rows = near.select(F.lit(0).cast("long").alias("group"), F.lit(None).cast("int").alias("side"), "u", F.col("line").alias("s"), "n", F.lit(False).alias("m"))
+    index = written(keyed(near, 0), "line-index")
+    probe = written(keyed(near, 1).join(index.select("key"), "key", "left_semi"), "line-probes")
+    # only keys of two lines matter from here on
+    met = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key").union(probe.select("key")).distinct()
+    index = written(index.join(met, "key", "left_semi"), "line-index")
+    probe = probe.union(index)
     out = None
     for level in range(LEVELS):
-        index, probe = written(keyed(rows, 0), "line-index"), keyed(rows, 1)
         hot = None
         if level < LEVELS - 1:
-            hot = written(index.groupBy("key").agg(F.count("*").alias("c"), F.min("u").alias("pivot")).where(F.col("c") > HOT).select("key", "pivot"), "hot-keys")
+            hot = written(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT ** (level + 1)), "hot-keys")
             hot = hot if hot.limit(1).count() else None
         if hot is None:
-            found = _verified(_pairs(index, probe), near)
-        else:
-            cold = hot.select("key")
-            found = _verified(_pairs(index.join(cold, "key", "left_anti"), probe.join(cold, "key", "left_anti")), near)
-            # the lines of hot keys meet the pivot; then they are cut anew without the common segment
-            sides = index.withColumn("side", F.lit(0)).unionByName(probe.withColumn("side", F.lit(1)))
-            owned = written(sides.join(hot, "key"), "hot-lines")
-            star = owned.where("u <> pivot").select(F.least("u", "pivot").alias("a"), F.greatest("u", "pivot").alias("b")).distinct()
-            close = written(_verified(star, near), "hot-links")
-            found = found.union(close)
-            linked = close.union(close.select("b", "a")).select(F.col("a").alias("pivot"), F.col("b").alias("u"), F.lit(True).alias("linked"))
-            marked = owned.join(linked, ["pivot", "u"], "left").withColumn("m", F.col("m") | F.coalesce("linked", F.lit(False)) | (F.col("u") == F.col("pivot")))
-            # a key of which all lines are linked has nothing left to find
-            open_ = marked.groupBy("key").agg(F.bool_and("m").alias("done")).where("not done").select("key")
-            texts = rows.select("u", "s", "n").distinct()
-            cut = marked.join(open_, "key", "left_semi").join(texts, "u").select("key", "side", "u", _rest().alias("s"), "m").distinct()
-            cut = written(cut.withColumn("n", F.length("s")), "hot-rests")
-            few = cut.where(F.col("n") <= 4 * TAU)
-            found = found.union(_verified(_pairs(few.where("side = 0"), few.where("side = 1")), near))
-            rows = cut.where(F.col("n") > 4 * TAU).withColumnRenamed("key", "group")
+            found = written(_verified(_pairs(index, probe), near), "line-links")
+            return found if out is None else out.union(found)
+        cold = hot.select("key")
+        found = _verified(_pairs(index.join(cold, "key", "left_anti"), probe.join(cold, "key", "left_anti")), near)
         found = written(found, "line-links")
         out = found if out is None else out.union(found)
-        if hot is None:
-            break
-    return out
+        # of a hot key's lines, that in the most and largest of them is the pivot, and all meet it
+        owned = index.select("key", "u").union(probe.select("key", "u")).join(hot, "key").distinct()
+        owned = written(owned, "hot-lines")
+        score = owned.groupBy("u").agg(F.sum("c").alias("score"))
+        pivots = owned.join(score, "u").groupBy("key").agg(F.max(F.struct("score", "u"))["u"].alias("pivot"))
+        members = written(owned.join(pivots, "key").where("u <> pivot").select("pivot", "u").distinct(), "hot-members")
+        star = members.select(F.least("u", "pivot").alias("a"), F.greatest("u", "pivot").alias("b")).distinct()
+        close = written(_verified(star, near), "hot-links")
+        out = out.union(close)
+        linked = close.union(close.select("b", "a")).select(F.col("a").alias("pivot"), F.col("b").alias("u"), F.lit(True).alias("linked"))
+        marked = members.join(linked, ["pivot", "u"], "left").select("pivot", "u", F.coalesce("linked", F.lit(False)).alias("m"))
+        # a pivot to which all are linked has nothing left to find
+        open_ = marked.groupBy("pivot").agg(F.bool_and("m").alias("done")).where("not done").select("pivot")
+        rows = written(_differences(marked.join(open_, "pivot", "left_semi"), near), "line-order")
+        index, probe = written(_rekeyed(rows, 0), "line-index"), written(_rekeyed(rows, 1), "line-probes")
+    raise AssertionError("the last level has no hot keys")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
