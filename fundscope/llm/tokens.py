@@ -17,8 +17,7 @@ import numpy as np
 
 #: Latin letters, then perhaps punctuation: one word of the vocabulary's splitting rule, or two.
 PLAIN_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-/:-@\[-`{-~]*)")
-CHUNKS = {"byte": re.compile(r" ?[^ \n]+|\n"), "word": re.compile(r"[^ \n]+")}
-ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
+BYTE_CHUNK = re.compile(r" ?[^ \n]+|\n")
 #: Most chunks a worker remembers; beyond it the older half goes.
 KEPT_CHUNKS = 1_000_000
 
@@ -29,7 +28,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kind, self.chunks = kind, CHUNKS[kind]
+        self.kind = kind
         self.known: dict[str, bytes] = {}
         names = self.library.get_vocab(with_added_tokens=True)
         #: Marks the ids that begin a chunk with a space (byte), or that end a word (word).
@@ -69,11 +68,19 @@ class Encoder:
         if rest:
             self.known.update(zip(rest, self._library(rest)))
 
+    def _chunks(self, text: str) -> list[str] | None:
+        """The chunks of a text; None if its words are not parted by single spaces and line feeds."""
+        words = text.split()
+        gaps = len(words) - 1
+        if sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:
+            return None
+        return words if self.kind == "word" else BYTE_CHUNK.findall(text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
         parts: list[list[str] | None] = []
         for text in texts:
-            parts.append(None if text and ODD_SPACE.search(text) else self.chunks.findall(text or ""))
+            parts.append(self._chunks(text) if text else [])
         if len(self.known) > KEPT_CHUNKS:
             old = list(self.known)
             for chunk in old[: len(old) // 2]:
