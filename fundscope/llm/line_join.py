@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join, in SQL functions only.
 
-Distinct lines of at least LEAST_EXACT characters are the units. Units of at least LEAST_NEAR are linked if
-their edit distance is at most TAU: each is cut into TAU + 1 segments, one of which an edited copy must
+Distinct lines that are not blank are the units. Two are linked if their edit distance is at most one edit for
+each PER_EDIT characters of the shorter, and at most TAU; shorter lines have exact copies only. For e edits each
+is cut into e + 1 segments, one of which an edited copy must
 hold unchanged, at a place that the lengths and the edits left over narrow down. Segments are the index
 (keys of length, number, content); substrings at the possible places are the probes. Pairs with a common key
 are verified by banded bit-parallel edit distance (a word of 2 * TAU + 1 bits, a column a character).
@@ -14,8 +15,8 @@ those that are the pivot's own difference from the others come last). This is re
 component with the pivot by then are left out, so neither a common phrase nor a large family of near copies makes
 pairs with the square of its size.
 
-A line's class is the first of its class by (doc_id, line_no); the first line stays. Null text: empty. Shorter
-lines are not judged. Null ids sort first; rows that share an id are one document. Units are known by a 64-bit
+A line's class is the first of its class by (doc_id, line_no); the first line stays. Null text: empty. Blank
+lines (nothing but ASCII white space) are not judged. Null ids sort first; rows that share an id are one document. Units are known by a 64-bit
 hash. An empty table gives no rows. Other columns are not read (``without_repeats`` passes them through).
 """
 
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 from .components import components
 
-TAU, LEAST_EXACT, LEAST_NEAR = 2, 20, 40
+#: Lines of LEAST_NEAR characters may have TAU edits, shorter ones one for each PER_EDIT characters.
+TAU, LEAST_EXACT, PER_EDIT = 2, 1, 10
+LEAST_NEAR = TAU * PER_EDIT
 HOT, LEVELS = 8, 3
-PARTS = TAU + 1
 GRAM = 3
 #: Grams by which the differences of two lines within TAU may differ.
 SPREAD = 2 * GRAM * TAU
@@ -37,21 +39,30 @@ SPREAD = 2 * GRAM * TAU
 MARGIN = 4 * TAU
 
 
-def _places() -> list[tuple[int, int, int]]:
+def _places(edits: int) -> list[tuple[int, int, int]]:
     """(length difference, segment, shift) of every substring to probe: places that both the edits before
     and the edits behind the segment allow."""
     out = []
-    for more in range(TAU + 1):
-        for part in range(PARTS):
-            low = max(-part, more - (TAU - part))
-            high = min(part, more + (TAU - part))
+    for more in range(edits + 1):
+        for part in range(edits + 1):
+            low = max(-part, more - (edits - part))
+            high = min(part, more + (edits - part))
             out += [(more, part, shift) for shift in range(low, high + 1)]
     return out
 
 
-#: Index keys have no length difference and no shift; they come first. Such probes are the index keys themselves.
-CODES = [(0, part, 0) for part in range(PARTS)]
-CODES += [place for place in _places() if place not in CODES]
+def _codes(side: int) -> str:
+    """SQL array of the codes of the index (side 0) or the probes (1), for every number of edits, with the lengths of
+    the lines that have them: the shorter line of a pair sets its edits, and the longer may be over the next step.
+
+    Index keys have no length difference and no shift; such probes are the index keys themselves."""
+    out = []
+    for edits in range(1, TAU + 1):
+        index = [(0, part, 0) for part in range(edits + 1)]
+        codes = index if side == 0 else [place for place in _places(edits) if place not in index]
+        most = (edits + 1) * PER_EDIT - 1 + edits if edits < TAU else (1 << 31) - 1
+        out += [f"struct({edits * PER_EDIT} as least, {most} as most, {edits + 1} as parts, {more} as more, {part} as part, {shift} as shift)" for more, part, shift in codes]
+    return f"array({', '.join(out)})"
 
 
 def keyed(rows: DataFrame, side: int) -> DataFrame:
@@ -59,13 +70,11 @@ def keyed(rows: DataFrame, side: int) -> DataFrame:
 
     The last segments take what does not divide. One row a code first: an expression for each code would make
     a method too long to be compiled."""
-    codes = CODES[:PARTS] if side == 0 else CODES[PARTS:]
-    table = ", ".join(f"struct({more} as more, {part} as part, {shift} as shift)" for more, part, shift in codes)
-    each = rows.select("u", "line", "n", F.explode(F.expr(f"array({table})")).alias("c"))
-    length, start = "(n - c.more)", f"(n - c.more) % {PARTS} - ({PARTS} - c.part)"
-    place = f"cast({length} div {PARTS} as int) * c.part + greatest({start}, 0) + c.shift + 1"
-    size = f"cast({length} div {PARTS} as int) + if({start} >= 0, 1, 0)"
-    return each.select(F.expr(f"xxhash64(c.part, {length}, substring(line, {place}, {size}))").alias("key"), "u", F.lit(0).alias("size"))
+    each = rows.select("u", "line", "n", F.explode(F.expr(f"filter({_codes(side)}, c -> n between c.least and c.most)")).alias("c"))
+    length, start = "(n - c.more)", "(n - c.more) % c.parts - (c.parts - c.part)"
+    place = f"cast({length} div c.parts as int) * c.part + greatest({start}, 0) + c.shift + 1"
+    size = f"cast({length} div c.parts as int) + if({start} >= 0, 1, 0)"
+    return each.select(F.expr(f"xxhash64(c.parts, c.part, {length}, substring(line, {place}, {size}))").alias("key"), "u", F.lit(0).alias("size"))
 
 
 def _let(value: Column, body) -> Column:
@@ -141,16 +150,23 @@ def distance(a: Column, b: Column, tau: int = TAU) -> Column:
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no (from 0), line of the lines that are judged."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_of(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.length("line") >= LEAST_EXACT)
+    return lines.where((F.length("line") >= LEAST_EXACT) & F.col("line").rlike(r"[^ \t-\r]"))
+
+
+def edits_of(x: Column, y: Column) -> Column:
+    """Edits by which two linked lines may differ."""
+    return F.least(F.lit(TAU), (F.least(F.length(x), F.length(y)) / PER_EDIT).cast("int"))
 
 
 def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) within TAU. The lines are looked up once, then meet their pairs."""
+    """Those of the pairs (a, b) within their edits. The lines are looked up once, then meet their pairs."""
     pairs = written(pairs, "line-pairs")
     ids = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
     some = written(units.select("u", "line").join(ids, "u", "left_semi"), "line-texts")
     one, two = some.select(F.col("u").alias("a"), F.col("line").alias("x")), some.select(F.col("u").alias("b"), F.col("line").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(distance(F.col("x"), F.col("y")) <= TAU).select("a", "b")
+    x, y = F.col("x"), F.col("y")
+    met = pairs.join(one, "a").join(two, "b").where(F.abs(F.length(x) - F.length(y)) <= edits_of(x, y))
+    return met.where(distance(x, y) <= edits_of(x, y)).select("a", "b")
 
 
 def _pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
@@ -213,7 +229,7 @@ def _rekeyed(rows: DataFrame, side: int) -> DataFrame:
 
 def links(units: DataFrame) -> DataFrame:
     """a, b: verified pairs enough to connect every class. ``units``: u, line, n (its length)."""
-    near = units.where(F.col("n") >= LEAST_NEAR)
+    near = units.where(F.col("n") >= PER_EDIT)
     index = written(keyed(near, 0), "line-index")
     probe = written(keyed(near, 1).join(index.select("key"), "key", "left_semi"), "line-probes")
     # only keys of two lines matter from here on

@@ -74,3 +74,22 @@ def test_classes(spark, monkeypatch, hot):
         keep = [line for k, line in enumerate((t or "").split("\n")) if (d, k) not in expected or expected[(d, k)][1]]
         assert (out[d]["text"] or "") == "\n".join(keep) and out[d]["line"] == x
     assert lj.classes(df.limit(0)).count() == 0
+
+
+def test_short_lines(spark):
+    far = "".join("abcdefghijklmnopqrstuvwxyz"[k * 7 % 26] for k in range(45))
+    texts = ["Les.", "Wh the.", "x", " \t", "", "Wh thx.", "ten chars!", "ten chXrs!", "ten cXXrs!", "nineteen characters", "nineteen character", "nineteen chAractersX",
+             "a line of thirty characters ok", "a line Xf thirty characterY ok", "A lineXYf thirty characterY ok!", far, far[:-2], "Les.", "Wh the.", "x", " \t", ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_doc"], r["n_links"]) for r in lj.classes(df).collect()}
+    places = [k for k, t in enumerate(texts) if t.strip()]
+
+    def near(a, b):
+        return a != b and edit(a, b) <= min(2, min(len(a), len(b)) // 10)
+
+    links = {k: len({texts[j] for j in places if near(texts[k], texts[j])}) for k in places}
+    root = {k: k for k in places}
+    for _ in places:
+        root = {k: min(root[j] for j in places if texts[k] == texts[j] or near(texts[k], texts[j])) for k in places}
+    assert got == {k: (root[k], links[k]) for k in places}
+    assert got[17][0] == 0 and got[18][0] == 1 and got[7] == (6, 2) and got[13][0] == 12
