@@ -11,9 +11,9 @@ A key with more than HOT index lines (its square at the next level) does not mak
 within TAU of it are one component with it. The others are indexed anew by how they differ from the pivot: an
 edit changes at most 2 * GRAM of a line's character GRAM-grams, so the differences of two lines within TAU
 differ in at most SPREAD grams, and the first grams of both differences must meet (prefix filtering of sets;
-those that are the pivot's own difference from the others come last). This is repeated for keys that are hot again. Pairs of two lines that are in one
-component with the pivot by then are left out, so neither a common phrase nor a large family of near copies makes
-pairs with the square of its size.
+those that are the pivot's own difference from the others come last). This is repeated for keys that are hot again. So a common phrase does not make pairs with the square of
+its size. Near copies do where they are linked to each other, as every link counts for n_links; those of two lines
+linked to one pivot are spare, and the components are made without them.
 
 A line's class is the first of its class by (doc_id, line_no); the first line stays. Null text: empty. Blank
 lines (nothing but ASCII white space) are not judged. Null ids sort first; rows that share an id are one document. Units are known by a 64-bit
@@ -159,28 +159,33 @@ def edits_of(x: Column, y: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) within their edits. The lines are looked up once, then meet their pairs."""
+    """Those of the pairs (a, b, spare) within their edits. The lines are looked up once, then meet their pairs."""
     pairs = written(pairs, "line-pairs")
     ids = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
     some = written(units.select("u", "line").join(ids, "u", "left_semi"), "line-texts")
     one, two = some.select(F.col("u").alias("a"), F.col("line").alias("x")), some.select(F.col("u").alias("b"), F.col("line").alias("y"))
     x, y = F.col("x"), F.col("y")
     met = pairs.join(one, "a").join(two, "b").where(F.abs(F.length(x) - F.length(y)) <= edits_of(x, y))
-    return met.where(distance(x, y) <= edits_of(x, y)).select("a", "b")
+    return met.where(distance(x, y) <= edits_of(x, y)).select("a", "b", "spare")
 
 
 def _pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """a < b of an index line and a probe line of one key whose differences from the pivot allow it, unless both are
-    linked to the pivot (``d`` and ``m``; there are none at first)."""
+    """a < b of an index line and a probe line of one key whose differences from the pivot allow it; spare if, wherever
+    they meet, both are linked to the pivot (``d`` and ``m``; there are none at first)."""
     again = "d" in index.columns
     mark = F.col("m") if again else F.lit(False)
     grams_ = F.col("d") if again else F.lit(0)
     index = index.select("key", F.col("u").alias("i"), mark.alias("mi"), F.col("size").alias("si"), grams_.alias("di"))
     probe = probe.select("key", F.col("u").alias("p"), mark.alias("mp"), F.col("size").alias("sp"), grams_.alias("dp"))
-    met = index.join(probe, "key").where(f"i <> p and not (mi and mp) and si <= sp and sp - si <= {SPREAD}")
+    met = index.join(probe, "key").where(f"i <> p and si <= sp and sp - si <= {SPREAD}")
     if again:
         met = met.where(f"si + sp - 2 * size(array_intersect(di, dp)) <= {SPREAD}")
-    return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+    return _once(met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b"), F.expr("mi and mp").alias("spare")))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair once, spare if it is so everywhere."""
+    return pairs.groupBy("a", "b").agg(F.bool_and("spare").alias("spare"))
 
 
 def grams(line: Column) -> Column:
@@ -202,8 +207,8 @@ def _differences(members: DataFrame, units: DataFrame) -> DataFrame:
     rows = members.join(bags, "u").join(pivots, "pivot")
     rows = rows.select("pivot", "u", "m", F.concat(F.array_except("g", "h"), F.array_except("h", "g")).alias("d"))
     rows = written(rows, "line-differences")
-    # what two of the nearest unlinked lines have in common is the pivot's own difference from its family
-    near = lambda odd: F.min(F.when((F.pmod("u", F.lit(2)) == odd) & ~F.col("m"), F.struct("size", "u")))["u"]
+    # what two of the nearest lines (unlinked, if there are any) have in common is the pivot's own difference from its family
+    near = lambda odd: F.min(F.when(F.pmod("u", F.lit(2)) == odd, F.struct("m", "size", "u")))["u"]
     two = rows.select("pivot", "u", "m", F.size("d").alias("size")).groupBy("pivot").agg(near(0).alias("u"), near(1).alias("v"))
     one = rows.select("pivot", "u", F.col("d").alias("x"))
     other = rows.select("pivot", F.col("u").alias("v"), F.col("d").alias("y"))
@@ -228,7 +233,8 @@ def _rekeyed(rows: DataFrame, side: int) -> DataFrame:
 
 
 def links(units: DataFrame) -> DataFrame:
-    """a, b: verified pairs enough to connect every class. ``units``: u, line, n (its length)."""
+    """a, b, spare: every pair of linked lines; those that are not spare connect every class. ``units``: u, line, n
+    (its length)."""
     near = units.where(F.col("n") >= PER_EDIT)
     index = written(keyed(near, 0), "line-index")
     probe = written(keyed(near, 1).join(index.select("key"), "key", "left_semi"), "line-probes")
@@ -255,27 +261,25 @@ def links(units: DataFrame) -> DataFrame:
         score = owned.groupBy("u").agg(F.sum("c").alias("score"))
         pivots = owned.join(score, "u").groupBy("key").agg(F.max(F.struct("score", "u"))["u"].alias("pivot"))
         members = written(owned.join(pivots, "key").where("u <> pivot").select("pivot", "u").distinct(), "hot-members")
-        star = members.select(F.least("u", "pivot").alias("a"), F.greatest("u", "pivot").alias("b")).distinct()
+        star = members.select(F.least("u", "pivot").alias("a"), F.greatest("u", "pivot").alias("b"), F.lit(False).alias("spare")).distinct()
         close = written(_verified(star, near), "hot-links")
         out = out.union(close)
-        linked = close.union(close.select("b", "a")).select(F.col("a").alias("pivot"), F.col("b").alias("u"), F.lit(True).alias("linked"))
+        linked = close.select("a", "b").union(close.select("b", "a")).select(F.col("a").alias("pivot"), F.col("b").alias("u"), F.lit(True).alias("linked"))
         marked = members.join(linked, ["pivot", "u"], "left").select("pivot", "u", F.coalesce("linked", F.lit(False)).alias("m"))
-        # a pivot to which all are linked has nothing left to find
-        open_ = marked.groupBy("pivot").agg(F.bool_and("m").alias("done")).where("not done").select("pivot")
-        rows = written(_differences(marked.join(open_, "pivot", "left_semi"), near), "line-order")
+        rows = written(_differences(marked, near), "line-order")
         index, probe = written(_rekeyed(rows, 0), "line-index"), written(_rekeyed(rows, 1), "line-probes")
     raise AssertionError("the last level has no hot keys")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no, class_doc, class_line, n_links, kept of every judged line; n_links counts the verified
-    links of the line's text to other texts (all of them, unless the text met a hot key)."""
+    links of the line's text to other texts."""
     lines = lines_of(docs, id_col, text_col)
     place = F.struct("doc_id", "line_no")
     units = written(lines.groupBy(F.xxhash64("line").alias("u")).agg(F.min(place).alias("first"), F.first("line").alias("line"))
                     .withColumn("n", F.length("line")), "lines")
-    found = links(units.select("u", "line", "n")).distinct()
-    roots = components(found)
+    found = written(_once(links(units.select("u", "line", "n"))), "line-links")
+    roots = components(found.where("not spare"))
     degree = found.select(F.col("a").alias("u")).union(found.select("b")).groupBy("u").agg(F.count("*").alias("n_links"))
     linked = units.select("u", "first").join(roots.withColumnRenamed("node", "u"), "u").join(degree, "u")
     best = linked.groupBy("root").agg(F.min("first").alias("best"))

@@ -93,3 +93,16 @@ def test_short_lines(spark):
         root = {k: min(root[j] for j in places if texts[k] == texts[j] or near(texts[k], texts[j])) for k in places}
     assert got == {k: (root[k], links[k]) for k in places}
     assert got[17][0] == 0 and got[18][0] == 1 and got[7] == (6, 2) and got[13][0] == 12
+
+
+def test_links_of_a_family(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(60))
+    one = [base[:k] + "Z" + base[k + 1 :] for k in range(2, 58, 4)]
+    two = [a[:30] + "Y" + a[31:] for a in one[::2]] + [base[:k] + "XW" + base[k + 2 :] for k in (1, 25, 50)]
+    apart = [base[:20] + "".join(rng.choice("klmnopqr") for _ in range(40)) for _ in range(20)]
+    texts = [base, *one, *two, *apart]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["n_links"] for r in lj.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: sum(a != b and edit(a, b) <= 2 for b in set(texts)) for k, a in enumerate(texts)}
+    assert max(got.values()) > 15
