@@ -7,9 +7,11 @@ the document is. An item is hashed once for each class. A document that shares a
 candidate; it is dropped unless at least ``least`` of the item's distinct shingles occur in the whole document.
 
 An item shingle is a window's key with a chance of about 0.4, so a document with 9 shingles of an item in one
-window misses with 1 %, and one with 30 with less than one in a million.
+window misses with 1 %, and one with 26 with less than one in a million. Items of less than FEW shingles are
+therefore searched without sampling: each of their shingles is looked for in every document, through a bitmap.
 
-Texts of less than five words have no shingles: such items are not searched, such documents have no match.
+The whole text of an item of less than five words is its one shingle; documents are searched for runs of so many
+words, if there are such items. Items without words are not searched.
 Null text: empty. Repeated ids: their texts count as one document (or item). Null ids are left out.
 Empty tables give no rows. Other columns are not read.
 """
@@ -25,9 +27,12 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from . import textarrays as ta
+from .common import written
 
 SHINGLE, WINDOW, CLASSES = 5, 256, (5, 6, 7, 8)
 LEAST = 0.8
+#: Items of less shingles than this are not sampled (0.8 of 32 are 26).
+FEW = 32
 
 
 def _minima(shingles: np.ndarray, block: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,19 +95,23 @@ def document_keys(docs: DataFrame, words_of: np.ndarray) -> DataFrame:
     return docs.mapInArrow(keys, "id long, key long")
 
 
-def shingle_rows(texts: DataFrame, words_of: np.ndarray | None = None) -> DataFrame:
-    """id, shingle: the distinct shingles of each text, if given only those that a bitmap lets through."""
+def shingle_rows(texts: DataFrame, sizes: list[int], words_of: np.ndarray | None = None) -> DataFrame:
+    """id, shingle: the distinct shingles of each text, and its runs of ``sizes`` words, if given only those that a
+    bitmap lets through. Without a bitmap (items), runs are whole texts."""
     sent = texts.sparkSession.sparkContext.broadcast(words_of)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in ta.slices(batch.column(1)):
                 words, row = s.words()
-                shingles, at = ta.windows(words, row, SHINGLE)
-                doc = row[at]
-                if sent.value is not None:
-                    hit = bitmap.holds(sent.value, shingles)
-                    shingles, doc = shingles[hit], doc[hit]
+                n = np.bincount(row, minlength=s.rows)
+                found = []
+                for size in (*sizes, SHINGLE):
+                    shingles, at = ta.windows(words, row, size)
+                    doc = row[at]
+                    hit = (n[doc] == size) | (size == SHINGLE) if sent.value is None else bitmap.holds(sent.value, shingles)
+                    found.append((shingles[hit], doc[hit]))
+                shingles, doc = (np.concatenate(c) for c in zip(*found, strict=True))
                 order = np.lexsort((shingles, doc))
                 shingles, doc = shingles[order], doc[order]
                 new = np.ones(len(doc), bool)
@@ -112,18 +121,36 @@ def shingle_rows(texts: DataFrame, words_of: np.ndarray | None = None) -> DataFr
     return texts.mapInArrow(rows, "id long, shingle long")
 
 
+def run_sizes(items: DataFrame) -> list[int]:
+    """The numbers of words that items of less than SHINGLE words have."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in ta.slices(batch.column(1)):
+                n = np.unique(np.bincount(s.words()[1], minlength=s.rows))
+                yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < SHINGLE)], pa.int64())], names=["n"])
+
+    return sorted(r["n"] for r in items.mapInArrow(sizes, "n long").distinct().collect())
+
+
 def search(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text",
            item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every document that holds an item."""
     texts, wanted = _texts(docs, id_col, text_col), _texts(items, item_id, item_text)
-    by_key = item_keys(wanted).withColumnRenamed("id", "item").distinct()
+    runs = run_sizes(wanted)
+    item_shingles = written(shingle_rows(wanted, list(range(1, SHINGLE))).withColumnRenamed("id", "item").distinct(), "item-shingles")
+    sizes = item_shingles.groupBy("item").agg(F.count("*").alias("n_item"))
+    few = item_shingles.join(sizes.where(F.col("n_item") < FEW), "item", "left_semi")
+    more = sizes.where(F.col("n_item") >= FEW).select("item")
+
+    by_key = item_keys(wanted).withColumnRenamed("id", "item").distinct().join(more, "item", "left_semi")
     keys = document_keys(texts, bitmap.build(by_key, "key"))
     candidates = keys.distinct().join(by_key, "key").select(F.col("id"), "item").distinct()
-    item_shingles = shingle_rows(wanted).withColumnRenamed("id", "item").distinct()
-    sizes = item_shingles.groupBy("item").agg(F.count("*").alias("n_item"))
-    sieve = bitmap.build(item_shingles, "shingle")
-    own = shingle_rows(texts.join(candidates.select("id").distinct(), "id", "left_semi"), sieve)
-    shared = own.distinct().join(item_shingles, "shingle").groupBy("id", "item").agg(F.count("*").alias("n_shared"))
-    shared = shared.join(candidates, ["id", "item"], "left_semi").join(sizes, "item")
+    many = item_shingles.join(more, "item", "left_semi")
+    own = shingle_rows(texts.join(candidates.select("id").distinct(), "id", "left_semi"), runs, bitmap.build(many, "shingle"))
+    shared = own.distinct().join(many, "shingle").groupBy("id", "item").agg(F.count("*").alias("n_shared"))
+    shared = shared.join(candidates, ["id", "item"], "left_semi")
+    whole = shingle_rows(texts, runs, bitmap.build(few, "shingle")).distinct()
+    shared = shared.union(whole.join(few, "shingle").groupBy("id", "item").agg(F.count("*").alias("n_shared"))).join(sizes, "item")
     return (shared.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6)).where(F.col("n_shared") >= least * F.col("n_item"))
             .select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shared", "n_item", "containment"))

@@ -116,6 +116,21 @@ def test_containment(spark):
     assert decontaminate.search(d, b.limit(0)).count() == 0 and decontaminate.search(d.limit(0), b).count() == 0
 
 
+def test_containment_of_short_items(spark):
+    rng = random.Random(15)
+    items = [(n * 100 + k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for n in range(1, 13) for k in range(12)] + [(0, " "), (1, None)]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        w = prose(rng, rng.randrange(300, 900)).split()
+        at = rng.randrange(len(w))
+        docs.append((k, " ".join(w[:at] + (t or "").split() + w[at:])))
+    docs += [(1000, items[0][1]), (1001, " ".join(items[30][1].split()[:-1])), (1002, items[40][1].replace(" ", "\n"))]
+    want = {(d, i, 1.0) for d, t in docs for i, x in items if (x or "").split() and f" {x} " in f" {' '.join(t.split())} "}
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.search(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) >= 146
+
+
 @pytest.mark.parametrize("small", [40, 2])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(order_minhash, "SMALL_GROUP", small)
