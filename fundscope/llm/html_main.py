@@ -1,15 +1,17 @@
 """Main text of web pages: site template removal by subtree hashes counted per host.
 
 Two passes over the pages. The first parses each page and hashes its container subtrees (tag, class, id and
-text of everything below); Spark counts on how many pages of a host each hash occurs, and those on at least
-MIN_PAGES pages and MIN_SHARE of the host's pages are its template. The second pass drops, on each page, the
+text of everything below); Spark counts in how many pages of a host each hash occurs, pages with the same text
+around it once, and those in at least MIN_PAGES are its template, however large the host. What may be text of
+an article (lists and figures inside it, and subtrees of LONG characters that hold over half of the page's text) must
+also be on MIN_SHARE of the host's pages. The second pass drops, on each page, the
 subtrees found in the template, together with elements that are furniture by their tag, role or class, and
 writes the remaining blocks of the article (of the body, if there is none). Text blocks of an article
 (paragraphs, headings, list items, quotations, tables) are never template, however often they recur.
 
 Null html: empty text. Null url: the empty host. Broken markup is read as browsers do where it matters: a
 block tag ends an open paragraph, unknown end tags are skipped, the end of the text closes everything.
-Repeated page ids and rows: each row gets its own text (templates count them once per id). Other columns
+Repeated page ids and rows: each row gets its own text. Other columns
 pass through unless they have the names of the new ones. An empty table gives no rows.
 """
 
@@ -25,8 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A subtree is template if it is on so many pages of the host, and on this share of them.
+from .common import written
+
+#: A subtree is template if it is on so many pages of the host; if it may be an article's text, also on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.3
+#: Characters from which over half of a page's text may be its article.
+LONG = 400
+LISTS = frozenset("ul ol dl details figure center address".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
@@ -205,38 +212,71 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
 
 
-def subtree_rows(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page, host, subtree: one row per distinct container subtree of each page."""
+def subtrees(root: Node) -> set[tuple[int, int, bool]]:
+    """Digest, hash of the text around, and whether it may be text of an article, of the container subtrees that the
+    main text may hold."""
+    digests = {id(node): h for h, node in hashes(root)}
+    keep = lambda node, in_main: not _furniture(node, in_main)
+    tops = {id(t) for t in _find(root, ("article",), keep) or _find(root, ("main",), keep) or [root]}
+    nodes, above, within = [root], [-1], [id(root) in tops]
+    for k, node in enumerate(nodes):
+        for kid in node.kids:
+            if isinstance(kid, Node) and not _furniture(kid, True):
+                nodes.append(kid), above.append(k), within.append(within[k] or id(kid) in tops)
+    held, size = [0] * len(nodes), [0] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):
+        for text in (" ".join(t.split()) for t in nodes[k].kids if isinstance(t, str)) if within[k] else ():
+            if text:
+                held[k] += int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "little")
+                size[k] += len(text)
+        if k:
+            held[above[k]] += held[k]
+            size[above[k]] += size[k]
+    out = set()
+    for k, node in enumerate(nodes):
+        if size[k] and id(node) in digests:
+            article = size[k] >= LONG and 2 * size[k] > size[0] or within[k] and node.tag in LISTS and id(root) not in tops
+            out.add((digests[id(node)], ((held[0] - held[k]) & ((1 << 64) - 1)) - (1 << 63), article))
+    return out
+
+
+def subtree_rows(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """host, page (hash of its html), subtree, around, article: one row per distinct container subtree of each page."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
-                ids, hosts, found = [], [], []
                 part = batch.slice(a, 200)
-                for page, host, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for h in {h for h, _ in hashes(parse(text))}:
-                        ids.append(page), hosts.append(host), found.append(h)
-                yield pa.RecordBatch.from_pydict({"page": pa.array(ids, pa.int64()), "host": pa.array(hosts, pa.string()), "subtree": pa.array(found, pa.int64())})
+                found = [(k, *f) for k, text in enumerate(part.column(2).to_pylist()) for f in subtrees(parse(text))]
+                at, subtree, around, article = zip(*found, strict=True) if found else ((), (), (), ())
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(subtree, pa.int64()), pa.array(around, pa.int64()), pa.array(article, pa.bool_())],
+                                                 names=["host", "page", "subtree", "around", "article"])
 
-    return _texts(pages, html, F.col(id_col).cast("long").alias("page"), host_of(url).alias("host")).mapInArrow(rows, "page long, host string, subtree long")
+    work = _texts(pages, html, host_of(url).alias("host")).select("host", F.xxhash64("__html").alias("page"), "__html")
+    return work.mapInArrow(rows, "host string, page long, subtree long, around long, article boolean")
 
 
 def templates(rows: DataFrame, pages_per_host: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, subtree of the subtrees on many pages of their host; counted map-side first, so one host may hold any share of the pages."""
-    counted = rows.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return counted.join(pages_per_host, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    """host, subtree of the template; counted map-side first, so one host may hold any share of the pages."""
+    texts = rows.groupBy("host", "subtree", "around").agg(F.count("*").alias("n"), F.bool_or("article").alias("article"))
+    counted = texts.groupBy("host", "subtree").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.bool_or("article").alias("article"))
+    often = counted.where(F.col("n") >= min_pages).join(pages_per_host, "host")
+    return often.where(F.when(F.col("article"), F.col("n") >= min_share * F.col("pages")).otherwise(F.col("texts") >= min_pages)).select("host", "subtree")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html",
             min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``pages`` without its html, with text and n_chars."""
-    rows = subtree_rows(pages, id_col, url, html)
+    """``pages`` without its html, with text and n_chars. Pages are known by host and html, so ``id_col`` only passes through."""
+    rows = written(subtree_rows(pages, url, html), "page-subtrees")
     per_host = pages.select(host_of(url).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
     found = templates(rows, per_host, min_pages, min_share)
-    # a host's template: subtrees on a fixed share of its pages, so their number is that of a page over MIN_SHARE
-    per_site = found.groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("__drop")).withColumnRenamed("host", "__host")
+    # a page gets its own part of the template, as a host's grows with its pages
+    per_page = rows.join(found, ["host", "subtree"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("subtree")).alias("__drop"))
+    per_page = per_page.withColumnsRenamed({"host": "__host", "page": "__page"})
     passed = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    work = _texts(pages, html, *passed, host_of(url).alias("__host")).join(per_site, "__host", "left").select("__html", "__drop", *passed)
+    work = _texts(pages, html, *passed, host_of(url).alias("__host")).withColumn("__page", F.xxhash64("__html"))
+    work = work.join(per_page, ["__host", "__page"], "left").select("__html", "__drop", *passed)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,3 +34,21 @@ def test_templates_per_host(spark):
     article = [(i, "http://a.example/x", f"<article><p>Common</p><div class='x'><p>Box</p></div><p>{i}</p></article>") for i in range(6)]
     out = hm.extract(spark.createDataFrame(article, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in out} == {f"Common\n\n{i}" for i in range(6)}
+
+
+def test_rotating_boxes_and_copies_of_articles(spark):
+    rows = []
+    for i in range(400):
+        box = f"<div><p>Notice {i % 40}</p></div>"
+        end = f"<div><span>Rotating end {i % 25}</span></div>"
+        rows.append((i, "http://hot.example/x", f"<body>{box}<div><h1>Head {i}</h1><p>Body {i}</p></div>{end}</body>"))
+        rows.append((1000 + i, "http://art.example/x", f"<body>{box}<article><h1>Head {i}</h1><p>Body {i}</p>{box}<ul><li>Point {i % 40}</li></ul></article></body>"))
+    long = " ".join(f"word{k}" for k in range(90))
+    for i in range(60):
+        rows.append((2000 + i, "http://hot.example/copy", f"<body><div><p>{long}</p></div><div>Promo {i % 10}</div></body>"))
+    got = {r["page_id"]: r["text"] for r in hm.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(400):
+        assert got[i] == f"Head {i}\n\nBody {i}"
+        assert got[1000 + i] == f"Head {i}\n\nBody {i}\n\nPoint {i % 40}"
+    # one text beside a promo: the promo is not known from its own pages' text, but the article stays
+    assert all(got[2000 + i].startswith(long) for i in range(60))
