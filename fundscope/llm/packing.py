@@ -5,7 +5,7 @@ exactly the capacity, but for the first, which takes what is left over. Pieces a
 groups of about ``GROUP_PIECES``, and each group is packed on its own: best fit in order of falling length,
 then a local search over the bins with room. The search takes the emptiest bin and moves a piece of it, or
 exchanges one or two pieces of it for a smaller one of a fuller bin; each step raises the sum of squared
-fills, and a bin whose last piece has gone is saved. Groups are so large that the one bin or so which each
+fills, and a bin whose last piece has gone is saved. Every open bin is tried, and all again once one is saved. Groups are so large that the one bin or so which each
 leaves half empty does not count.
 
 Null text: empty, one piece with the end id. Repeated or null ids: each row is packed by itself. Empty table:
@@ -27,8 +27,6 @@ from . import tokens
 from .common import written
 
 GROUP_PIECES = 20_000
-#: Donor bins without success after which a group's search ends.
-SEARCH_TRIES = 60
 
 
 def pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, capacity: int = 1024,
@@ -103,7 +101,6 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], room: np.ndarray, c
     slot = {int(i): k for k, i in enumerate(index)}
     alive = np.ones(len(items), bool)
     tried = np.zeros(len(items), bool)
-    failures = 0
 
     def put(k: int, b: int) -> None:
         a = int(where[k])
@@ -113,9 +110,9 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], room: np.ndarray, c
         room[b] -= size[k]
         where[k] = b
 
-    while failures < SEARCH_TRIES and len(full) + int(alive.sum()) > least:
+    while len(full) + int(alive.sum()) > least:
         open_bins = np.flatnonzero(alive & ~tried)
-        if len(open_bins) < 2:
+        if not len(open_bins):
             break
         donor = int(open_bins[np.argmax(room[open_bins])])
         tried[donor] = True
@@ -135,30 +132,35 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], room: np.ndarray, c
             if progress:
                 continue
             candidates = fuller[where]
-            limit = size + room[where]
-            pairs = [(int(size[k]), (k,)) for k in own] + [(int(size[k] + size[j]), (k, j)) for x, k in enumerate(own[:24]) for j in own[x + 1 : 24]]
-            for total, give in pairs:  # one or two pieces for a smaller one
-                ok = np.flatnonzero(candidates & (size < total) & (limit >= total))
-                if len(ok):
-                    take = int(ok[np.argmin(size[ok])])
-                    other = int(where[take])
-                    put(take, donor)
-                    for k in give:
-                        put(k, other)
-                    progress = True
-                    break
+            furthest = np.zeros(capacity + 1, np.int64)  # of each size, what its bin can hold in its place
+            np.maximum.at(furthest, size[candidates], (size + room[where])[candidates])
+            taken = np.full(capacity + 1, -1, np.int64)  # for each total, the least size that it can replace
+            for n in np.flatnonzero(furthest)[::-1]:
+                taken[n + 1 : furthest[n] + 1] = n
+            held = size[own]
+            one, two = np.triu_indices(len(own), 1)
+            total = np.concatenate([held, held[one] + held[two]])  # one or two pieces for a smaller one
+            can = np.flatnonzero((total <= capacity) & (taken[np.minimum(total, capacity)] >= 0))
+            if len(can):
+                x = int(can[0])
+                give = (own[x],) if x < len(own) else (own[one[x - len(own)]], own[two[x - len(own)]])
+                take = int(np.flatnonzero(candidates & (size == taken[total[x]]) & (size + room[where] >= total[x]))[0])
+                other = int(where[take])
+                put(take, donor)
+                for k in give:
+                    put(k, other)
+                progress = True
         if not items[donor]:
             alive[donor] = False
-            failures = 0
-        else:
-            failures += 1
+            tried[:] = False
     return full + [b for b, live in zip(items, alive, strict=True) if live]
 
 
 def pack(cut: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (columns as of ``pieces``)."""
     groups = max(1, -(-cut.count() // group_pieces))
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("pack")), F.lit(groups)))
+    # a number of the row, as rows may be equal in all columns; ``cut`` is a written table, so it stays the same
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     columns = cut.columns
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:

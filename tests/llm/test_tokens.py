@@ -92,3 +92,21 @@ def test_local_search_empties_bins():
     out = packing.local_search(lengths, bins, room, 10)
     assert sorted(i for b in out for i in b) == list(range(8)) and len(out) == 4
     assert all(sum(int(lengths[i]) for i in b) <= 10 for b in out)
+
+
+def test_local_search_tries_every_bin():
+    lengths = np.array([60] * 70 + [20, 20, 20, 1, 80, 80, 80, 99])
+    bins = [[k] for k in range(70)] + [[70, 71, 72, 73]] + [[k] for k in range(74, 78)]
+    room = np.array([100 - sum(int(lengths[i]) for i in b) for b in bins])
+    out = packing.local_search(lengths, bins, room, 100)
+    assert sorted(i for b in out for i in b) == list(range(78)) and len(out) == 74
+    assert all(sum(int(lengths[i]) for i in b) <= 100 for b in out)
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    cut = spark.createDataFrame([(None, 0, 0, 10, 5)] * 400, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(cut, 100, group_pieces=50).collect()
+    groups = {}
+    for r in got:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(got) == 400 and len(groups) == 8 and max(groups.values()) < 100
