@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, html_main, line_join, order_minhash, packing, quality, secrets, suffix_levels, token_files, url_reputation
+from . import decontaminate, html_main, line_join, merkle, order_minhash, packing, quality, secrets, spelling, suffix_levels, token_files, url_reputation, vector_tiles
 from .common import table, written
 
 QUERIES: dict = {}
@@ -90,3 +90,36 @@ def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_levels.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents by language; every seventh document by crc32 is checked with one character more."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = docs.select("doc_id", "lang", merkle.leaf(*fields).alias("leaf"), F.when(seventh, merkle.leaf(*fields[:3], fields[3] + 1, fields[4])).alias("tampered"))
+    found = merkle.manifest(rows, "lang", ["doc_id"], "leaf")
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE["op11_merkle_butterfly"] = merkle.ORACLE_SQL
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.with_slips(spelling.runs(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return spelling.group(spelling.vocabulary(found))
+
+
+ORACLE["op12_spelling_variants"] = spelling.ORACLE_SQL
+
+
+@query
+def op13_vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
+    return vector_tiles.search(rows.where(F.col("id") % 100 == 0), rows, k=10)
+
+
+ORACLE["op13_vector_tiles"] = vector_tiles.ORACLE_SQL
