@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 from .. import rules
 from .text import WS
 
-BLOCK_SPLIT = r"\n\n(?=[A-Z][a-z])"
-_HEAD = (r"(?s)([A-Za-z0-9\s&,/-]+?)\nFor\s(.+?)\n(?:Duration:\s(.+?)\n)?(?:Frequency:\s(.+?)\n)?"
-         r"(?:Value:\s(.+?)\n)?")
-BLOCK_INTENT = _HEAD + r"(?:Deadline/Opening:\s([^\n]+))?"
-BLOCK_FAITHFUL = _HEAD + r"(?:Deadline/Opening:\s(.+?))?"
 _MONTHS = "|".join(rules.MONTHS)
-DURATION_RANGE = r"(\d+)(?: to (\d+))?\s*years"
-VALUE = r"(?i)£([\d,.]+)(?:m| million)?(?: to £([\d,.]+)(?:m| million)?)?"
+BLOCK_SPLIT = rules.BLOCK_SPLIT
+BLOCK_INTENT = rules.BLOCK_HEAD + rules.BLOCK_DEADLINE_LINE
+BLOCK_FAITHFUL = rules.BLOCK_HEAD + rules.BLOCK_DEADLINE_LAZY
+DURATION_RANGE, VALUE = rules.BLOCK_DURATION_RANGE, rules.BLOCK_VALUE
 DEADLINE_NAMED_PLAIN = rf"(\d{{1,2}}\s(?:{_MONTHS})\s\d{{4}})"
 
 
@@ -45,6 +42,12 @@ def split_blocks(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), BLOCK_SPLIT)
 
 
+def matched_blocks(text: Column, faithful_deadline: bool = False) -> Column:
+    """The matches (EX-19a) of the text's blocks, '' for a block without one; the position is the block's."""
+    p = BLOCK_FAITHFUL if faithful_deadline else BLOCK_INTENT
+    return F.transform(split_blocks(text), lambda blk: F.regexp_extract(blk, p, 0))
+
+
 def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful_deadline: bool = False
                     ) -> DataFrame:
     """EX-19a..d: one row per matched block with its parsed fields.
@@ -53,20 +56,27 @@ def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful
     then yields all named parts (no per-group re-scan); the duration, value and deadline parsers
     are staged the same way, so every regex runs once per part.
     """
-    p = BLOCK_FAITHFUL if faithful_deadline else BLOCK_INTENT
     # the match is taken inside the explode, so the filter on it stays above the generator (the
     # optimizer cannot push it down and evaluate the block regex a second time)
-    matches = F.transform(split_blocks(F.col(text_col)), lambda blk: F.regexp_extract(blk, p, 0))
-    m = df.select(id_col, F.posexplode(matches).alias("block_no", "_m"))
+    m = df.select(id_col, F.posexplode(matched_blocks(F.col(text_col), faithful_deadline)).alias("block_no", "_m"))
     m = m.filter(F.col("_m") != "").withColumn("block_no", F.col("block_no") + 1)
+    parts = with_block_fields(m, "_m", faithful_deadline)
+    return parts.select(id_col, "block_no", "title", "description", "frequency", "duration_years", "amount_min", "amount_max",
+                        "deadline", "duration_text", "value_text", "deadline_text")
+
+
+def with_block_fields(m: DataFrame, match_col: str, faithful_deadline: bool = False) -> DataFrame:
+    """EX-19b..d: the parsed fields of the match in ``match_col``, beside the row's other columns."""
+    p = BLOCK_FAITHFUL if faithful_deadline else BLOCK_INTENT
+    own = [c for c in m.columns if c != match_col]
     # one more pass over the (short) match yields all six groups at once, separated by \x01
     # (a block that itself holds \x01 falls back to one extraction per group)
-    m = m.select(id_col, "block_no", "_m", _groups(F.col("_m"), p, 6).alias("_g"))
+    m = m.select(*own, _groups(F.col(match_col), p, 6).alias("_g"))
 
     def g(i):
-        return F.element_at(F.col("_g"), i)
+        return F.try_element_at(F.col("_g"), F.lit(i))
 
-    parts = m.select(id_col, "block_no", _strip(g(1)).alias("title"), _strip(g(2)).alias("description"),
+    parts = m.select(*own, _strip(g(1)).alias("title"), _strip(g(2)).alias("description"),
                      _nz(g(3)).alias("duration_text"), _nz(g(4)).alias("frequency_text"),
                      _nz(g(5)).alias("value_text"), _nz(g(6)).alias("deadline_text"))
     # staged parsers: each regex runs once per block part, later steps reference the staged columns
@@ -100,7 +110,7 @@ def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful
               .when(F.col("_dy").isNotNull(), F.col("_dy"))
               .otherwise(F.lit("N/A")))
     return parts.select(
-        id_col, "block_no", "title", "description",
+        *own, "title", "description",
         F.coalesce(F.col("frequency_text"), F.lit("N/A")).alias("frequency"),
         years.alias("duration_years"),
         F.when(vhit, F.col("_vlo")).otherwise(F.lit(0.0)).alias("amount_min"),

@@ -2,8 +2,10 @@
 
 The tree follows the rules of a lenient DOM builder over ``html.parser`` events: void elements never
 nest, an end tag closes the most recent open element of that name (and is ignored when there is
-none), nothing is closed implicitly. Text inside script/style/template and comments are not page
-text; the doctype is not text. Entities are decoded by the tokenizer.
+none), nothing is closed implicitly. The character data between two tags or comments is one text node; if
+it is all white space, it counts as one newline (if it holds one) or one space. Text anywhere inside
+script/style/template/rt/rp and comments are not page text; the doctype is not text. Entities are decoded by
+the tokenizer.
 
 Only the facts the Spark operators need are emitted; everything else (cleaning, selection,
 regexes, URL resolution) is done afterwards by Catalyst expressions.
@@ -16,18 +18,20 @@ from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param",
         "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"}
-NON_TEXT_PARENTS = {"script", "style", "template"}
+NON_TEXT_PARENTS = {"script", "style", "template", "rt", "rp"}
+BLANKS = " \t\n\f\r"
 ELIGIBILITY = re.compile(r"eligibility", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "hidden")
 
     def __init__(self, tag, attrs, parent):
         self.tag = tag
         self.attrs = attrs
         self.children = []
         self.parent = parent
+        self.hidden = tag in NON_TEXT_PARENTS or (parent is not None and parent.hidden)
 
     @property
     def classes(self):
@@ -39,7 +43,7 @@ class Text:
 
     def __init__(self, value, kind, parent):
         self.value = value
-        self.kind = kind  # 'text', 'nontext' (script/style), 'comment'
+        self.kind = kind  # 'text', 'nontext' (inside script, style, template), 'comment'
         self.parent = parent
 
 
@@ -48,18 +52,33 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("[document]", {}, None)
         self.cur = self.root
-
-    def handle_starttag(self, tag, attrs):
+        self.pending = []
+
+    def flush(self):
+        """Ends the text node: the tokenizer gives its data in pieces, cut at a lone '<' or '&'."""
+        if self.pending:
+            data = "".join(self.pending)
+            self.pending.clear()
+            if not data.strip(BLANKS):
+                data = "\n" if "\n" in data else " "
+            self.cur.children.append(Text(data, "nontext" if self.cur.hidden else "text", self.cur))
+
+    def _open(self, tag, attrs):
+        self.flush()
         node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
         self.cur.children.append(node)
+        return node
+
+    def handle_starttag(self, tag, attrs):
+        node = self._open(tag, attrs)
         if tag not in VOID:
             self.cur = node
 
     def handle_startendtag(self, tag, attrs):
-        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
-        self.cur.children.append(node)
+        self._open(tag, attrs)
 
     def handle_endtag(self, tag):
+        self.flush()
         n = self.cur
         while n is not None and n is not self.root and n.tag != tag:
             n = n.parent
@@ -67,17 +86,30 @@ class _Builder(HTMLParser):
             self.cur = n.parent
 
     def handle_data(self, data):
-        kind = "nontext" if self.cur.tag in NON_TEXT_PARENTS else "text"
-        self.cur.children.append(Text(data, kind, self.cur))
+        self.pending.append(data)
 
     def handle_comment(self, data):
+        self.flush()
         self.cur.children.append(Text(data, "comment", self.cur))
 
+    def handle_decl(self, decl):
+        self.flush()
+
+    def handle_pi(self, data):
+        self.flush()
+
+    def unknown_decl(self, data):
+        self.flush()
+        if data[:6].upper() == "CDATA[":
+            self.pending.append(data[6:])
+            self.flush()
+
 
 def parse(html: str) -> Node:
     b = _Builder()
     b.feed(html or "")
     b.close()
+    b.flush()
     return b.root
 
 
@@ -150,7 +182,7 @@ def _find(node: Node, tag: str, cls: str | None = None):
 
 
 ALL_FACTS = ("text_raw", "text", "text_lines", "selectors", "first_ps", "anchors", "elig_items", "base_href",
-             "teaser_cards", "dated_cards")
+             "teaser_cards", "dated_cards", "cards")
 
 
 def page_facts(html: str, selectors, fields=ALL_FACTS) -> dict:
@@ -189,6 +221,10 @@ def page_facts(html: str, selectors, fields=ALL_FACTS) -> dict:
         out["teaser_cards"] = _teasers(elements)
     if "dated_cards" in fields:
         out["dated_cards"] = _dated(elements)
+    if "cards" in fields:
+        none = dict.fromkeys(("meta", "href", "calendar"))
+        out["cards"] = [none | {"kind": "teaser", "title": c["title"], "body": c["summary"], "meta": c["meta"]} for c in _teasers(elements)]
+        out["cards"] += [{"kind": "dated", "title": c["title"], "body": c["intro"], "meta": c["subheading"], "href": c["href"], "calendar": c["calendar"]} for c in _dated(elements)]
     return out
 
 

@@ -279,7 +279,8 @@ def career_stage(text) -> Column:
     return out.otherwise(F.lit(rules.DEFAULT_CAREER_STAGE))
 
 
-def _keyword_chain(lowered: Column) -> Column:
+def keyword_council(lowered: Column) -> Column:
+    """The first council with a keyword in the lowered text; null if none."""
     out = None
     for cid, kws in rules.COUNCIL_KEYWORDS:
         cond = None
@@ -292,22 +293,22 @@ def _keyword_chain(lowered: Column) -> Column:
 def classify_source(url, text=None) -> Column:
     """EX-16: first council (rule order) with a keyword in lower(url); else the same test on the
     page text (only evaluated for url misses, since CASE/COALESCE are lazy); else the default."""
-    by_url = _keyword_chain(F.lower(F.coalesce(_c(url), F.lit(""))))
+    by_url = keyword_council(F.lower(F.coalesce(_c(url), F.lit(""))))
     parts = [by_url]
     if text is not None:
-        parts.append(_keyword_chain(F.lower(F.coalesce(_c(text), F.lit("")))))
+        parts.append(keyword_council(F.lower(F.coalesce(_c(text), F.lit("")))))
     parts.append(F.lit(rules.DEFAULT_COUNCIL))
     return F.coalesce(*parts)
 
 
-def with_source_class(df, url_col: str, text_col: str | None, out: str = "council"):
+def with_source_class(df, url_col: str, text_col: str | None, out: str = "council", default: str | None = rules.DEFAULT_COUNCIL):
     """EX-16 as a staged DataFrame transform: the lowered url and text are computed once each, and the
-    text chain runs only for url misses."""
-    df = df.withColumn("_scu", _keyword_chain(F.lower(F.coalesce(F.col(url_col), F.lit("")))))
+    text chain runs only for url misses. ``default=None`` leaves undecided rows null."""
+    df = df.withColumn("_scu", keyword_council(F.lower(F.coalesce(F.col(url_col), F.lit("")))))
     if text_col is None:
-        return df.withColumn(out, F.coalesce(F.col("_scu"), F.lit(rules.DEFAULT_COUNCIL))).drop("_scu")
+        return df.withColumn(out, F.coalesce(F.col("_scu"), F.lit(default))).drop("_scu")
     df = df.withColumn("_sct", F.when(F.col("_scu").isNull(), F.lower(F.coalesce(F.col(text_col), F.lit("")))))
-    res = F.coalesce(F.col("_scu"), _keyword_chain(F.col("_sct")), F.lit(rules.DEFAULT_COUNCIL))
+    res = F.coalesce(F.col("_scu"), keyword_council(F.col("_sct")), F.lit(default))
     return df.withColumn(out, res).drop("_scu", "_sct")
 
 

@@ -20,7 +20,7 @@ def _amount(df_cols) -> Column:
                     F.lit("GBP").alias("currency"), F.col("duration_years").cast("int").alias("duration_years"))
 
 
-def assemble_record(schemes: DataFrame, family: str, as_of_ts: str) -> DataFrame:
+def assemble_record(schemes: DataFrame, family: str, as_of_ts: str, keep=("ord",)) -> DataFrame:
     """EN-2: flat schemes (source_id, title, description, career_stage, amount_min, amount_max,
     duration_years, deadline, frequency, tags, success_rate, base_url) -> nested records.
 
@@ -28,12 +28,13 @@ def assemble_record(schemes: DataFrame, family: str, as_of_ts: str) -> DataFrame
     stage-estimated success rate) or 'foundations' (literal 'Foundation', requirements B, covers by
     title, priority B, competition from the given success rate, e-mail by base URL). A value the
     source system could not compute (non-ISO deadline, missing success rate) becomes null (D5).
+    Columns named in ``keep`` pass through beside the record.
     """
     acad = family == "academies"
     stage = F.col("career_stage")
     rate = derive.success_rate(stage) if acad else F.col("success_rate")
     return schemes.select(
-        *[c for c in schemes.columns if c == "ord"],
+        *[c for c in schemes.columns if c in keep],
         F.col("source_id"),
         derive.content_id(F.lit("Academy" if acad else "Foundation"), F.col("title")).alias("id"),
         F.col("title"),

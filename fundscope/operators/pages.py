@@ -29,6 +29,8 @@ ANCHOR = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("hre
 TEASER = T.StructType([T.StructField("title", S), T.StructField("summary", S), T.StructField("meta", S)])
 DATED = T.StructType([T.StructField("title", S), T.StructField("intro", S), T.StructField("href", S),
                       T.StructField("calendar", S), T.StructField("subheading", S)])
+CARD = T.StructType([T.StructField("kind", S), T.StructField("title", S), T.StructField("body", S), T.StructField("meta", S),
+                     T.StructField("href", S), T.StructField("calendar", S)])
 FACTS_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", S),
@@ -42,40 +44,45 @@ FACTS_SCHEMA = T.StructType([
     T.StructField("base_href", S),
     T.StructField("teaser_cards", T.ArrayType(TEASER)),
     T.StructField("dated_cards", T.ArrayType(DATED)),
+    T.StructField("cards", T.ArrayType(CARD)),
 ])
 
 
-def _facts_fn(fields):
+def _facts_fn(fields, keep=()):
     def run(batches):
         import pandas as pd
 
         from ..functions.html_facts import page_facts as facts_of
 
-        cols = ["page_id", "url", *fields]
+        cols = ["page_id", "url", *fields, *keep, "missing"]
         for pdf in batches:
             rows = []
-            for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+            for pid, url, html, *more in pdf.itertuples(index=False, name=None):
                 f = facts_of(html, SELECTORS, fields)
                 f["page_id"] = int(pid)
                 f["url"] = url
+                f["missing"] = html is None
+                f.update(zip(keep, more))
                 rows.append(f)
             yield pd.DataFrame(rows, columns=cols)
 
     return run
 
 
-def page_facts(pages: DataFrame, fields=None) -> DataFrame:
+def page_facts(pages: DataFrame, fields=None, keep=()) -> DataFrame:
     """E-0: (page_id, url, html) -> page_facts; one parse per page, html dropped.
 
     ``fields`` names the facts the caller needs (default: all). Catalyst cannot prune columns
     inside a Python stage, so asking only for what a query uses keeps both the parse work and the
-    Arrow transfer proportional to it.
+    Arrow transfer proportional to it. ``missing`` says that html is null (a failed fetch: no facts but empty ones);
+    string columns named in ``keep`` pass through.
     """
     names = [f.name for f in FACTS_SCHEMA.fields if f.name not in ("page_id", "url")]
     fields = [f for f in names if fields is None or f in fields]
-    schema = T.StructType([FACTS_SCHEMA["page_id"], FACTS_SCHEMA["url"], *[FACTS_SCHEMA[f] for f in fields]])
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(
-        _facts_fn(fields), schema)
+    schema = T.StructType([FACTS_SCHEMA["page_id"], FACTS_SCHEMA["url"], *[FACTS_SCHEMA[f] for f in fields],
+                           *[T.StructField(c, S) for c in keep], T.StructField("missing", T.BooleanType())])
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", *keep).mapInPandas(
+        _facts_fn(fields, tuple(keep)), schema)
 
 
 # ------------------------------------------------------------------ projections over facts
@@ -203,19 +210,24 @@ def teaser_cards(facts: DataFrame) -> DataFrame:
                     F.lit("N/A").alias("frequency"), F.array(F.lit("wellcome-trust")).alias("tags"))
 
 
-def dated_cards(facts: DataFrame, base_url: Column | None = None) -> DataFrame:
-    """EX-20: dated cards; deadline 'N/A' if the calendar says Closed or 'October 2025', else the
-    extracted date (maybe null), '' -> 'N/A'; amount by EX-7 on the subheading; kept only when both
-    title and intro are non-empty."""
-    c = facts.select("page_id", "url", F.posexplode("dated_cards").alias("card_pos", "c"))
-    cal = F.col("c.calendar")
-    dl = (F.when(cal != "", F.when(cal.contains("Closed") | cal.contains("October 2025"), F.lit("N/A"))
-                 .otherwise(F.date_format(tx.extract_deadline(cal), "yyyy-MM-dd")))
-          .otherwise(F.lit("N/A")))
-    sub = F.col("c.subheading")
-    amt = F.when(sub != "", tx.extract_amount(sub)).otherwise(
+def dated_deadline(cal: Column) -> Column:
+    """EX-20: the deadline of a calendar text: 'N/A' if it says Closed or 'October 2025' or is empty, else the
+    extracted date (maybe null)."""
+    undated = cal.contains("Closed") | cal.contains("October 2025")
+    return F.when(cal != "", F.when(undated, F.lit("N/A")).otherwise(F.date_format(tx.extract_deadline(cal), "yyyy-MM-dd"))).otherwise(F.lit("N/A"))
+
+
+def dated_amount(sub: Column) -> Column:
+    """EX-20: the amount of a subheading by EX-7; '' -> 0 / 0."""
+    return F.when(sub != "", tx.extract_amount(sub)).otherwise(
         F.struct(F.lit(0).cast("bigint").alias("min"), F.lit(0).cast("bigint").alias("max"),
                  F.lit("GBP").alias("currency"), F.lit(True).alias("parsed")))
+
+
+def dated_cards(facts: DataFrame, base_url: Column | None = None) -> DataFrame:
+    """EX-20: dated cards, kept only when both title and intro are non-empty."""
+    c = facts.select("page_id", "url", F.posexplode("dated_cards").alias("card_pos", "c"))
+    dl, amt = dated_deadline(F.col("c.calendar")), dated_amount(F.col("c.subheading"))
     base = base_url if base_url is not None else F.col("url")
     href = F.col("c.href")
     return c.filter((F.col("c.title") != "") & (F.col("c.intro") != "")).select(

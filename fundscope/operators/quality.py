@@ -1,4 +1,4 @@
-"""Validation and quarantine (FL-2, FL-3, RL-5).
+"""Validation, quarantine and the commit gate (FL-2, FL-3, RL-5).
 
 Validation is key PRESENCE, not non-null: ``{"deadline": null}`` is valid. A typed reader cannot
 tell missing from null, so presence is tested on the raw JSON text with ``json_object_keys`` (and
@@ -68,3 +68,35 @@ def as_json(df: DataFrame, cols=None) -> DataFrame:
     """Records -> (ord, value) JSON text, as a writer that omits null fields would produce them."""
     cols = cols or [c for c in df.columns if c != "ord"]
     return df.select("ord", F.to_json(F.struct(*cols)).alias("value"))
+
+
+def commit_gate(rows: DataFrame, reasons_col: str, scraper_col: str = "category", source_col: str = "subcategory",
+                scope: dict[str, str] | None = None) -> DataFrame:
+    """RL-5 at record, source and scraper level: adds ``verdict`` and ``failed`` to rows that carry an array of reasons.
+
+    ``scope`` says for each scraper what one failing row stops: 'record' (itself), 'source' (all rows of its
+    source) or 'scraper' (all rows of the scraper); a scraper it does not name has scope 'record'. verdict: 'commit',
+    or what stopped the row ('record', 'source', 'scraper'); failed: the failing rows that decided it.
+
+    Rows are counted per source by partial aggregation, and the counts (a row per source) are joined back, so a
+    source with most of the rows is never gathered anywhere.
+    """
+    scope = rules.FAILURE_SCOPE if scope is None else scope
+    bad = F.coalesce(F.size(reasons_col) > 0, F.lit(False))
+    tagged = rows.withColumns({"_scraper": F.coalesce(F.col(scraper_col).cast("string"), F.lit("")), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_bad": bad})
+    per = tagged.groupBy("_scraper", "_source").agg(F.count_if("_bad").alias("_in_source"))
+    whole = per.groupBy("_scraper").agg(F.sum("_in_source").alias("_in_scraper"))
+    out = tagged.join(per, ["_scraper", "_source"]).join(whole, "_scraper")
+    level = F.lit("record")
+    for name, what in scope.items():
+        level = F.when(F.col("_scraper") == name, F.lit(what)).otherwise(level)
+    failed = (F.when(level == "scraper", F.col("_in_scraper")).when(level == "source", F.col("_in_source"))
+              .otherwise(F.col("_bad").cast("bigint")))
+    out = out.withColumns({"failed": failed, "_level": level})
+    return out.withColumn("verdict", F.when(F.col("failed") > 0, F.col("_level")).otherwise("commit")).drop("_scraper", "_source", "_bad", "_in_source", "_in_scraper", "_level")
+
+
+def typed_reasons(df: DataFrame) -> Column:
+    """FL-2 reasons for typed records, where missing and null coincide."""
+    paths = [*rules.REQUIRED_STRICT, "funding_details.amount", "application.deadline"]
+    return F.filter(F.array(*[F.when(F.col(p).isNull(), F.lit(f"missing:{p}")) for p in paths]), lambda r: r.isNotNull())

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from . import q_dashboard, q_merge, q_pages, q_records, q_stream, q_text  # noqa: F401  (registration side effects)
+from . import q_dashboard, q_merge, q_page_records, q_pages, q_records, q_storage, q_stream, q_text  # noqa: F401  (registration side effects)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -186,3 +186,29 @@ VERDICTS = [
     ("Low", "Generally accessible opportunities"),
 ]
 DISPLAY_PENCE_ABOVE = 1000000
+
+# Main source (EN-2): site of its pages, key info of its records (SC-10).
+COUNCIL_SITE = "https://www.ukri.org"
+COUNCIL_COMPETITION = "Very Competitive"
+COUNCIL_SUCCESS_RATE = "N/A"
+FUNDING_FINDER = "funding finder"
+
+# Cards of a foundation's pages (EX-18, EX-19, EX-20): source, kind of card, tag, frequency where the card has none.
+SCHEME_PAGES = [
+    ("wellcome_trust", "teaser", "wellcome-trust", "N/A"),
+    ("leverhulme_trust", "block", "leverhulme-trust", "N/A"),
+    ("nuffield_foundation", "dated", "nuffield-foundation", "Annual"),
+]
+
+# What a failing row stops (RL-5): itself, or all rows of its source.
+FAILURE_SCOPE = {"ukri": "record", "academies": "source", "foundations": "source"}
+
+# Labelled blocks (EX-19): where a page's text is split, the block (title, For, Duration, Frequency, Value), its
+# deadline as the rest of the line or as one character, and the duration and value inside a block.
+BLOCK_SPLIT = r"\n\n(?=[A-Z][a-z])"
+BLOCK_HEAD = (r"(?s)([A-Za-z0-9\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000&,/-]+?)\nFor\s(.+?)\n"
+              r"(?:Duration:\s(.+?)\n)?(?:Frequency:\s(.+?)\n)?(?:Value:\s(.+?)\n)?")
+BLOCK_DEADLINE_LINE = r"(?:Deadline/Opening:\s([^\n]+))?"
+BLOCK_DEADLINE_LAZY = r"(?:Deadline/Opening:\s(.+?))?"
+BLOCK_DURATION_RANGE = r"(\d+)(?: to (\d+))?\s*years"
+BLOCK_VALUE = r"(?i)£([\d,.]+)(?:m| million)?(?: to £([\d,.]+)(?:m| million)?)?"

@@ -11,16 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules, schema
+from .storage import exists as _exists
 
 CORRUPT = "_corrupt_record"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def scan_records(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """SRC-1: JSON records with the explicit record schema. A missing path gives an empty typed frame;
     a malformed document gives a row whose fields are null and whose ``_corrupt_record`` holds the text

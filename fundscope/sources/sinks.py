@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import derive
+from . import storage
 
 
 def with_record_key(df: DataFrame, source_col: str = "category") -> DataFrame:
@@ -13,11 +16,20 @@ def with_record_key(df: DataFrame, source_col: str = "category") -> DataFrame:
     return df.withColumn("record_key", derive.record_key(F.col(source_col), F.col("subcategory"), F.col("id")))
 
 
-def write_records(df: DataFrame, path: str, max_records_per_file: int = 1_000_000) -> None:
-    """SNK-1: append records to a table partitioned by category/subcategory (partition pruning on read).
-    Re-writing a record appends a newer snapshot; readers take the latest per key (RL-6)."""
-    (with_record_key(df).write.mode("append").partitionBy("category", "subcategory")
-     .option("maxRecordsPerFile", max_records_per_file).parquet(path))
+def write_records(df: DataFrame, path: str, run: str, max_records_per_file: int = 1_000_000) -> None:
+    """SNK-1: the records of one run, as partition ``run`` of a table partitioned by run, category and subcategory.
+
+    The run is written beside the table and then takes the place of what an earlier try left, so a repeated run or
+    task leaves the same rows, and a run that dies in between leaves the old ones. Other runs are not touched. Rows are
+    dealt by partition before the write; a partition with many rows is split by the adaptive rebalance, one with few
+    is not scattered over all tasks. Readers take the latest row per id (RL-6).
+    """
+    spark = df.sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    (with_record_key(df).hint("rebalance", "category", "subcategory").write.partitionBy("category", "subcategory")
+     .option("maxRecordsPerFile", max_records_per_file).parquet(staged))
+    storage.drop(spark, f"{path}/run={run}")
+    storage.move(spark, staged, f"{path}/run={run}")
 
 
 def envelope_meta(df: DataFrame, as_of_ts: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.storage import exists as _exists
 
 
 def event_time(spark: SparkSession, ts_col: str):
@@ -35,12 +36,6 @@ def wall_clock(spark: SparkSession, col):
     return F.convert_timezone(F.lit(tz), F.lit("UTC"), col.cast("timestamp_ntz"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def upsert_batch(batch: DataFrame, target: str, key_cols, order_cols) -> None:
     """One micro-batch of ST-1: first row per key (by ``order_cols``), minus keys already in ``target``."""
     spark = batch.sparkSession

@@ -93,3 +93,48 @@ def test_labelled_block_with_separator_char(spark):
     df = spark.createDataFrame([(1, text)], "id long, text string")
     r = blocks.labelled_blocks(df, "id").collect()[0]
     assert (r["description"], r["amount_min"], r["amount_max"], r["deadline"]) == ("a\u0001b", 5.0, 7.0, "Rolling")
+
+
+def test_text_nodes_and_hidden_text(spark):
+    for html, text, items in [
+        ("<p>Eligibility < 5 years</p><template><p>tpl</p></template>", "Eligibility < 5 years", []),
+        ("<div>Eligibility < 5</div><ul><li>a & b</li></ul>", "Eligibility < 5a & b", ["a & b"]),
+        ("<template><div>x<b>y</b></div></template>z", "z", []),
+        ("a<!-- c -->b <p> \n  </p><i>  </i>", "ab \n ", []),
+        ("<ruby>x<rt>kan</rt></ruby><![CDATA[raw]]>", "xraw", [])]:
+        f = _facts(spark, html)
+        assert f.select("text_raw").first()[0] == text
+        assert pages.extract_requirements(f).first()["requirements"] == items
+
+
+def test_page_record_keeps_failures_as_data(spark):
+    from fundscope.operators import page_records
+
+    rows = [(1, "https://www.ukri.org/opportunity/x/", DETAIL), (2, "https://www.ukri.org/opportunity/health-y/", None), (3, "u", NESTED_ELIG), (4, "u", "<p>no title</p>"),
+            (5, "https://www.ukri.org/opportunity/z/", "<h1>Award</h1><p>Funding, known in advance for 99999999999 years, on 31/2/2025")]
+    out = {r["page_id"]: r for r in page_records.page_outcomes(spark.createDataFrame(rows, "page_id long, url string, html string"), "2025-01-01 00:00:00").collect()}
+    assert {k: r["reject"] for k, r in out.items()} == {1: None, 2: "no page", 3: "search page", 4: "no title", 5: None}
+    assert out[1]["problems"] == ["council"] and out[1]["funding_details"]["amount"]["min"] == 50_000 * 1000  # the page has a 'k'
+    assert out[1]["application"]["deadline"] == "2026-06-03" and out[1]["contact"]["email"] == "grants@example.org"
+    assert out[5]["problems"] == ["council", "amount", "duration", "deadline"]
+    amount = out[5]["funding_details"]["amount"]
+    assert (amount["min"], amount["max"], amount["duration_years"], out[5]["application"]["deadline"]) == (0, 0, 1, "2025-04-01")
+    assert out[5]["funding_details"]["covers"] == ["Research costs", "Equipment", "Travel"] and out[5]["key_info"]["success_rate"] == "N/A"
+
+
+def test_link_classification_sends_no_text(spark):
+    from fundscope.operators import page_records
+
+    links = spark.createDataFrame([(1, "https://x/arts/"), (2, "https://x/a/"), (3, "https://x/b/"), (4, None), (5, "https://x/a/")], "link_id int, url string")
+    fetched = spark.createDataFrame([(9, "https://x/a/", "<p>Medical</p>"), (8, "https://x/a/", "<p>natural"), (7, "https://x/arts/", "<p>social"), (6, "https://x/b/", None)],
+                                    "page_id long, url string, html string")
+    out = page_records.classify_links(links, fetched)
+    assert {r["link_id"]: (r["council"], r["decided_by"]) for r in out.collect()} == {
+        1: ("ahrc", "url"), 2: ("nerc", "text"), 3: ("ahrc", "default"), 4: ("ahrc", "default"), 5: ("nerc", "text")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the fetched pages are filtered by their own url below the parse, and what leaves it is aggregated as (url, council)
+    below = plan[plan.index("MapInPandas"):]
+    assert "Filter" in below and "arts" in below and "ResolvedHint" not in plan
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in physical.split("\n") if "partial_min_by" in x]
+    assert sent and all("text_raw" not in x.split("output")[-1] for x in sent)
