@@ -61,67 +61,71 @@ def _part(letter: Column) -> Column:
     return F.ascii(letter) % PARTS
 
 
-def _labelled(vector: Column) -> Column:
-    """The ones of the binary vector: letters with their occurrence numbers."""
-    own = letters(vector)
+def _labelled(text: Column) -> Column:
+    """The ones of a binary vector: letters with their occurrence numbers."""
+    own = letters(text)
     return F.transform(own, lambda c, i: F.concat(c, (i - F.array_position(own, c)).cast("string")))
 
 
 def _signatures(vectors: DataFrame) -> DataFrame:
-    """key (kind, partitions left out, size, projection), long (is it the larger side of an insertion), vector."""
+    """key (kind, partitions left out, size, projection), larger (is it the larger side of an insertion), vector, and
+    rest (its letters in the partitions left out)."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.array_join(F.filter("__letters", lambda c: _part(c) == p), ""))
     base = vectors.withColumn("__letters", letters(F.col("vector"))).withColumn("__parts", parts).withColumn("__size", F.length("vector"))
 
-    def left_out(*out: int) -> Column:
-        return F.concat_ws("|", *[F.col("__parts")[p] for p in range(PARTS) if p not in out])
-
     def row(kind: str, size: Column, out: tuple, larger: bool) -> Column:
-        key = F.concat_ws(" ", F.lit(kind + "".join(map(str, out))), size.cast("string"), left_out(*out))
-        return F.struct(key.alias("key"), F.lit(larger).alias("larger"))
+        kept = F.concat_ws("|", *[F.col("__parts")[p] for p in range(PARTS) if p not in out])
+        key = F.concat_ws(" ", F.lit(kind + "".join(map(str, out))), size.cast("string"), kept)
+        return F.struct(key.alias("key"), F.lit(larger).alias("larger"), F.concat(*[F.col("__parts")[p] for p in out]).alias("rest"))
 
     size = F.col("__size")
     made = [row("r", size, out, False) for out in combinations(range(PARTS), 2)]
     made += [row("i", size, (p,), True) for p in range(PARTS)] + [row("i", size + 1, (p,), False) for p in range(PARTS)]
-    return base.select("vector", F.explode(F.array(*made)).alias("s")).select("s.key", "s.larger", "vector")
+    return base.select("vector", F.explode(F.array(*made)).alias("s")).select("s.key", "s.larger", "vector", "s.rest")
 
 
 def _finest(members: DataFrame) -> DataFrame:
     """Members of hot signatures by the finest partition: the vector less each of its letters; and, for insertions,
     the shorter vector itself."""
-    kind = F.substring("key", 1, 1)
-    own = members.select("vector", kind.alias("kind"), "larger").distinct().withColumn("__letters", letters(F.col("vector")))
-    less = F.transform(F.array_distinct("__letters"), lambda c: F.concat(
-        F.substring("vector", F.lit(1), F.array_position("__letters", c) - 1), F.substring("vector", F.array_position("__letters", c) + 1, F.length("vector"))))
-    keys = F.when((F.col("kind") == "i") & ~F.col("larger"), F.array("vector")).otherwise(less)
-    return own.select("kind", F.explode(keys).alias("key"), "larger", "vector").select(F.concat_ws(" ", F.concat("kind", F.lit("f")), "key").alias("key"), "larger", "vector")
+    own = members.select("vector", F.substring("key", 1, 1).alias("kind"), "larger").distinct().withColumn("__letters", letters(F.col("vector")))
+    less = F.transform(F.array_distinct("__letters"), lambda c: F.struct(F.concat(
+        F.substring("vector", F.lit(1), F.array_position("__letters", c) - 1), F.substring("vector", F.array_position("__letters", c) + 1, F.length("vector"))).alias("key"), c.alias("rest")))
+    whole = F.array(F.struct(F.col("vector").alias("key"), F.lit("").alias("rest")))
+    made = own.select("kind", "larger", "vector", F.explode(F.when((F.col("kind") == "i") & ~F.col("larger"), whole).otherwise(less)).alias("s"))
+    return made.select(F.concat_ws(" ", F.concat("kind", F.lit("f")), "s.key").alias("key"), "larger", "vector", "s.rest")
 
 
-def vector_pairs(vectors: DataFrame) -> DataFrame:
+def vector_pairs(vectors: DataFrame, hot: int = HOT) -> DataFrame:
     """long, short (vectors), gone, come (letters): long with one ``gone`` replaced by ``come`` ('' for a deletion) is
-    short. Every pair of vectors one exchange or one insertion apart, once."""
+    short. Every pair of vectors one exchange or one insertion apart, once.
+
+    Two vectors of one signature differ in the letters left out alone, so these few decide the distance.
+    """
     signatures = written(_signatures(vectors), "spelling-signatures")
-    sizes = signatures.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") > HOT).select("key")
-    hot = written(sizes, "spelling-hot")
-    finest = _finest(signatures.join(hot, "key", "left_semi"))
-    coarse = signatures.join(hot, "key", "left_anti")
+    many = written(signatures.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select("key"), "spelling-hot")
+    finest = _finest(signatures.join(many, "key", "left_semi"))
+    coarse = signatures.join(many, "key", "left_anti")
     pairs = []
     for rows in (coarse, finest):
-        a = rows.select("key", F.col("larger").alias("la"), F.col("vector").alias("long"))
-        b = rows.select("key", F.col("larger").alias("lb"), F.col("vector").alias("short"))
+        a = rows.select("key", F.col("larger").alias("la"), F.col("vector").alias("long"), F.col("rest").alias("rest_a"))
+        b = rows.select("key", F.col("larger").alias("lb"), F.col("vector").alias("short"), F.col("rest").alias("rest_b"))
         replaced = F.col("key").startswith("r")
         met = a.join(b, "key").where((replaced & (F.col("long") < F.col("short"))) | (~replaced & F.col("la") & ~F.col("lb")))
-        met = met.withColumns({"__a": _labelled(F.col("long")), "__b": _labelled(F.col("short"))})
-        met = met.withColumns({"__a": F.array_except("__a", "__b"), "__b": F.array_except("__b", "__a")})
+        # one letter each, or one and none, needs no labels
+        plain = (F.length("rest_a") == 1) & (F.length("rest_b") <= 1)
+        met = met.withColumns({"__a": F.when(~plain, _labelled(F.col("rest_a"))), "__b": F.when(~plain, _labelled(F.col("rest_b")))})
+        met = met.withColumns({"__a": F.when(plain, F.array("rest_a")).otherwise(F.array_except("__a", "__b")),
+                               "__b": F.when(plain, F.filter(F.array("rest_b"), lambda c: c != "")).otherwise(F.array_except("__b", "__a"))})
         met = met.where((F.size("__a") == 1) & (F.size("__b") == F.when(replaced, 1).otherwise(0)))
         gone, come = F.substring(F.col("__a")[0], 1, 1), F.coalesce(F.substring(F.get("__b", F.lit(0)), 1, 1), F.lit(""))
         pairs.append(met.select("long", "short", gone.alias("gone"), come.alias("come")))
     return pairs[0].union(pairs[1]).distinct()
 
 
-def links(words: DataFrame) -> DataFrame:
+def links(words: DataFrame, hot: int = HOT) -> DataFrame:
     """a, b, na, nb: every two words one edit apart, once; words (word, n)."""
     own = written(words.withColumn("vector", F.array_join(F.array_sort(letters(F.col("word"))), "")), "spelling-words")
-    pairs = vector_pairs(own.select("vector").distinct())
+    pairs = vector_pairs(own.select("vector").distinct(), hot)
     sides = own.select("word", "n", F.col("vector").alias("long")).join(pairs, "long")
     # in a run of equal letters all deletions give one word: the first stands for them
     places = F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: (F.substring("word", i, F.lit(1)) == F.col("gone")) & ((F.col("come") != "") | (i == 1) | (F.substring("word", F.greatest(i - 1, F.lit(1)), F.lit(1)) != F.col("gone"))))
