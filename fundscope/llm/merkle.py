@@ -110,7 +110,7 @@ def _round(state: DataFrame, width: int, fanout: int) -> DataFrame:
     size = F.least(F.lit(width), m - F.col("__peer") * width)
     # the partitions of the peer subtree that this one answers; of its own subtree, itself
     lows = F.when(~active | (F.col("__peer") == F.col("__q")), F.array("__low")).when(F.col("__low") < size, F.sequence("__low", size - 1, F.col("__own"))).otherwise(F.array().cast("array<bigint>"))
-    sent = sent.withColumn("__to", F.explode(lows) + F.col("__peer") * width)
+    sent = sent.withColumn("__to", F.explode(lows)).withColumn("__to", F.col("__to") + F.col("__peer") * width)
     mine = F.when(F.col("__peer") == F.col("__q"), F.struct("__place", "__blocks", "__proof"))
     met = sent.groupBy("__tree", F.col("__to").alias("__block")).agg(
         F.sort_array(F.collect_list(F.struct("__place", "__node"))).alias("__run"), F.first(mine, ignorenulls=True).alias("__me"))
