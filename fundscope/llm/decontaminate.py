@@ -12,8 +12,8 @@ therefore searched without sampling: each of their shingles is looked for in eve
 
 The whole text of an item of less than five words is its one shingle; documents are searched for runs of so many
 words, if there are such items. Items without words are not searched.
-Null text: empty. Repeated ids: their texts count as one document (or item). Null ids are left out.
-Empty tables give no rows. Other columns are not read.
+Null text: empty. Rows of equal id and text are one document (or item); rows of equal id, or without one, and other
+texts are documents of their own. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,8 +49,13 @@ def _rows(ids: pa.Array, at: np.ndarray, values: np.ndarray, name: str) -> pa.Re
     return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(values.view(np.int64))], names=["id", name])
 
 
+def key_of(id_col: str = "doc_id", text_col: str = "text"):
+    """Key of a row: rows of equal id (null or not) and text are one."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return df.select(key_of(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def item_keys(items: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def run_sizes(items: DataFrame) -> list[int]:
 
 def search(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text",
            item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment of every document that holds an item."""
+    """doc_id, item_id, n_shared, n_item, containment, doc_key (``key_of``) of every document that holds an item."""
     texts, wanted = _texts(docs, id_col, text_col), _texts(items, item_id, item_text)
     runs = run_sizes(wanted)
     item_shingles = written(shingle_rows(wanted, list(range(1, SHINGLE))).withColumnRenamed("id", "item").distinct(), "item-shingles")
@@ -152,5 +157,7 @@ def search(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
     shared = shared.join(candidates, ["id", "item"], "left_semi")
     whole = shingle_rows(texts, runs, bitmap.build(few, "shingle")).distinct()
     shared = shared.union(whole.join(few, "shingle").groupBy("id", "item").agg(F.count("*").alias("n_shared"))).join(sizes, "item")
-    return (shared.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6)).where(F.col("n_shared") >= least * F.col("n_item"))
-            .select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shared", "n_item", "containment"))
+    found = shared.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6)).where(F.col("n_shared") >= least * F.col("n_item"))
+    names = docs.select(key_of(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("doc_id")).join(found.select("id").distinct(), "id", "left_semi").distinct()
+    items_ = items.select(key_of(item_id, item_text).alias("item"), F.col(item_id).cast("long").alias("item_id")).distinct()
+    return found.join(names, "id").join(items_, "item").select("doc_id", "item_id", "n_shared", "n_item", "containment", F.col("id").alias("doc_key"))

@@ -15,9 +15,9 @@ those that are the pivot's own difference from the others come last). This is re
 its size. Near copies do where they are linked to each other, as every link counts for n_links; those of two lines
 linked to one pivot are spare, and the components are made without them.
 
-A line's class is the first of its class by (doc_id, line_no); the first line stays. Null text: empty. Blank
-lines (nothing but ASCII white space) are not judged. Null ids sort first; rows that share an id are one document. Units are known by a 64-bit
-hash. An empty table gives no rows. Other columns are not read (``without_repeats`` passes them through).
+A line's class is the first of its class by (doc_id, text hash, line_no); the first line stays. Null text: empty. Blank
+lines (nothing but ASCII white space) are not judged. Null ids sort first; rows of equal id and text are one document,
+rows of equal id and other text are others. Units are known by a 64-bit hash. An empty table gives no rows. Other columns are not read (``without_repeats`` passes them through).
 """
 
 from __future__ import annotations
@@ -148,8 +148,9 @@ def distance(a: Column, b: Column, tau: int = TAU) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line of the lines that are judged."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_of(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
+    """doc_id, text_hash, line_no (from 0), line of the lines that are judged."""
+    text = text_of(text_col).cast("string")
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     return lines.where((F.length("line") >= LEAST_EXACT) & F.col("line").rlike(r"[^ \t-\r]"))
 
 
@@ -272,10 +273,10 @@ def links(units: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no, class_doc, class_line, n_links, kept of every judged line; n_links counts the verified
-    links of the line's text to other texts."""
+    """doc_id, text_hash, line_no, class_doc, class_text, class_line, n_links, kept of every judged line; n_links counts
+    the verified links of the line's text to other texts."""
     lines = lines_of(docs, id_col, text_col)
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "text_hash", "line_no")
     units = written(lines.groupBy(F.xxhash64("line").alias("u")).agg(F.min(place).alias("first"), F.first("line").alias("line"))
                     .withColumn("n", F.length("line")), "lines")
     found = written(_once(links(units.select("u", "line", "n"))), "line-links")
@@ -286,15 +287,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     moved = linked.join(best, "root").select("u", "best", "n_links")
     chosen = (units.select("u", "first").join(moved, "u", "left")
               .select("u", F.coalesce("best", "first").alias("c"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("u"))
-    out = rows.join(chosen, "u").select("doc_id", "line_no", F.col("c.doc_id").alias("class_doc"), F.col("c.line_no").alias("class_line"), "n_links")
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
+    rows = lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("u"))
+    out = rows.join(chosen, "u").select("doc_id", "text_hash", "line_no", F.col("c.doc_id").alias("class_doc"), F.col("c.text_hash").alias("class_text"), F.col("c.line_no").alias("class_line"), "n_links")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("text_hash") == F.col("class_text")) & (F.col("line_no") == F.col("class_line")))
 
 
 def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that are not kept; every document stays, if need be with an empty text."""
-    gone = found.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    lines = F.split(text_of(text_col).cast("string"), "\n", -1)
-    left = F.filter(lines, lambda line, k: ~F.array_contains(F.col("__gone"), k))
-    both = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
-    return both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop("__gone", "__id")
+    gone = found.where("not kept").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("__gone"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone")
+    text = text_of(text_col).cast("string")
+    lines = F.split(text, "\n", -1)
+    left = _let(lines, lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__gone")), lambda k: F.get(own, k)))
+    both = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    return both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop("__gone", "__id", "__hash")

@@ -16,6 +16,7 @@ are judged one by one; an empty table gives no rows; other columns pass through
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
 from . import textarrays as ta
+from .common import written
 
 WORD_BITS, CHAR_BITS, CHAR_GRAM = 15, 15, 4
 FEATURES = (1 << WORD_BITS) + (1 << CHAR_BITS)
@@ -138,33 +141,41 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.select("text", "good").mapInArrow(features, "f array<int>, v array<double>, good double")
 
 
+def _as_vectors(rows: DataFrame, name: str) -> DataFrame:
+    """label, features of rows (f, v, good), by a LibSVM file: Spark's own reader makes the sparse vectors, so no
+    Python worker stands beside the one that made the features."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    pairs = F.transform(F.arrays_zip("f", "v"), lambda x: F.concat((x["f"] + 1).cast("string"), F.lit(":"), x["v"].cast("string")))
+    rows.select(F.concat_ws(" ", F.col("good").cast("string"), pairs).alias("value")).repartition(8).write.text(path)
+    return spark.read.format("libsvm").option("numFeatures", FEATURES).load(path)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The model from labels (id, good 0/1) of the documents; None without both kinds of labels."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     order = F.xxhash64(id_col, F.lit("labelled"))
     known = labels.where(F.col("good").isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col("good").cast("int").alias("good"))
     chosen = known.join(docs.select(id_col), id_col, "left_semi").orderBy(order, "good").limit(max_labelled)
     # at most max_labelled rows, so its size is bounded
     sample = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)
-    to_vector = F.udf(lambda f, v: Vectors.sparse(FEATURES, f, v), VectorUDT())
     calibrate = F.pmod(F.xxhash64("f", F.lit("calibrate")), F.lit(10)) < CALIBRATE_TENTHS
-    rows = _vectors(sample).select(to_vector("f", "v").alias("features"), "good", calibrate.alias("calibrate")).repartition(8).cache()
-    try:
-        kinds = {(r["calibrate"], r["good"]) for r in rows.select("calibrate", "good").distinct().collect()}
-        if not {(False, 0.0), (False, 1.0)} <= kinds:
-            return None
-        model = LogisticRegression(labelCol="good", regParam=REG, maxIter=ITERATIONS, standardization=False).fit(rows.where(~F.col("calibrate")))
-        slope, shift = 1.0, 0.0
-        if {(True, 0.0), (True, 1.0)} <= kinds:
-            margin = F.udf(lambda raw: Vectors.dense([float(raw[1])]), VectorUDT())
-            held = model.transform(rows.where("calibrate")).select(margin("rawPrediction").alias("features"), "good")
-            line = LogisticRegression(labelCol="good", regParam=1e-3, maxIter=50, standardization=False).fit(held)
-            slope, shift = float(line.coefficients[0]), float(line.intercept)
-        return Model(np.asarray(model.coefficients.toArray()), float(model.intercept), slope, shift)
-    finally:
-        rows.unpersist()
+    rows = written(_vectors(sample), "quality-features").withColumn("calibrate", calibrate)
+    kinds = {(r["calibrate"], r["good"]) for r in rows.select("calibrate", "good").distinct().collect()}
+    if not {(False, 0.0), (False, 1.0)} <= kinds:
+        return None
+    model = LogisticRegression(regParam=REG, maxIter=ITERATIONS, standardization=False).fit(_as_vectors(rows.where("not calibrate"), "quality-fit"))
+    slope, shift = 1.0, 0.0
+    if {(True, 0.0), (True, 1.0)} <= kinds:
+        held = model.transform(_as_vectors(rows.where("calibrate"), "quality-held"))
+        held = held.select("label", vector_to_array("rawPrediction")[1].alias("margin"))
+        held = VectorAssembler(inputCols=["margin"], outputCol="features").transform(held)
+        line = LogisticRegression(regParam=1e-3, maxIter=50, standardization=False).fit(held)
+        slope, shift = float(line.coefficients[0]), float(line.intercept)
+    return Model(np.asarray(model.coefficients.toArray()), float(model.intercept), slope, shift)
 
 
 RESULT = [T.StructField(n, T.LongType()) for n in STATS] + [

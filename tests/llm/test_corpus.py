@@ -110,7 +110,7 @@ def test_containment(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id int").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
     full = {i: s for i, t in items for s in [shingles(t)] if len((t or "").split()) >= 5}
-    want = {(k, i) for k, t, _ in docs if k is not None for i, s in full.items() if len(s & shingles(t)) >= 0.8 * len(s)}
+    want = {(k, i) for k, t, _ in docs for i, s in full.items() if len(s & shingles(t)) >= 0.8 * len(s)}
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(d, b).collect()}
     assert got == want and len(want) > 15
     assert decontaminate.search(d, b.limit(0)).count() == 0 and decontaminate.search(d.limit(0), b).count() == 0
@@ -214,3 +214,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert 41 not in near and set(range(30)) <= near and 42 in near
     assert 42 not in seen["decontamination"] and set(range(30)) <= set(seen["decontamination"])
     assert set(seen["packing"]) == set(seen["decontamination"])
+
+
+def test_items_are_found_without_ids_and_apart(spark):
+    """Rows without an id are searched; rows of one id are not mixed into one document."""
+    rng = random.Random(8)
+    item = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    half = item.split()
+    docs = [(None, item), (None, "other words that nobody has seen here at all"), (5, " ".join(half[:18])), (5, " ".join(half[14:])), (6, "x " + item + " y")]
+    found = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (None, "nobody has seen here at all")], "item_id long, text string"))
+    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in found.collect()) == [("6", "1"), ("None", "1"), ("None", "None")]

@@ -106,3 +106,11 @@ def test_links_of_a_family(spark):
     got = {r["doc_id"]: r["n_links"] for r in lj.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {k: sum(a != b and edit(a, b) <= 2 for b in set(texts)) for k, a in enumerate(texts)}
     assert max(got.values()) > 15
+
+
+@pytest.mark.parametrize("doc", [None, 7])
+def test_rows_of_one_id_lose_no_line_of_their_own(spark, doc):
+    docs = spark.createDataFrame([(doc, "A line\nB line"), (doc, "C line\nA line"), (doc, "C line\nA line\n\nD line")], "doc_id long, text string")
+    left = lj.without_repeats(docs, lj.classes(docs)).collect()
+    lines = sorted(x for r in left for x in r["text"].split("\n") if x)
+    assert lines == ["A line", "B line", "C line", "D line"]
