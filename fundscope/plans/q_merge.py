@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import merge
+from ..session import scratch_path
+from ..sources import database
 from ..sources.tables import load
 from .registry import register
 from .registry import v1 as _v1
 
 SPLIT_TS = "1997-01-01 00:00:00"
+CHANGES_SPLIT_TS = "2024-01-15 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 RETENTION_DAYS = 7
 
@@ -75,6 +80,24 @@ def q_snapshot_changes(spark, d):
     return merge.snapshot_changes(ev, "user_id", "ts", "event_id", ["event_type"], bucket="hour")
 
 
+@register("snapshot_changes_batches", """
+SELECT user_id, event_id, ts, CASE WHEN prev IS NULL THEN 'new' ELSE 'changed' END AS change FROM (
+  SELECT user_id, event_id, ts, event_type,
+         lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+WHERE prev IS NULL OR prev <> event_type""")
+def q_snapshot_changes_batches(spark, d):
+    """Two batches, before and after a time, the second against the published state of the first."""
+    ev = load(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    path = scratch_path(spark, f"entity-state-{uuid.uuid4().hex}")
+    cut = F.to_timestamp_ntz(F.lit(CHANGES_SPLIT_TS))
+    key = ("user_id", "ts", "event_id", ["event_type"])
+    first, second = ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut)
+    database.publish_version(merge.entity_state(first, *key), path, CHANGES_SPLIT_TS)
+    state = database.read_version(spark, path)
+    one = merge.snapshot_changes(first, *key, bucket="hour", hot=merge.HOT_BUCKET)
+    return one.unionByName(merge.snapshot_changes(second, *key, bucket="hour", state=state, hot=merge.HOT_BUCKET))
+
+
 @register("retention", f"""
 SELECT event_id, ts FROM events
 WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL {RETENTION_DAYS} DAY""")
