@@ -40,6 +40,50 @@ def search_filter(df: DataFrame, term: str = "", category: str = "", career_stag
     return df.filter(search_predicate(term, category, career_stage))
 
 
+#: Trigrams of a term that choose candidates: the rarest, as one common trigram would list most records.
+PROBES = 3
+GRAM = 3
+_FIELDS = ("title", "organization", "description")
+
+
+def _grams(text: Column) -> Column:
+    """The distinct character trigrams of a text."""
+    at = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def write_search_index(df: DataFrame, path: str, ord_col: str = "ord") -> None:
+    """FL-1 as an index: postings (gram, ord) of the lowercased fields and tags, and how often each gram occurs.
+
+    Postings are sorted by gram across files, so a lookup opens the files and row groups of its grams alone. Grams do
+    not reach over the end of a field.
+    """
+    fields = F.concat(F.array(*[F.coalesce(F.lower(c), F.lit("")) for c in _FIELDS]), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.coalesce(F.lower(t), F.lit(""))))
+    grams = F.array_distinct(F.flatten(F.transform(fields, _grams)))
+    postings = df.select(F.explode(grams).alias("gram"), F.col(ord_col).alias("ord"))
+    # by gram and record, so that a gram most records have is spread over files
+    postings.repartitionByRange("gram", "ord").sortWithinPartitions("gram", "ord").write.parquet(f"{path}/postings")
+    counts = df.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n"))
+    counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
+
+
+def search_indexed(df: DataFrame, path: str, term: str = "", category: str = "", career_stage: str = "", ord_col: str = "ord") -> DataFrame:
+    """The rows of ``search_filter``, by the index of ``write_search_index``: candidates hold the term's rarest trigrams,
+    and the exact predicate decides. A term of less than three characters has none: all records are judged."""
+    t = (term or "").lower()
+    grams = sorted({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)})
+    if grams:
+        spark = df.sparkSession
+        known = {r["gram"]: r["n"] for r in spark.read.parquet(f"{path}/counts").filter(F.col("gram").isin(grams)).collect()}
+        if len(known) < len(grams):  # a gram that no record has
+            return df.filter(F.lit(False))
+        rarest = sorted(grams, key=lambda g: (known[g], g))[:PROBES]
+        found = spark.read.parquet(f"{path}/postings").filter(F.col("gram").isin(rarest))
+        found = found.groupBy("ord").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(rarest)).select(F.col("ord").alias("_ord"))
+        df = df.join(found, F.col(ord_col) == F.col("_ord"), "left_semi")
+    return search_filter(df, term, category, career_stage)
+
+
 def active_only(df: DataFrame) -> DataFrame:
     """FL-4: status = 'active'."""
     return df.filter(F.col("status") == "active")

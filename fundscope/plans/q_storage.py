@@ -100,3 +100,22 @@ def q_point_lookup(spark, d):
     database.write_by_id(v, name, scratch_path(spark, name), buckets=16)
     ids = v.join(load(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("ord")), "ord", "left_semi").select("id")
     return search.lookup_by_id(spark.table(name), ids).select("id", "ord", "title")
+
+
+SEARCH_TERMS = ["q", "Fe", "NATION_1", "fellow", "g work in", "no such thing"]
+
+
+@register("search_index", f"""
+SELECT term, ord FROM opportunities, (VALUES {', '.join(f"('{t}')" for t in SEARCH_TERMS)}) AS terms(term)
+WHERE contains(lower(title), lower(term)) OR contains(lower(organization), lower(term)) OR contains(lower(description), lower(term))
+   OR contains(lower(tag1), lower(term)) OR contains(lower(tag2), lower(term))""", "opportunities")
+def q_search_index(spark, d):
+    """Terms of one, two, three and more characters, and one that no record holds, through the index."""
+    path = scratch_path(spark, f"search-index-{uuid.uuid4().hex}")
+    v = _v1(spark, d)
+    search.write_search_index(v, path)
+    out = None
+    for term in SEARCH_TERMS:
+        rows = search.search_indexed(v, path, term).select(F.lit(term).alias("term"), "ord")
+        out = rows if out is None else out.unionByName(rows)
+    return out

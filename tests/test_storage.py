@@ -85,3 +85,49 @@ def test_gate_scopes(spark):
     gated = {scope: [r["verdict"] for r in quality.commit_gate(rows, "reasons", scope={"a": scope}).orderBy("i").collect()] for scope in ("record", "source", "scraper")}
     rest = ["record", "commit", "commit", "record", "commit"]
     assert gated == {"record": ["record", "commit", "commit", *rest], "source": ["source", "source", "commit", *rest], "scraper": ["scraper"] * 3 + rest}
+
+
+def test_search_index_prunes_and_keeps_every_hit(spark):
+    path = _dir(spark, "grams")
+    rows = [(i, f"Title {i}", "Örg ÄB" if i % 3 else None, "x" * (i % 5), ["Tag one", None, "ab"] if i % 2 else None, "c", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, title string, organization string, description string, tags array<string>, category string, ord long")
+    search.write_search_index(df, path)
+    for term in ("", "t", "le", "tle", "Title 19", "örg ä", "xxxx", "g on", "1ö", "title 1örg", "zzz", "tag", "%", "ab"):
+        want = {r["ord"] for r in search.search_filter(df, term).collect()}
+        assert {r["ord"] for r in search.search_indexed(df, path, term).collect()} == want, term
+    plan = search.search_indexed(df, path, "title 19")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan
+
+
+def test_stream_batches_read_their_buckets_and_run_again(spark):
+    from fundscope.streaming import upsert
+
+    target = _dir(spark, "upsert")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v int")
+    first, second = rows(("a", 1), ("a", 0), (None, 5), ("b", 2)), rows(("b", 9), ("c", 3), (None, 6), ("c", 4))
+    upsert.upsert_batch(first, target, ["k"], ["v"], 0)
+    upsert.upsert_batch(second, target, ["k"], ["v"], 1)
+    want = [(None, 5), ("a", 0), ("b", 2), ("c", 3)]
+    got = lambda: sorted(((r["k"], r["v"]) for r in spark.read.parquet(target).collect()), key=str)
+    assert got() == sorted(want, key=str)
+    for batch, epoch in ((second, 1), (first, 0), (second, 1)):
+        upsert.upsert_batch(batch, target, ["k"], ["v"], epoch)
+        assert got() == sorted(want, key=str)
+
+
+def test_changes_in_batches_equal_one_batch(spark):
+    from fundscope.operators import merge
+
+    rows = [(u, i, f"2024-01-0{1 + i // 40} 10:{i % 40:02d}:{i % 7:02d}", "ab"[(i * i + u) % 3 % 2]) for u in range(4) for i in range(120)] + [(None, 1, "2024-01-01 00:00:00", "a")]
+    df = spark.createDataFrame(rows, "user_id int, event_id int, t string, c string").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t")
+    key = ("user_id", "ts", "event_id", ["c"])
+    want = sorted(map(str, merge.snapshot_changes(df, *key).collect()))
+    assert sorted(map(str, merge.snapshot_changes(df, *key, bucket="hour", hot=3).collect())) == want
+    state, got = None, []
+    for low, high in ((0, 50), (50, 51), (51, 120)):
+        part = df.filter((F.col("event_id") >= low) & (F.col("event_id") < high))
+        got += merge.snapshot_changes(part, *key, bucket="hour", state=state, hot=5).collect()
+        state = spark.createDataFrame(merge.entity_state(part, *key, state=state).collect(), "_e int, _t timestamp_ntz, _i int, _h long")
+    assert sorted(map(str, got)) == want
+    late = merge.snapshot_changes(df.filter("event_id < 2"), *key, state=state).collect()
+    assert {r["change"] for r in late} == {"late"} and len(late) == 8
