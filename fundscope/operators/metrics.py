@@ -74,7 +74,9 @@ def summary_report(df: DataFrame, as_of_ts: str, sources=tuple(rules.SOURCE_ORDE
     and the grand totals together (partial aggregation per task); a final global aggregate over those
     few rows assembles the report row.
     """
-    flat = df.select(_category().alias("category"), _stage().alias("career_stage"), _amin().alias("amin"),
+    # a JSON object's key for null is "null", and one for both it and the text: they are one entry
+    key = lambda c: F.coalesce(c, F.lit("null"))
+    flat = df.select(key(_category()).alias("category"), key(_stage()).alias("career_stage"), _amin().alias("amin"),
                      _amax().alias("amax"), upcoming_flag(_deadline(), as_of_ts).alias("upcoming"))
     g = (flat.groupingSets([["category"], ["career_stage"], []], "category", "career_stage")
          .agg(F.count(F.lit(1)).alias("n"), F.sum("amin").alias("smin"), F.sum("amax").alias("smax"),
@@ -82,8 +84,7 @@ def summary_report(df: DataFrame, as_of_ts: str, sources=tuple(rules.SOURCE_ORDE
     total, by_cat, by_stage = F.col("gid") == 3, F.col("gid") == 1, F.col("gid") == 2
 
     def entries(key: str, sel: Column) -> Column:
-        return F.map_from_entries(F.collect_list(F.when(sel, F.struct(F.coalesce(F.col(key), F.lit("null")),
-                                                                      F.col("n")))))
+        return F.map_from_entries(F.collect_list(F.when(sel, F.struct(F.col(key), F.col("n")))))
 
     return g.agg(
         F.lit(as_of_ts.replace(" ", "T")).alias("update_timestamp"),

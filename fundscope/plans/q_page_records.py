@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators import page_records
+from ..functions import blocks
+from ..operators import page_records, pages
 from ..sources import records
 from ..sources.tables import scan_pages
 from . import oracle_rules as R
 from . import page_views
 from .q_pages import _CLEAN_HTML, _TITLE, _clean_sql, _decode
-from .registry import AS_OF, AS_OF_TS, register
+from .oracle_views import with_views
+from .registry import AS_OF, AS_OF_TS, ORACLE, register
 
 _P = [r"(?i)£([\d,]+)(?:\s*-\s*£([\d,]+))?", r"(?i)([\d,]+)(?:\s*-\s*([\d,]+))?\s*(?:thousand|k)", r"(?i)([\d,]+)(?:\s*-\s*([\d,]+))?\s*(?:million|m)"]
 _MONTH = "|".join(rules.MONTHS)
@@ -93,6 +95,10 @@ parts AS (SELECT raw.page_id, url, title, COALESCE(description, '') AS descripti
   FROM raw LEFT JOIN described USING (page_id)),"""
 
 
+# the paragraphs of the driver pages, for the query of q_pages
+ORACLE["extract_description"] = with_views("WITH " + _PAGES.strip().rstrip(",") + " SELECT page_id, description FROM parts")
+
+
 @register("assemble_page_record", "WITH " + _PAGES.strip() + _record_sql("parts"))
 def q_assemble_page_record(spark, d):
     return _flat(page_records.page_records(scan_pages(spark, d), AS_OF_TS))
@@ -103,6 +109,50 @@ def q_assemble_detail_page(spark, d):
     return _flat(page_records.page_records(page_views.detail_pages(spark, d), AS_OF_TS))
 
 
+@register("detail_fields", f"""WITH {page_views.DETAIL_PAGES.strip()}
+SELECT page_id, title, description, requirements_text, application_url FROM page_parts WHERE NOT missing""", "notices")
+def q_detail_fields(spark, d):
+    """EX-2, EX-4, EX-5 and EX-12 on pages where each of their selectors and branches fires."""
+    f = pages.page_facts(page_views.detail_pages(spark, d).filter("html IS NOT NULL"), ("selectors", "first_ps", "elig_items", "anchors", "base_href"))
+    return f.select("page_id", pages.title_col().alias("title"), pages.description_col().alias("description"),
+                    F.array_join(pages.requirements_col(), "; ").alias("requirements_text"), pages.application_url_col(F.lit(rules.COUNCIL_SITE)).alias("application_url"))
+
+
+@register("detail_non_records", f"""WITH {page_views.DETAIL_PAGES.strip()}
+SELECT page_id, title FROM page_parts WHERE NOT missing AND title <> '' AND lower(title) <> '{rules.FUNDING_FINDER}'""", "notices")
+def q_detail_non_records(spark, d):
+    """EX-3 on pages without a title and search pages among the others."""
+    f = pages.page_facts(page_views.detail_pages(spark, d).filter("html IS NOT NULL"), ("selectors",))
+    return pages.drop_non_records(f).select("page_id", "title")
+
+
+@register("dated_card_fields", f"""WITH {page_views.FOUNDATION_SCHEMES.strip()}
+SELECT page_id, title, description, scheme_url AS application_url, deadline, CAST(amount_min AS BIGINT) AS amount_min, CAST(amount_max AS BIGINT) AS amount_max
+FROM schemes WHERE kind = 'dated'""")
+def q_dated_card_fields(spark, d):
+    """EX-20 on rendered cards of each calendar and amount, those without an intro among them."""
+    f = pages.page_facts(page_views.foundation_pages(spark, d), ("dated_cards",))
+    return pages.dated_cards(f).select("page_id", "title", "description", "application_url", "deadline", "amount_min", "amount_max")
+
+
+@register("teaser_card_fields", f"""WITH {page_views.FOUNDATION_SCHEMES.strip()}
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS card_pos, title, description, CAST(amount_min AS DOUBLE) AS amount, CAST(duration_years AS INTEGER) AS duration_years
+FROM schemes WHERE kind = 'teaser'""")
+def q_teaser_card_fields(spark, d):
+    """EX-18 on rendered cards."""
+    f = pages.page_facts(page_views.foundation_pages(spark, d), ("teaser_cards",))
+    return pages.teaser_cards(f).select("page_id", F.col("card_pos").cast("bigint").alias("card_pos"), "title", "description", "amount", "duration_years")
+
+
+@register("block_fields", f"""WITH {page_views.FOUNDATION_SCHEMES.strip()}
+SELECT page_id, title, description, frequency, CAST(duration_years AS INTEGER) AS duration_years, CAST(amount_min AS DOUBLE) AS amount_min, CAST(amount_max AS DOUBLE) AS amount_max, deadline
+FROM schemes WHERE kind = 'block'""")
+def q_block_fields(spark, d):
+    """EX-19 on page texts of many blocks, some of which are none."""
+    f = pages.page_facts(page_views.foundation_pages(spark, d), ("text_lines",)).withColumnRenamed("text_lines", "text")
+    return blocks.labelled_blocks(f, "page_id").select("page_id", "title", "description", "frequency", "duration_years", "amount_min", "amount_max", "deadline")
+
+
 @register("rejected_pages", f"""WITH {page_views.DETAIL_PAGES.strip()}
 SELECT page_id, CASE WHEN missing THEN 'no page' WHEN title = '' THEN 'no title' ELSE 'search page' END AS reject
 FROM page_parts WHERE missing OR title = '' OR lower(title) = '{rules.FUNDING_FINDER}'""", "notices")

@@ -224,6 +224,21 @@ def q_scan_envelope(spark, d):
     return records.explode_envelope(parsed).select("id", "title", "organization")
 
 
+@register("scan_envelope_files", "SELECT id, title, organization, hi AS max_amount, deadline, last_updated FROM opportunities", "opportunities")
+def q_scan_envelope_files(spark, d):
+    """SRC-2 through files: envelopes of at most ENVELOPE_CHUNK records, one a line, written and read back by the reader."""
+    import uuid
+
+    from ..session import scratch_path
+
+    path = scratch_path(spark, f"envelope-files-{uuid.uuid4().hex}")
+    env = (_v1(spark, d).groupBy(F.floor(F.col("ord") / ENVELOPE_CHUNK).alias("chunk"))
+           .agg(F.count(F.lit(1)).alias("total_fundings"), F.collect_list(F.struct(*RECORD_COLS)).alias("fundings")))
+    env.select(F.lit(AS_OF_TS.replace(" ", "T")).alias("last_updated"), "total_fundings", "fundings").write.json(path)
+    r = records.scan_envelope(spark, path, multiline=False)
+    return r.select("id", "title", "organization", _amt()["max"].alias("max_amount"), _dl().alias("deadline"), "last_updated")
+
+
 @register("record_key", "SELECT ord, concat_ws('_', category, subcategory, id) AS record_key FROM opportunities",
           "opportunities")
 def q_record_key(spark, d):

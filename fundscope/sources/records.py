@@ -33,12 +33,13 @@ def parse_records(value: Column) -> Column:
     return F.from_json(value, schema.RECORD, {"mode": "PERMISSIVE"})
 
 
-def scan_envelope(spark: SparkSession, path: str) -> DataFrame:
+def scan_envelope(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """SRC-2: database envelopes {last_updated, total_fundings, fundings[]} -> one row per record;
-    a missing path or a missing ``fundings`` gives no rows."""
+    a missing path or a missing ``fundings`` gives no rows. A file that holds one envelope over several lines is read by
+    one task; files of an envelope a line (``multiline=False``) are split."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema.RECORD)
-    env = spark.read.schema(schema.ENVELOPE).option("multiLine", True).json(path)
+    env = spark.read.schema(schema.ENVELOPE).option("multiLine", multiline).json(path)
     return explode_envelope(env)
 
 

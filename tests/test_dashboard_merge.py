@@ -175,3 +175,28 @@ def test_stream_upsert_does_not_depend_on_file_order(spark, tmp_path):
     want = ev.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("user_id", "event_type", "f.event_id", "f.ts")
     got = spark.read.parquet(out).select(*want.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_sorts_order_every_row(spark):
+    """The whole order of the record view, against a plain sort of the same rows."""
+    import datetime as dt
+
+    from fundscope.plans import catalog
+
+    rows = {r["ord"]: r for r in catalog.QUERIES["sort_title"](spark, "/root/testdata/sf0.001").collect()}
+    titles = [r["ord"] for r in catalog.QUERIES["sort_title"](spark, "/root/testdata/sf0.001").collect()]
+    assert titles == sorted(titles, key=lambda k: (rows[k]["title"], k)) and len(titles) == 1500  # ASCII titles of one case pattern
+    amounts = [(r["max_amount"], r["ord"]) for r in catalog.QUERIES["sort_amount"](spark, "/root/testdata/sf0.001").collect()]
+    assert amounts == sorted(amounts, key=lambda x: (-x[0], x[1]))
+    deadlines = [(r["deadline_date"], r["ord"]) for r in catalog.QUERIES["sort_deadline"](spark, "/root/testdata/sf0.001").collect()]
+    assert deadlines == sorted(deadlines, key=lambda x: (x[0] is None, x[0] or dt.date.min, x[1])) and deadlines[-1][0] is None
+
+
+def test_summary_counts_null_and_the_text_null_together(spark):
+    from fundscope.operators import metrics
+    from fundscope.plans import views
+
+    v = views.opportunities(spark, "/root/testdata/sf0.001")
+    mixed = v.withColumn("category", F.when(F.col("ord") % 5 == 0, F.lit("null")).otherwise(F.col("category")))
+    got = metrics.summary_report(mixed, "1998-06-15 12:00:00").first()["category_breakdown"]
+    assert got["null"] == mixed.filter("category IS NULL OR category = 'null'").count() and sum(got.values()) == v.count()

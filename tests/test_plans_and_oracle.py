@@ -15,7 +15,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 PYTHON_STAGE_QUERIES = {"page_text", "extract_title", "drop_non_records", "extract_description",
                         "extract_requirements", "application_url", "extract_links", "resolve_url", "dated_cards",
                         "frontier_dedup", "pagination_cut", "assemble_page_record", "assemble_detail_page",
-                        "rejected_pages", "classify_links", "scheme_records"}
+                        "rejected_pages", "classify_links", "scheme_records", "detail_fields", "detail_non_records",
+                        "dated_card_fields", "teaser_card_fields", "block_fields"}
 #: Their one parse feeds two branches; adaptive execution reuses its exchange, so the plan that ran counts.
 REUSED = {"pagination_cut"}
 STREAMING = {"stream_upsert", "stream_counts"}
