@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fundscope.llm import decontaminate, order_minhash, quality, secrets, url_reputation
+from fundscope.llm import decontaminate, quality, secrets, url_reputation
 
 WORDS = ["the", "of", "river", "stone", "élan", "naïve", "query", "bank", "green", "tower", "salt", "moon", "door", "field", "glass", "iron"]
 
@@ -131,61 +131,6 @@ def test_containment_of_short_items(spark):
     assert got == want and len(want) >= 146
 
 
-@pytest.mark.parametrize("small", [40, 2])
-def test_near_duplicates(spark, monkeypatch, small):
-    monkeypatch.setattr(order_minhash, "SMALL_GROUP", small)
-    rng = random.Random(6)
-    docs = []
-    for f in range(8):
-        base = prose(rng, 150).split()
-        for _ in range(10):
-            w = list(base)
-            for _ in range(rng.randrange(4)):
-                w[rng.randrange(len(w))] = rng.choice(WORDS) + str(rng.randrange(99))
-            docs.append((len(docs) * 7 % 83, " ".join(w), f))
-    docs += [(200, docs[0][1], 0), (201, "a b", 0), (202, "a b", 0), (203, None, 0), (204, "", 0), (205, " \n", 0), (None, docs[5][1], 0), (206, "a c", 0)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, unit int").repartition(4)
-    parent = list(range(len(docs)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    sets = [shingles(t) for _, t, _ in docs]
-    for i in range(len(docs)):
-        for j in range(i):
-            a, b = sets[i], sets[j]
-            if (not a and not b) or a and b and len(a & b) >= 0.8 * len(a | b):
-                parent[find(i)] = find(j)
-    groups = {}
-    for k, (d, _, _) in enumerate(docs):
-        groups.setdefault(find(k), []).append(d)
-    want = Counter((d, min(x for x in g if x is not None)) for g in groups.values() for d in g)
-    got = Counter((r["doc_id"], r["class_id"]) for r in order_minhash.classes(df).collect())
-    assert got == want
-    assert order_minhash.classes(df.limit(0)).count() == 0
-
-
-def test_edits():
-    rng = random.Random(7)
-
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    for _ in range(500):
-        a = [rng.randrange(3) for _ in range(rng.randrange(12))]
-        b = [rng.randrange(3) for _ in range(rng.randrange(12))]
-        d, band = plain(a, b), rng.randrange(6)
-        assert order_minhash.edits(a, b, band) == (d if d <= band else None) or not band and d == 0
-    assert np.isclose(order_minhash.jaccard(np.arange(10, dtype="<u4"), np.arange(10, dtype="<u4")), 1)
-
-
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
