@@ -233,15 +233,22 @@ def _rekeyed(rows: DataFrame, side: int) -> DataFrame:
     return rows.select(F.explode(keys).alias("key"), "u", "m", "size", "d")
 
 
+def _met(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index and probe lines of the keys that two lines or more have, one of them in the index."""
+    both = index.select("key", "u").union(probe.select("key", "u")).groupBy("key").agg(F.min("u").alias("a"), F.max("u").alias("b"))
+    met = both.where("a <> b").select("key")
+    index = written(index.join(met, "key", "left_semi"), "line-index")
+    return index, written(probe.join(index.select("key"), "key", "left_semi"), "line-probes")
+
+
 def links(units: DataFrame) -> DataFrame:
     """a, b, spare: every pair of linked lines; those that are not spare connect every class. ``units``: u, line, n
     (its length)."""
     near = units.where(F.col("n") >= PER_EDIT)
     index = written(keyed(near, 0), "line-index")
-    probe = written(keyed(near, 1).join(index.select("key"), "key", "left_semi"), "line-probes")
-    # only keys of two lines matter from here on
-    met = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key").union(probe.select("key")).distinct()
-    index = written(index.join(met, "key", "left_semi"), "line-index")
+    index, probe = _met(index, written(keyed(near, 1).join(index.select("key"), "key", "left_semi"), "line-probes"))
+    # most lines have no key in common with another: their texts are left behind here, not at every look-up
+    near = written(near.join(index.select("u").union(probe.select("u")).distinct(), "u", "left_semi"), "line-near")
     probe = probe.union(index)
     out = None
     for level in range(LEVELS):
@@ -268,7 +275,8 @@ def links(units: DataFrame) -> DataFrame:
         linked = close.select("a", "b").union(close.select("b", "a")).select(F.col("a").alias("pivot"), F.col("b").alias("u"), F.lit(True).alias("linked"))
         marked = members.join(linked, ["pivot", "u"], "left").select("pivot", "u", F.coalesce("linked", F.lit(False)).alias("m"))
         rows = written(_differences(marked, near), "line-order")
-        index, probe = written(_rekeyed(rows, 0), "line-index"), written(_rekeyed(rows, 1), "line-probes")
+        index = written(_rekeyed(rows, 0), "line-index")
+        index, probe = _met(index, written(_rekeyed(rows, 1), "line-probes"))
     raise AssertionError("the last level has no hot keys")
 
 

@@ -146,8 +146,9 @@ def _as_vectors(rows: DataFrame, name: str) -> DataFrame:
     Python worker stands beside the one that made the features."""
     spark = rows.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    pairs = F.transform(F.arrays_zip("f", "v"), lambda x: F.concat((x["f"] + 1).cast("string"), F.lit(":"), x["v"].cast("string")))
-    rows.select(F.concat_ws(" ", F.col("good").cast("string"), pairs).alias("value")).repartition(8).write.text(path)
+    pairs = F.transform(F.arrays_zip("f", "v"), lambda x: F.concat((x["f"] + 1).cast("string"), F.lit(":"), x["v"].cast("float").cast("string")))
+    lines = rows.repartition(8).select(F.concat_ws(" ", F.col("good").cast("string"), pairs).alias("value"))
+    lines.write.option("compression", "gzip").text(path)
     return spark.read.format("libsvm").option("numFeatures", FEATURES).load(path)
 
 

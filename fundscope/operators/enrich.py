@@ -2,7 +2,7 @@
 
 EN-2 turns flat scheme rows into the nested record the way each source family builds it; EN-1
 then overwrites organization / category / subcategory / disciplines from the 17-row source
-dimension, joined by broadcast (its size is fixed by construction, so the broadcast is bounded).
+dimension; the planner chooses how to join it.
 """
 
 from __future__ import annotations

@@ -30,8 +30,6 @@ STAGE_BY_PRIORITY = {"1-URGENT": "Early Career", "2-HIGH": "Mid Career", "3-MEDI
 PHRASE_BY_STAGE = {"Early Career": "early career researchers", "Mid Career": "fellowship holders",
                    "Senior": "senior professors", "All Stages": "all researchers"}
 
-# The nation dimension of the driver schema is a fixed 25-row table; broadcast behind a bound check.
-
 
 def _pick(values, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
