@@ -164,7 +164,7 @@ def main_text(root: Node, template: set[int]) -> str:
     waiting: list[str] = []
 
     def flush() -> None:
-        text = " ".join(htmllib.unescape("".join(waiting)).split())
+        text = " ".join("".join(waiting).split())
         if text:
             blocks.append(text)
         waiting.clear()
@@ -174,7 +174,7 @@ def main_text(root: Node, template: set[int]) -> str:
         while work:
             item = work.pop()
             if isinstance(item, str):
-                waiting.append(item)
+                waiting.append(htmllib.unescape(item))  # piece by piece: a reference does not reach over a tag
             elif item is None:
                 flush()
             else:

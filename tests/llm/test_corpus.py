@@ -169,3 +169,34 @@ def test_items_are_found_without_ids_and_apart(spark):
     docs = [(None, item), (None, "other words that nobody has seen here at all"), (5, " ".join(half[:18])), (5, " ".join(half[14:])), (6, "x " + item + " y")]
     found = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (None, "nobody has seen here at all")], "item_id long, text string"))
     assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in found.collect()) == [("6", "1"), ("None", "1"), ("None", "None")]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, null texts, extra columns with the operators' own names, labels, and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    item = prose(rng, 40)
+    own = [prose(rng, 60) for _ in range(12)]
+    rows = [(i, own[i], "en") for i in range(6)] + [(None, own[6], "en"), (None, own[7], "en"), (7, own[8], "de"), (7, own[9], None), (None, f"{own[10]} {item} x", "en"), (8, item, "en")]
+    rows += [(None, own[6], "en"), (20, own[0], "en"), (None, None, None), (21, "", "en")]
+    docs = spark.createDataFrame([(*r, "s", 5, "u", 1.5, True, ["x"]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, unit string, root double, kept boolean, line array<string>")
+    spark.createDataFrame([(0, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0), (None, 1, 0), (99, 0, 1), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (docs, docs.limit(0)):
+        now, seen = start, None
+        for name, stage in corpus_pipeline.STAGES[1:-1]:  # the rules, with so few labels, are tested above
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns, name
+            now.write.parquet(f"{tmp_path}/{name}-{start is docs}")
+            now = seen = spark.read.parquet(f"{tmp_path}/{name}-{start is docs}")
+        packed = corpus_pipeline.STAGES[-1][1](spark, seen, str(tmp_path)).count()
+        assert (packed > 0) == (start is docs)
+        if start is docs:
+            left = [(r["doc_id"], r["text"]) for r in seen.collect()]
+            assert not any(item in (t or "") for _, t in left)
+            assert {t for _, t in left} >= set(own[:10])
+            assert sorted(t for _, t in left if t in own) == sorted(own[:10])  # each once
+    ruled = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert ruled.columns == docs.columns and ruled.where("text IS NULL OR text = ''").count() == 0
+    assert corpus_pipeline.quality_rules(spark, docs.limit(0), str(tmp_path)).count() == 0

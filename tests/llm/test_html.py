@@ -19,6 +19,7 @@ def test_page_shapes():
     assert text("<p>a<script>if (1 < 2) {</script> b</p><p>open") == "a b\n\nopen"
     assert text("<article class='comment'>no</article><article><p>yes</p></article>") == "yes"
     assert text("<article><p>1 < 2 and 3 > 2</p></article>") == "1 < 2 and 3 > 2"
+    assert text("<p>R&<b>copy</b> &amp;lt; &copy;</p>") == "R&copy &lt; ©"
     assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
