@@ -142,10 +142,10 @@ APPLY = r"(?i)apply|application"
 def application_url_col(base_url: Column) -> Column:
     """EX-12: ``<base href>`` or ''; replaced by the first anchor whose sole string mentions
     apply/application and has a non-empty href, resolved against ``base_url``."""
-    hit = F.try_element_at(F.filter(F.col("anchors"), lambda a: a["sole"].rlike(APPLY)), F.lit(1))
-    href = hit["href"]
-    return F.when(href.isNotNull() & (href != ""), resolve_url(base_url, href)).otherwise(
-        F.coalesce(F.col("base_href"), F.lit("")))
+    hit = F.slice(F.filter(F.col("anchors"), lambda a: a["sole"].rlike(APPLY)), 1, 1)
+    # resolved inside the array: every use of the href would filter the anchors anew
+    resolved = F.transform(hit, lambda a: F.when(a["href"] != "", resolve_url(base_url, a["href"])))
+    return F.coalesce(F.try_element_at(resolved, F.lit(1)), F.col("base_href"), F.lit(""))
 
 
 def application_url(facts: DataFrame, base_url: Column | None = None) -> DataFrame:

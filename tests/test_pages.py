@@ -138,3 +138,34 @@ def test_link_classification_sends_no_text(spark):
     physical = out._jdf.queryExecution().executedPlan().toString()
     sent = [x for x in physical.split("\n") if "partial_min_by" in x]
     assert sent and all("text_raw" not in x.split("output")[-1] for x in sent)
+
+
+def test_plain_markup_gives_the_tree_of_html_parser():
+    import random
+
+    from fundscope.functions import html_facts as hf
+
+    def tree(n):
+        return (n.kind, n.value) if isinstance(n, hf.Text) else (n.tag, n.attrs, n.hidden, [tree(c) for c in n.children])
+
+    assert hf._parse_plain('<!DOCTYPE html><div class="a b">x &amp; y < 5<br></div><!-- c --><script>if (a) b="&amp;"</script></p>') is not None
+    bits = ['<p>', '</p>', '<div class="a b">', '</div>', 'x &amp; y', '&', '&lt', ' \n ', '<br>', '</br>', '<!-- c -->', '<!---->', '<!--a-b-->', '<script>', 'var a="&amp;"', '</script>',
+            '</script >', '<title>', '</title>', '<textarea>', '</textarea>', '<A>', '<a href=x>', '<a href="x&amp;y">', '<a  href="q">', '<', '>', '<!doctype html>', '<?pi?>',
+            '<![CDATA[z]]>', '<iframe>', '</iframe>', '<h1 id="a" id="b">', '</h1>', '<template>', '</template>', '<a data-x="1" b="">', '</a>', '<col/>', '< 5', 'a <= b']
+    rng, plain = random.Random(3), 0
+    for _ in range(5000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        root = hf._parse_plain(html)
+        if root is not None:
+            plain += 1
+            assert tree(root) == tree(hf.parse_any(html)), html
+        root = hf.parse(html)
+        hits = {s: hf.get_text(n) for s in pages.SELECTORS if (n := hf.select_one(root, s)) is not None}
+        assert hf.page_facts(html, pages.SELECTORS, ("selectors",))["selectors"] == hits
+    assert plain > 500
+
+
+def test_an_apply_link_is_looked_up_once(spark):
+    out = pages.application_url(_facts(spark, DETAIL))
+    assert out.first()["application_url"] == "https://www.ukri.org/apply"
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("apply|application") == 1
