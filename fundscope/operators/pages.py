@@ -7,8 +7,8 @@ carries it. DOM rules (class selectors, nesting of unclosed tags, sole-string te
 are what Catalyst expressions cannot state; everything after E-0 is Catalyst again.
 
 Scale: pages are split by the parquet reader (``spark.sql.files.maxPartitionBytes``) and E-0 runs per
-partition with small Arrow batches (``spark.sql.execution.arrow.maxRecordsPerBatch``), so a long page
-never holds a big batch in memory; no shuffle is needed until a grouping operator asks for one.
+partition; of an Arrow batch, FACTS_ROWS pages or FACTS_CHARS characters are parsed and handed on at a time, so the
+facts in a worker do not grow with the table; no shuffle is needed until a grouping operator asks for one.
 """
 
 from __future__ import annotations
@@ -48,23 +48,35 @@ FACTS_SCHEMA = T.StructType([
 ])
 
 
+#: Pages, and characters of their html, whose facts are in a Python worker at a time (a longer page is alone).
+FACTS_ROWS, FACTS_CHARS = 500, 1 << 21
+
+
+def _slices(lengths):
+    """(first, end) of the runs of pages that are parsed at a time."""
+    first = size = 0
+    for i, n in enumerate(lengths):
+        if i > first and (i - first == FACTS_ROWS or size + n > FACTS_CHARS):
+            yield first, i
+            first, size = i, 0
+        size += n
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
 def _facts_fn(fields, keep=()):
     def run(batches):
         import pandas as pd
 
         from ..functions.html_facts import page_facts as facts_of
 
-        cols = ["page_id", "url", *fields, *keep, "missing"]
         for pdf in batches:
-            rows = []
-            for pid, url, html, *more in pdf.itertuples(index=False, name=None):
-                f = facts_of(html, SELECTORS, fields)
-                f["page_id"] = int(pid)
-                f["url"] = url
-                f["missing"] = html is None
-                f.update(zip(keep, more))
-                rows.append(f)
-            yield pd.DataFrame(rows, columns=cols)
+            for first, end in _slices([len(h or "") for h in pdf["html"]]):
+                part = pdf.iloc[first:end]
+                html = part["html"].tolist()
+                facts = [facts_of(page, SELECTORS, fields) for page in html]
+                yield pd.DataFrame({"page_id": [int(k) for k in part["page_id"]], "url": part["url"].to_numpy(), **{f: [x[f] for x in facts] for f in fields},
+                                    **{c: part[c].to_numpy() for c in keep}, "missing": [page is None for page in html]})
 
     return run
 

@@ -169,3 +169,14 @@ def test_an_apply_link_is_looked_up_once(spark):
     out = pages.application_url(_facts(spark, DETAIL))
     assert out.first()["application_url"] == "https://www.ukri.org/apply"
     assert out._jdf.queryExecution().optimizedPlan().toString().count("apply|application") == 1
+
+
+def test_facts_leave_a_worker_in_small_parts():
+    import pandas as pd
+
+    run = pages._facts_fn(("text_raw", "teaser_cards"))
+    out = list(run(iter([pd.DataFrame({"page_id": range(1200), "url": "u", "html": [CARDS] * 1199 + [None]})])))
+    assert [len(o) for o in out] == [500, 500, 200]
+    assert [k for o in out for k in o["page_id"]] == list(range(1200)) and out[-1]["missing"].tolist() == [False] * 199 + [True]
+    long = list(run(iter([pd.DataFrame({"page_id": range(3), "url": "u", "html": ["<p>" + "x" * pages.FACTS_CHARS] * 3})])))
+    assert [len(o) for o in long] == [1, 1, 1]
