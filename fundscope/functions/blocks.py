@@ -43,9 +43,11 @@ def split_blocks(text: Column) -> Column:
 
 
 def matched_blocks(text: Column, faithful_deadline: bool = False) -> Column:
-    """The matches (EX-19a) of the text's blocks, '' for a block without one; the position is the block's."""
+    """The matches (EX-19a) of the text's blocks, '' for a block without one; the position is the block's.
+
+    A block without a line that begins with 'For' has no match; the pattern would find that out in the square of its length."""
     p = BLOCK_FAITHFUL if faithful_deadline else BLOCK_INTENT
-    return F.transform(split_blocks(text), lambda blk: F.regexp_extract(blk, p, 0))
+    return F.transform(split_blocks(text), lambda blk: F.when(blk.contains("\nFor"), F.regexp_extract(blk, p, 0)).otherwise(F.lit("")))
 
 
 def labelled_blocks(df: DataFrame, id_col: str, text_col: str = "text", faithful_deadline: bool = False

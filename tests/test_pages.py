@@ -180,3 +180,15 @@ def test_facts_leave_a_worker_in_small_parts():
     assert [k for o in out for k in o["page_id"]] == list(range(1200)) and out[-1]["missing"].tolist() == [False] * 199 + [True]
     long = list(run(iter([pd.DataFrame({"page_id": range(3), "url": "u", "html": ["<p>" + "x" * pages.FACTS_CHARS] * 3})])))
     assert [len(o) for o in long] == [1, 1, 1]
+
+
+def test_a_text_without_blocks_is_left_in_time(spark):
+    import time
+
+    texts = [(i, "a long text of cards " * 1000) for i in range(60)] + [(60, "Fellowship X\nFor anyone\nValue: £5\n"), (61, "Title\nForty pages\n\nOther\n For x\n"), (62, None)]
+    df = spark.createDataFrame(texts, "leaflet_id long, text string").repartition(1).cache()
+    df.count()
+    t = time.time()
+    rows = blocks.labelled_blocks(df, "leaflet_id").collect()
+    assert [(r["leaflet_id"], r["title"], r["amount_min"]) for r in rows] == [(60, "Fellowship X", 5.0)]
+    assert time.time() - t < 10
