@@ -32,6 +32,8 @@ from . import textarrays as ta
 from .common import text_of, written
 
 LENGTH, GRAM = 100, 24
+#: Batches of a run: from three on, levels merge. Each is matched against all levels, so their cost grows with the number.
+BATCHES = 4
 #: Suffixes of a partition in which partial matches are resolved, and different segments of one anchor string
 #: from which they are dealt by longer common parts.
 RESOLVE_ROWS, MANY_SEGMENTS, BLOCK = 8_000, 400, 16
@@ -217,7 +219,7 @@ def without(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return cut.mapInArrow(remove, "doc long, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(whole)
 
 
-def repeats(rows: DataFrame, batches: int = 2) -> DataFrame:
+def repeats(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc, t, start, n: runs of n window starts whose LENGTH-byte strings also start earlier."""
     bounds = rows.select(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 10_000).alias("b")).first()["b"] if batches > 1 else []
     index = SuffixLevels()
@@ -243,7 +245,7 @@ def repeats(rows: DataFrame, batches: int = 2) -> DataFrame:
     return written(spans, "repeats")
 
 
-def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of every document."""
     rows = rows_of(docs, id_col, text_col)
     return without(rows, repeats(rows, batches)).select(F.when(F.col("doc") != LEAST_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

@@ -51,3 +51,19 @@ def test_rows_of_one_id_keep_their_own_bytes(spark):
         kept = [bytes(r["kept"]).decode() for r in sl.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
         assert kept.count(u1) == 2  # equal rows are one document
         assert sorted(kept) in (sorted([u1, u1, x + u2, u3]), sorted([u1, u1, u2, u3 + x]))
+
+
+def test_levels_merge_by_default(spark, monkeypatch):
+    rng = random.Random(4)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(150)) + (shared if i % 3 == 0 else "")) for i in range(40)]
+    held, push = [], sl.SuffixLevels._push
+
+    def pushed(self, batches, level):
+        push(self, batches, level)
+        held.append([n for n, _ in self.levels])
+
+    monkeypatch.setattr(sl.SuffixLevels, "_push", pushed)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sl.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert held == [[1], [2], [2, 1]]
