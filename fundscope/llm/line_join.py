@@ -8,10 +8,12 @@ hold unchanged, at a place that the lengths and the edits left over narrow down.
 are verified by banded bit-parallel edit distance (a word of 2 * TAU + 1 bits, a column a character).
 
 A key with more than HOT index lines (its square at the next level) does not make all its pairs. Its lines meet one of them, the pivot; those
-within TAU of it are one component with it. The others are indexed anew by how they differ from the pivot: an
-edit changes at most 2 * GRAM of a line's character GRAM-grams, so the differences of two lines within TAU
-differ in at most SPREAD grams, and the first grams of both differences must meet (prefix filtering of sets;
-those that are the pivot's own difference from the others come last). This is repeated for keys that are hot again. So a common phrase does not make pairs with the square of
+within TAU of it are one component with it. The others are indexed anew by how they differ from the pivot: lines
+are cut into pieces behind every character whose code CUT divides (a blank is one), an edit changes at most
+three pieces (one becomes two), so the differences of two lines within TAU
+differ in at most SPREAD pieces, and the first pieces of both differences must meet (prefix filtering of sets;
+those that are the pivot's own difference from the others come last). Of such pairs those are left whose differences in
+character GRAM-grams are near enough, too, as an edit changes at most 2 * GRAM of them. This is repeated for keys that are hot again. So a common phrase does not make pairs with the square of
 its size. Near copies do where they are linked to each other, as every link counts for n_links; those of two lines
 linked to one pivot are spare, and the components are made without them.
 
@@ -32,9 +34,13 @@ from .components import components
 TAU, LEAST_EXACT, PER_EDIT = 2, 1, 10
 LEAST_NEAR = TAU * PER_EDIT
 HOT, LEVELS = 8, 3
-GRAM = 3
-#: Grams by which the differences of two lines within TAU may differ.
-SPREAD = 2 * GRAM * TAU
+GRAM, CUT = 3, 4
+#: Pieces by which the differences of two lines within TAU may differ.
+SPREAD = 3 * TAU
+#: Grams by which they may differ.
+GRAM_SPREAD = 2 * GRAM * TAU
+#: Bits of the bitmap of lines looked for, of 64 a row.
+BITS = 23
 #: Common characters that are left before and behind the part to verify.
 MARGIN = 4 * TAU
 
@@ -172,15 +178,17 @@ def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 def _pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
     """a < b of an index line and a probe line of one key whose differences from the pivot allow it; spare if, wherever
-    they meet, both are linked to the pivot (``d`` and ``m``; there are none at first)."""
+    they meet, both are linked to the pivot (``d``, ``w`` and ``m``; there are none at first). By differences, a pair meets at the
+    first key that it has in common, once for a pivot."""
     again = "d" in index.columns
     mark = F.col("m") if again else F.lit(False)
-    grams_ = F.col("d") if again else F.lit(0)
-    index = index.select("key", F.col("u").alias("i"), mark.alias("mi"), F.col("size").alias("si"), grams_.alias("di"))
-    probe = probe.select("key", F.col("u").alias("p"), mark.alias("mp"), F.col("size").alias("sp"), grams_.alias("dp"))
+    own = [F.col(c) if again else F.lit(0) for c in ("d", "w", "keys")]
+    index = index.select("key", F.col("u").alias("i"), mark.alias("mi"), F.col("size").alias("si"), own[0].alias("di"), own[1].alias("wi"), own[2].alias("ki"))
+    probe = probe.select("key", F.col("u").alias("p"), mark.alias("mp"), F.col("size").alias("sp"), own[0].alias("dp"), own[1].alias("wp"), own[2].alias("kp"))
     met = index.join(probe, "key").where(f"i <> p and si <= sp and sp - si <= {SPREAD}")
     if again:
-        met = met.where(f"si + sp - 2 * size(array_intersect(di, dp)) <= {SPREAD}")
+        met = met.where(f"array_intersect(ki, kp)[0] = key and si + sp - 2 * size(array_intersect(di, dp)) <= {SPREAD}")
+        met = met.where(f"size(wi) + size(wp) - 2 * size(array_intersect(wi, wp)) <= {GRAM_SPREAD}")
     return _once(met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b"), F.expr("mi and mp").alias("spare")))
 
 
@@ -189,24 +197,38 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.bool_and("spare").alias("spare"))
 
 
-def grams(line: Column) -> Column:
-    """Array of the line's distinct grams, as hashes; a gram's second, third and further occurrences are their own."""
-    chars = F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
-    hashes = _let(chars, lambda c: F.array_sort(F.transform(F.slice(c, 1, F.size(c) - (GRAM - 1)), lambda _, i: F.xxhash64(*[F.get(c, i + k) for k in range(GRAM)]))))
-    # sorted, so equal grams stand together
+def _chars(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
+
+
+def _numbered(hashes: Column) -> Column:
+    """Distinct hashes of an array; the second, third and further occurrences of one are their own."""
+    # sorted, so equal ones stand together
     before = lambda g, i, k: F.get(g, i - k)
     number = lambda g, x, i: F.when(before(g, i, 3).eqNullSafe(x), 3).when(before(g, i, 2).eqNullSafe(x), 2).when(before(g, i, 1).eqNullSafe(x), 1).otherwise(0)
-    return _let(hashes, lambda g: F.array_distinct(F.transform(g, lambda x, i: F.xxhash64(x, number(g, x, i)))))
+    return _let(F.array_sort(hashes), lambda g: F.array_distinct(F.transform(g, lambda x, i: F.xxhash64(x, number(g, x, i)))))
+
+
+def grams(line: Column) -> Column:
+    """Array of the line's grams, as numbered hashes."""
+    return _numbered(_let(_chars(line), lambda c: F.transform(F.slice(c, 1, F.size(c) - (GRAM - 1)), lambda _, i: F.xxhash64(*[F.get(c, i + k) for k in range(GRAM)]))))
+
+
+def pieces(line: Column) -> Column:
+    """Array of the line's pieces, as numbered hashes."""
+    cut = F.transform(_chars(line), lambda c: F.when(F.ascii(c) % CUT == 0, F.concat(c, F.lit("\n"))).otherwise(c))
+    return _numbered(F.transform(F.split(F.array_join(cut, ""), "\n", -1), lambda x: F.xxhash64(x)))
 
 
 def _differences(members: DataFrame, units: DataFrame) -> DataFrame:
-    """pivot, u, m -> pivot, u, m, d, size, grams: those in which the line and the pivot differ (d), and the first of
-    them, the pivot's own last."""
+    """pivot, u, m -> pivot, u, m, d, w, size, first: the pieces (d; the first of them, the pivot's own last) and the
+    grams (w) in which the line and the pivot differ."""
     some = members.select("u").union(members.select("pivot")).distinct()
-    bags = written(units.join(some, "u", "left_semi").select("u", grams(F.col("line")).alias("g")), "line-grams")
-    pivots = bags.select(F.col("u").alias("pivot"), F.col("g").alias("h"))
+    bags = written(units.join(some, "u", "left_semi").select("u", pieces(F.col("line")).alias("g"), grams(F.col("line")).alias("s")), "line-pieces")
+    pivots = bags.select(F.col("u").alias("pivot"), F.col("g").alias("h"), F.col("s").alias("t"))
     rows = members.join(bags, "u").join(pivots, "pivot")
-    rows = rows.select("pivot", "u", "m", F.concat(F.array_except("g", "h"), F.array_except("h", "g")).alias("d"))
+    differing = lambda x, y: F.concat(F.array_except(x, y), F.array_except(y, x))
+    rows = rows.select("pivot", "u", "m", differing("g", "h").alias("d"), differing("s", "t").alias("w"))
     rows = written(rows, "line-differences")
     # what two of the nearest lines (unlinked, if there are any) have in common is the pivot's own difference from its family
     near = lambda odd: F.min(F.when(F.pmod("u", F.lit(2)) == odd, F.struct("m", "size", "u")))["u"]
@@ -216,21 +238,21 @@ def _differences(members: DataFrame, units: DataFrame) -> DataFrame:
     often = two.join(one, ["pivot", "u"]).join(other, ["pivot", "v"]).select("pivot", F.array_intersect("x", "y").alias("often"))
     d, often_ = F.col("d"), F.coalesce("often", F.expr("cast(array() as array<bigint>)"))
     ordered = F.concat(F.array_sort(F.array_except(d, often_)), F.array_sort(F.array_intersect(d, often_)))
-    return rows.join(often, "pivot", "left").select("pivot", "u", "m", "d", F.size("d").alias("size"), F.slice(ordered, 1, SPREAD + 1).alias("grams"))
+    return rows.join(often, "pivot", "left").select("pivot", "u", "m", "d", "w", F.size("d").alias("size"), F.slice(ordered, 1, SPREAD + 1).alias("first"))
 
 
 def _rekeyed(rows: DataFrame, side: int) -> DataFrame:
-    """key, u, m, size of the index or the probes by differences. Lines within TAU, the index line's difference
-    the smaller one, share a gram of these, or their differences have SPREAD grams or less together."""
+    """key, u, m, size, d, w, keys (all of the line's) of the index or the probes by differences. Lines within TAU, the index
+    line's difference the smaller one, share a piece of these, or their differences have SPREAD pieces or less together."""
     key = lambda e: F.xxhash64("pivot", F.lit(0), e)
     small = lambda t: F.xxhash64("pivot", F.lit(1), t.cast("int"))
     none = F.expr("cast(array() as array<bigint>)")
     if side == 0:
-        keys = F.concat(F.transform(F.slice("grams", 1, SPREAD // 2 + 1), key), F.when(F.col("size") <= SPREAD // 2, F.array(small(F.col("size")))).otherwise(none))
+        keys = F.concat(F.transform(F.slice("first", 1, SPREAD // 2 + 1), key), F.when(F.col("size") <= SPREAD // 2, F.array(small(F.col("size")))).otherwise(none))
     else:
         sizes = F.when(F.col("size") <= SPREAD, F.transform(F.sequence(F.lit(0), F.least(F.col("size"), SPREAD - F.col("size"))), small))
-        keys = F.concat(F.transform("grams", key), F.coalesce(sizes, none))
-    return rows.select(F.explode(keys).alias("key"), "u", "m", "size", "d")
+        keys = F.concat(F.transform("first", key), F.coalesce(sizes, none))
+    return rows.select("u", "m", "size", "d", "w", keys.alias("keys")).select(F.explode("keys").alias("key"), "u", "m", "size", "d", "w", "keys")
 
 
 def _met(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,6 +263,14 @@ def _met(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
     return index, written(probe.join(index.select("key"), "key", "left_semi"), "line-probes")
 
 
+def _sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose u a bitmap of the ids lets through: all of theirs, and a few others. It has 2**(BITS - 6) rows at
+    most, so the rows need not be shuffled."""
+    word, bit = f"shiftrightunsigned(u, {64 - BITS + 6})", f"cast(shiftrightunsigned(u, {64 - BITS}) & 63 as int)"
+    words = ids.select(F.expr(word).alias("word"), F.expr(f"shiftleft(1L, {bit})").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.join(F.broadcast(words), F.expr(f"word = {word} and getbit(bits, {bit}) = 1"), "left_semi")
+
+
 def links(units: DataFrame) -> DataFrame:
     """a, b, spare: every pair of linked lines; those that are not spare connect every class. ``units``: u, line, n
     (its length)."""
@@ -248,7 +278,8 @@ def links(units: DataFrame) -> DataFrame:
     index = written(keyed(near, 0), "line-index")
     index, probe = _met(index, written(keyed(near, 1).join(index.select("key"), "key", "left_semi"), "line-probes"))
     # most lines have no key in common with another: their texts are left behind here, not at every look-up
-    near = written(near.join(index.select("u").union(probe.select("u")).distinct(), "u", "left_semi"), "line-near")
+    some = written(index.select("u").union(probe.select("u")).distinct(), "lines-met")
+    near = written(_sieved(near, some).join(some, "u", "left_semi"), "line-near")
     probe = probe.union(index)
     out = None
     for level in range(LEVELS):
@@ -275,8 +306,7 @@ def links(units: DataFrame) -> DataFrame:
         linked = close.select("a", "b").union(close.select("b", "a")).select(F.col("a").alias("pivot"), F.col("b").alias("u"), F.lit(True).alias("linked"))
         marked = members.join(linked, ["pivot", "u"], "left").select("pivot", "u", F.coalesce("linked", F.lit(False)).alias("m"))
         rows = written(_differences(marked, near), "line-order")
-        index = written(_rekeyed(rows, 0), "line-index")
-        index, probe = _met(index, written(_rekeyed(rows, 1), "line-probes"))
+        index, probe = written(_rekeyed(rows, 0), "line-index"), written(_rekeyed(rows, 1), "line-probes")
     raise AssertionError("the last level has no hot keys")
 
 

@@ -114,3 +114,39 @@ def test_rows_of_one_id_lose_no_line_of_their_own(spark, doc):
     left = lj.without_repeats(docs, lj.classes(docs)).collect()
     lines = sorted(x for r in left for x in r["text"].split("\n") if x)
     assert lines == ["A line", "B line", "C line", "D line"]
+
+
+def test_keys_by_differences(spark, monkeypatch):
+    """Edits change three pieces each at most, a line has few keys, and a pair meets once for a pivot."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh é\U0001f600") for _ in range(60))
+    lines = [base]
+    for n in [1, 2] * 15 + [9] * 30:
+        c = list(base)
+        for _ in range(n):
+            k = rng.randrange(len(c))
+            c[k : k + rng.randrange(2)] = rng.choice(["", "d", "h", " ", "z"])
+        lines.append("".join(c))
+    units = spark.createDataFrame(list(enumerate(dict.fromkeys(lines))), "u long, line string")
+    bags = {r["u"]: (r["line"], set(r["p"])) for r in units.select("u", "line", lj.pieces(units["line"]).alias("p")).collect()}
+    for u, (line, bag) in bags.items():
+        assert len(bag ^ bags[0][1]) <= 3 * edit(line, base), (line, base)
+    members = units.where("u > 0").selectExpr("0L as pivot", "u", "false as m")
+    rows = lj._differences(members, units)
+    index, probe = lj._rekeyed(rows, 0), lj._rekeyed(rows, 1)
+    most = lambda side: max(r["count"] for r in side.groupBy("u").count().collect())
+    assert most(index) <= lj.SPREAD // 2 + 2 <= 5 and most(probe) <= 2 * lj.SPREAD + 2 <= 14
+    monkeypatch.setattr(lj, "_once", lambda pairs: pairs)
+    met = [(r["a"], r["b"]) for r in lj._pairs(index, probe).where("a < b").collect()]
+    found = set(met)
+    near = {(a, b) for a in bags for b in bags if 0 < a < b and edit(bags[a][0], bags[b][0]) <= lj.TAU}
+    assert near <= found and len(near) > 20
+    # lines of equal sizes meet from both sides
+    sizes = {r["u"]: r["size"] for r in rows.select("u", "size").collect()}
+    assert all(met.count(p) == 1 + (sizes[p[0]] == sizes[p[1]]) for p in found)
+
+
+def test_the_bitmap_lets_every_line_looked_for_through(spark):
+    rows = spark.range(20000).selectExpr("xxhash64(id) as u", "id")
+    got = [r["id"] for r in lj._sieved(rows, rows.where("id % 100 = 0").select("u")).collect()]
+    assert set(range(0, 20000, 100)) <= set(got) and len(got) < 400
