@@ -143,21 +143,21 @@ def search(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
     """doc_id, item_id, n_shared, n_item, containment, doc_key (``key_of``) of every document that holds an item."""
     texts, wanted = _texts(docs, id_col, text_col), _texts(items, item_id, item_text)
     runs = run_sizes(wanted)
+    # each step is written: as one query the driver would hold dozens of stages, scans and broadcasts at a time
     item_shingles = written(shingle_rows(wanted, list(range(1, SHINGLE))).withColumnRenamed("id", "item").distinct(), "item-shingles")
     sizes = item_shingles.groupBy("item").agg(F.count("*").alias("n_item"))
-    few = item_shingles.join(sizes.where(F.col("n_item") < FEW), "item", "left_semi")
-    more = sizes.where(F.col("n_item") >= FEW).select("item")
+    sized = written(item_shingles.join(sizes, "item"), "item-sizes")
+    few, many = sized.where(F.col("n_item") < FEW), sized.where(F.col("n_item") >= FEW)
 
-    by_key = item_keys(wanted).withColumnRenamed("id", "item").distinct().join(more, "item", "left_semi")
+    by_key = written(item_keys(wanted).withColumnRenamed("id", "item").distinct().join(many, "item", "left_semi"), "item-keys")
     keys = document_keys(texts, bitmap.build(by_key, "key"))
-    candidates = keys.distinct().join(by_key, "key").select(F.col("id"), "item").distinct()
-    many = item_shingles.join(more, "item", "left_semi")
-    own = shingle_rows(texts.join(candidates.select("id").distinct(), "id", "left_semi"), runs, bitmap.build(many, "shingle"))
-    shared = own.distinct().join(many, "shingle").groupBy("id", "item").agg(F.count("*").alias("n_shared"))
-    shared = shared.join(candidates, ["id", "item"], "left_semi")
+    candidates = written(keys.distinct().join(by_key, "key").select("id", "item").distinct(), "item-candidates")
+    own = shingle_rows(texts.join(candidates, "id", "left_semi"), runs, bitmap.build(many, "shingle"))
+    shared = own.distinct().join(many, "shingle").groupBy("id", "item", "n_item").agg(F.count("*").alias("n_shared"))
+    shared = written(shared.join(candidates, ["id", "item"], "left_semi"), "item-shared")
     whole = shingle_rows(texts, runs, bitmap.build(few, "shingle")).distinct()
-    shared = shared.union(whole.join(few, "shingle").groupBy("id", "item").agg(F.count("*").alias("n_shared"))).join(sizes, "item")
-    found = shared.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6)).where(F.col("n_shared") >= least * F.col("n_item"))
+    exact = written(whole.join(few, "shingle").groupBy("id", "item", "n_item").agg(F.count("*").alias("n_shared")), "item-shared")
+    found = shared.union(exact).withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6)).where(F.col("n_shared") >= least * F.col("n_item"))
     names = docs.select(key_of(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("doc_id")).join(found.select("id").distinct(), "id", "left_semi").distinct()
     items_ = items.select(key_of(item_id, item_text).alias("item"), F.col(item_id).cast("long").alias("item_id")).distinct()
     return found.join(names, "id").join(items_, "item").select("doc_id", "item_id", "n_shared", "n_item", "containment", F.col("id").alias("doc_key"))

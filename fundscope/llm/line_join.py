@@ -231,11 +231,9 @@ def _differences(members: DataFrame, units: DataFrame) -> DataFrame:
     rows = rows.select("pivot", "u", "m", differing("g", "h").alias("d"), differing("s", "t").alias("w"))
     rows = written(rows, "line-differences")
     # what two of the nearest lines (unlinked, if there are any) have in common is the pivot's own difference from its family
-    near = lambda odd: F.min(F.when(F.pmod("u", F.lit(2)) == odd, F.struct("m", "size", "u")))["u"]
-    two = rows.select("pivot", "u", "m", F.size("d").alias("size")).groupBy("pivot").agg(near(0).alias("u"), near(1).alias("v"))
-    one = rows.select("pivot", "u", F.col("d").alias("x"))
-    other = rows.select("pivot", F.col("u").alias("v"), F.col("d").alias("y"))
-    often = two.join(one, ["pivot", "u"]).join(other, ["pivot", "v"]).select("pivot", F.array_intersect("x", "y").alias("often"))
+    near = lambda odd: F.min(F.when(F.pmod("u", F.lit(2)) == odd, F.struct("m", F.size("d").alias("size"), "u", "d")))["d"]
+    # written, so that the join can split a pivot of many lines
+    often = written(rows.groupBy("pivot").agg(F.array_intersect(near(0), near(1)).alias("often")), "pivot-own")
     d, often_ = F.col("d"), F.coalesce("often", F.expr("cast(array() as array<bigint>)"))
     ordered = F.concat(F.array_sort(F.array_except(d, often_)), F.array_sort(F.array_intersect(d, often_)))
     return rows.join(often, "pivot", "left").select("pivot", "u", "m", "d", "w", F.size("d").alias("size"), F.slice(ordered, 1, SPREAD + 1).alias("first"))
@@ -320,7 +318,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = written(_once(links(units.select("u", "line", "n"))), "line-links")
     roots = components(found.where("not spare"))
     degree = found.select(F.col("a").alias("u")).union(found.select("b")).groupBy("u").agg(F.count("*").alias("n_links"))
-    linked = units.select("u", "first").join(roots.withColumnRenamed("node", "u"), "u").join(degree, "u")
+    linked = written(units.select("u", "first").join(roots.withColumnRenamed("node", "u"), "u").join(degree, "u"), "line-roots")
     best = linked.groupBy("root").agg(F.min("first").alias("best"))
     moved = linked.join(best, "root").select("u", "best", "n_links")
     chosen = (units.select("u", "first").join(moved, "u", "left")

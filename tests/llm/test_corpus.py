@@ -200,3 +200,29 @@ def test_pipeline_edges(spark, tmp_path):
     ruled = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
     assert ruled.columns == docs.columns and ruled.where("text IS NULL OR text = ''").count() == 0
     assert corpus_pipeline.quality_rules(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_no_query_of_a_step_is_large(spark, tmp_path, monkeypatch):
+    """The driver holds all stages, scans and broadcasts of a query at a time, so a step makes several queries."""
+    import corpus_pipeline
+    from fundscope.llm import common, components, line_join, order_minhash
+
+    exchanges = []
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges.append((len(re.findall(r"\bExchange |BroadcastExchange ", plan)), name))
+        return common.written(df, name)
+
+    for module in (components, decontaminate, line_join, order_minhash):
+        monkeypatch.setattr(module, "written", counted)
+    monkeypatch.setattr(corpus_pipeline, "written", counted)
+    rng = random.Random(5)
+    item, phrase = prose(rng, 40), prose(rng, 12)
+    texts = ["\n".join([f"{phrase} {k:02d}{rng.choice(WORDS)}", prose(rng, 30), *([item] if k % 5 == 0 else [])]) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.createDataFrame([(0, item), (1, "river stone")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        counted(stage(spark, docs, str(tmp_path)), name)
+    assert "line-differences" in {name for _, name in exchanges}
+    assert max(exchanges)[0] <= 12, sorted(exchanges)[-5:]
